@@ -59,8 +59,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: int, seed: int = 7, key: str
     """The chosen records: key, source, lang, domain, tokens, times (1 to max_repeats).
 
     docs has key (unique), source, lang and tokens; targets has source, target_share and max_repeats. Records without tokens, and of sources without target, are not chosen. Within
-    a leaf each epoch is an order of its records by a seeded hash; whole epochs are taken, and of the next the prefix up to the record that brings the tokens nearest
-    to the budget, never more than max_repeats epochs. Sums run over hash ranges first, so that a leaf with most of the rows is spread over all tasks. Empty inputs give an empty result.
+    a leaf each epoch is an order of its records by a seeded hash; whole epochs are taken, and of the next the prefix that stays within the
+    budget, never more than max_repeats epochs; records larger than what the last epoch may take are passed over in it. What the leaves of a source leave open goes to its records next in order.
+    Sums run over hash ranges first, so that a leaf with most of the rows is spread over all tasks. Empty inputs give an empty result.
     """
     base = (
         docs.join(F.broadcast(targets.select("source", "target_share", "max_repeats")), "source")
@@ -72,18 +73,26 @@ def mix(docs: DataFrame, targets: DataFrame, total: int, seed: int = 7, key: str
     of_source = F.sum("have").over(Window.partitionBy("source"))
     leaves = have.withColumn("weight", F.col("target_share") * F.col("have") / of_source).withColumn("cap", (F.col("have") * F.col("max_repeats")).cast("double"))
     plan = leaf_budgets(leaves, total).withColumn("epochs", F.least(F.floor(F.col("want") / F.col("have")), F.col("max_repeats")).cast("int")).withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("want") - F.col("epochs") * F.col("have")).otherwise(0.0))
-    plan = F.broadcast(plan.select(*leaf, "epochs", "rest"))
+    small = F.broadcast(plan.select(*leaf, "epochs", "rest"))
     order = F.xxhash64(F.col("__key"), F.lit(seed), F.col("epochs"))
-    ranged = base.join(plan, leaf).withColumn("__at", order).withColumn("__range", F.pmod(F.shiftrightunsigned("__at", 40), F.lit(ranges)).cast("int"))
+    ranged = base.join(small, leaf).withColumn("__at", order).withColumn("__range", F.pmod(F.shiftrightunsigned("__at", 40), F.lit(ranges)).cast("int")).withColumn("__fits", F.col("tokens") <= F.col("rest"))
     before = Window.partitionBy(*leaf).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy(*leaf, "__range").agg(F.sum("tokens").alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).select(*leaf, "__range", "__before")
+    sums = ranged.where("__fits").groupBy(*leaf, "__range").agg(F.sum("tokens").alias("__sum"))
     # ranges x leaves rows at most, whatever the corpus
-    placed = ranged.join(F.broadcast(offsets), [*leaf, "__range"])
-    settled = placed.where((F.col("__before") >= F.col("rest")) & (F.col("epochs") > 0)).withColumn("extra", F.lit(0))
-    running = F.sum("tokens").over(Window.partitionBy(*leaf, "__range").orderBy("__at", "__key")) + F.col("__before") - F.col("tokens")
-    near = placed.where(F.col("__before") < F.col("rest")).withColumn("__upto", running)
-    near = near.withColumn("extra", F.when(F.col("__upto") + F.col("tokens") / 2 <= F.col("rest"), 1).otherwise(0)).drop("__upto")
-    chosen = settled.unionByName(near).withColumn("times", (F.col("epochs") + F.col("extra")).cast("int")).where(F.col("times") > 0)
+    offsets = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).select(*leaf, "__range", "__before")
+    placed = ranged.join(F.broadcast(offsets), [*leaf, "__range"], "left").withColumn("__open", F.col("__fits") & (F.col("__before") < F.col("rest")))
+    settled = placed.where(~F.coalesce("__open", F.lit(False)) & (F.col("epochs") > 0)).withColumn("extra", F.lit(0))
+    running = F.sum("tokens").over(Window.partitionBy(*leaf, "__range").orderBy("__at", "__key")) + F.col("__before")
+    near = placed.where("__open").withColumn("extra", F.when(running <= F.col("rest"), 1).otherwise(0))
+    # what the prefixes of a source leave open goes to the next of its records that fit
+    wanted = plan.groupBy("source").agg(F.sum("rest").alias("__rest"))
+    taken = near.groupBy("source").agg(F.sum(F.col("tokens") * F.col("extra")).alias("__taken"))
+    gap = wanted.join(taken, "source", "left").select("source", (F.col("__rest") - F.coalesce("__taken", F.lit(0))).alias("__gap"))
+    waiting = near.where("extra = 0").join(F.broadcast(gap), "source").where(F.col("tokens") <= F.col("__gap"))
+    filled = F.sum("tokens").over(Window.partitionBy("source").orderBy("__at", "__key"))
+    second = waiting.withColumn("extra", F.when(filled <= F.col("__gap"), 1).otherwise(0)).drop("__gap")
+    rest = near.where("extra = 1").unionByName(second).unionByName(near.where("extra = 0 and epochs > 0").join(second.select("__key"), "__key", "left_anti").select(*near.columns))
+    chosen = settled.unionByName(rest).withColumn("times", (F.col("epochs") + F.col("extra")).cast("int")).where(F.col("times") > 0)
     return chosen.select(F.col("__key").alias(key), "source", "lang", "domain", "tokens", "times")
 
 
