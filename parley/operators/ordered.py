@@ -15,15 +15,15 @@ def blocked_lag(df: DataFrame, keys: list[str], block: str, order: list[str], va
     inner = Window.partitionBy(*keys, block).orderBy(*order)
     edges = (
         df.groupBy(*keys, block)
-        .agg(F.max_by(F.struct(value.alias("v")), F.struct(*order)).alias("__last"))
-        .withColumn("__edge", F.lag("__last").over(Window.partitionBy(*keys).orderBy(block)))
-        .select(*keys, block, "__edge")
+        .agg(F.max_by(F.struct(value.alias("v")), F.struct(*order)).alias("__lag_last"))
+        .withColumn("__lag_edge", F.lag("__lag_last").over(Window.partitionBy(*keys).orderBy(block)))
+        .select(*keys, block, "__lag_edge")
     )
     return (
-        df.withColumn("__here", F.lag(F.struct(value.alias("v"))).over(inner))
+        df.withColumn("__lag_here", F.lag(F.struct(value.alias("v"))).over(inner))
         .join(edges, [*keys, block])
-        .withColumn(out, F.coalesce("__here", "__edge").getField("v"))
-        .drop("__here", "__edge")
+        .withColumn(out, F.coalesce("__lag_here", "__lag_edge").getField("v"))
+        .drop("__lag_here", "__lag_edge")
     )
 
 
@@ -32,8 +32,8 @@ def blocked_running_sum(df: DataFrame, keys: list[str], block: str, order: list[
     inner = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edges = (
         df.groupBy(*keys, block)
-        .agg(F.sum(amount).alias("__sum"))
-        .withColumn("__before", F.sum("__sum").over(Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)))
-        .select(*keys, block, "__before")
+        .agg(F.sum(amount).alias("__block_sum"))
+        .withColumn("__carried", F.sum("__block_sum").over(Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)))
+        .select(*keys, block, "__carried")
     )
-    return df.withColumn("__here", F.sum(amount).over(inner)).join(edges, [*keys, block]).withColumn(out, F.col("__here") + F.coalesce("__before", F.lit(0))).drop("__here", "__before")
+    return df.withColumn("__inner_sum", F.sum(amount).over(inner)).join(edges, [*keys, block]).withColumn(out, F.col("__inner_sum") + F.coalesce("__carried", F.lit(0))).drop("__inner_sum", "__carried")

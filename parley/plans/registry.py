@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from parley.plans import records, retrieval, talk
+
+QUERIES = retrieval.QUERIES | records.QUERIES | talk.QUERIES
+SQL: dict[str, str] = retrieval.SQL | records.SQL | talk.SQL
