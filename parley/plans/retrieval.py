@@ -174,11 +174,12 @@ def _knn_sql(k: int, where: str = "") -> str:
 
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, k)"
 _REFERENCE = r"""
-    ((CASE WHEN len(regexp_extract_all(chr(10) || coalesce(text, ''), '\b(?:19|20)\d{2}\b')) >= 4 THEN 1 ELSE 0 END)
+    ((CASE WHEN len(list_filter(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '(?:19|20)\d{2}'))) >= 4 THEN 1 ELSE 0 END)
      + (CASE WHEN regexp_matches(coalesce(text, ''), '(?i)\bdoi:\s*10\.\S+') THEN 1 ELSE 0 END)
      + (CASE WHEN len(regexp_extract_all(coalesce(text, ''), '\b[A-Z][a-z]+(?:,\s*[A-Z]\.)+\s*\(\d{4}\)')) >= 2 THEN 1 ELSE 0 END)
-     + (CASE WHEN len(regexp_extract_all(coalesce(text, ''), '(?i)\b(?:neurology|radiology|neuroimage|brain|plos one|frontiers|ann\.?|j\.|vol\.?|pp\.?)\b')) >= 3 THEN 1 ELSE 0 END)
-     + (CASE WHEN len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '\b(?:19|20)\d{2}\b') AND (contains(s, ',') OR regexp_matches(s, '(?i)\bdoi:\s*10\.\S+')))) >= 3 THEN 1 ELSE 0 END)) >= 2
+     + (CASE WHEN len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), lambda w: w IN ('neurology', 'radiology', 'neuroimage', 'brain', 'frontiers', 'ann', 'vol', 'pp')))
+               + len(regexp_extract_all(lower(coalesce(text, '')), '\b(?:plos one\b|j\.[\p{L}\p{N}_])')) >= 3 THEN 1 ELSE 0 END)
+     + (CASE WHEN len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: len(list_filter(regexp_extract_all(s, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '(?:19|20)\d{2}'))) > 0 AND (contains(s, ',') OR regexp_matches(s, '(?i)\bdoi:\s*10\.\S+')))) >= 3 THEN 1 ELSE 0 END)) >= 2
 """
 _LISTS = f"""{_knn_sql(20)}, {_bm25_sql('documents', 'doc_id', _DQ)},
     kw AS (SELECT query_id, k AS doc_id, rank FROM (SELECT query_id, k, {_TOP} AS rank FROM scored) WHERE rank <= 20)"""
