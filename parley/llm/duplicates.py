@@ -18,10 +18,10 @@ from parley.session import cut
 THRESHOLD = "0.82"
 #: Words are counted in so many hash buckets, which bounds what is broadcast whatever the vocabulary. The counts order the words; any order gives the same result.
 COUNT_BUCKETS = 1 << 17
-#: Signatures have 64 bits for each of these columns.
-SIG = ("s0", "s1", "s2", "s3")
-#: Leaves of the trees hold so many records, inner nodes so many leaves.
-LEAF, FAN = 4, 16
+#: A signature has a column of 64 bits for so many words of a record of mean size.
+WORDS_PER_COLUMN = 48
+#: Leaves of the trees hold so many records, inner nodes so many leaves. Groups of at most SMALL records are one leaf.
+LEAF, FAN, SMALL = 2, 32, 24
 #: A prefix group that may hold more records is cut into blocks, of which every two meet in a task of their own.
 BLOCK = 8192
 _WORD = re.compile(r"\w+")
@@ -31,82 +31,105 @@ def words_of(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def _hashes(texts: pd.Series, memo: dict[str, int]) -> list[np.ndarray]:
-    out = []
+def _hashes(texts: pd.Series, memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of all texts, one text after the other, and where each text begins (one entry more, the end)."""
+    flat: list[int] = []
+    ends = [0]
     for t in texts:
-        codes = []
         for w in words_of(t):
             h = memo.get(w)
             if h is None:
                 h = xxhash.xxh64_intdigest(w)
                 if len(memo) < 500_000:
                     memo[w] = h
-            codes.append(h)
-        out.append(np.array(codes, dtype=np.uint64))
-    return out
+            flat.append(h)
+        ends.append(len(flat))
+    return np.array(flat, dtype=np.uint64), np.array(ends, dtype=np.int64)
 
 
-def bucket_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """Records in which a word of each hash bucket occurs; counted over all records, one partial sum a task."""
+def _digests(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each set of words, in two parts, whatever the order of its words. Every set has a word."""
+    mixed = (codes ^ (codes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return np.bitwise_xor.reduceat(mixed, ends[:-1]).view(np.int64), np.add.reduceat(codes * (codes | np.uint64(1)), ends[:-1]).view(np.int64)
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def survey(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray, int]:
+    """One pass over all texts: (key, h1, h2) with the digest of each record's words, the records in which a word of each bucket occurs, and the words of a record of mean size.
+
+    Texts that are null or hold no word are left out.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, memo = np.zeros(COUNT_BUCKETS, dtype=np.int64), {}
         for frame in frames:
-            for codes in _hashes(frame[text], memo):
-                total[(codes % np.uint64(COUNT_BUCKETS)).astype(np.int64)] += 1
+            codes, ends = _hashes(frame[text], memo)
+            some = np.diff(ends) > 0
+            if not len(codes):
+                continue
+            total += np.bincount((codes % np.uint64(COUNT_BUCKETS)).astype(np.int64), minlength=COUNT_BUCKETS)
+            h1, h2 = _digests(codes, np.concatenate((ends[:-1][some], ends[-1:])))
+            yield pd.DataFrame({"key": frame[key].to_numpy()[some], "h1": h1, "h2": h2, "bucket": -1, "n": 0})
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
+        yield pd.DataFrame({"key": pd.Series([None] * len(at), dtype=object), "h1": 0, "h2": 0, "bucket": at, "n": total[at]})
 
-    rows = docs.select(text).mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(COUNT_BUCKETS, dtype=np.int64)
-    out[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
-    return out
+    both = cut(docs.where(F.col(text).isNotNull()).select(key, text).mapInPandas(work, f"key {kind}, h1 long, h2 long, bucket int, n long"))
+    marked = both.where("bucket < 0").select("key", "h1", "h2")
+    rows = both.where("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNT_BUCKETS, dtype=np.int64)
+    counts[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
+    return marked, counts, max(1, int(counts.sum()) // max(1, marked.count()))
 
 
-def _prefix_lengths(n: int, t: Fraction) -> tuple[int, int]:
+def _prefix_lengths(n: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """How many of its rarest words a record of n words must show as the smaller and as either member of a pair above t."""
-    probe = n - int(t * n)  # overlap > t n
-    index = n - int(2 * t / (1 + t) * n)
-    return max(1, min(index, n)), max(1, min(probe, n))
+    probe = n - n * t.numerator // t.denominator  # overlap > t n
+    twice = 2 * t / (1 + t)
+    index = n - n * twice.numerator // twice.denominator
+    return np.clip(index, 1, n), np.clip(probe, 1, n)
 
 
-def prefix_rows(docs: DataFrame, key: str, text: str, counts: np.ndarray, t: Fraction) -> DataFrame:
-    """(token, pair, key, size, first, s0..s3): a row for each of the rarest words of each record, first where it counts for the smaller member.
+def prefix_rows(docs: DataFrame, text: str, counts: np.ndarray, columns: int, t: Fraction) -> DataFrame:
+    """(token, pair, h1, h2, meta, s0...): a row for each of the rarest words of each set of words; meta is twice the number of words, and one more where the word counts for the smaller member.
 
-    A word's group that may outgrow BLOCK is cut into blocks by key; its rows come once for every other block.
+    A set comes once a task, however many records have it. A word's group that may outgrow BLOCK is cut into blocks by digest; its rows come once for every other block.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    kind = docs.schema[key].dataType.simpleString()
+    sig = [f"s{i}" for i in range(columns)]
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, memo = shared.value, {}
-        one = np.uint64(1)
+        count, memo, seen = shared.value, {}, set()
         for frame in frames:
-            out: dict[str, list] = {c: [] for c in ("token", "pair", "key", "size", "first", *SIG)}
-            for k, codes in zip(frame[key], _hashes(frame[text], memo)):
-                n = len(codes)
-                if n == 0:
-                    continue
-                low = (codes % np.uint64(COUNT_BUCKETS)).astype(np.int64)
-                order = np.lexsort((codes, count[low]))
-                index, probe = _prefix_lengths(n, t)
-                bits = (codes >> np.uint64(40)) % np.uint64(64 * len(SIG))
-                sig = [int(np.bitwise_or.reduce(one << (bits[bits // 64 == i] % np.uint64(64)), initial=np.uint64(0)).astype(np.int64)) for i in range(len(SIG))]
-                for i, at in enumerate(order[:probe]):
-                    blocks = -(-int(count[low[at]]) // BLOCK)
-                    token = int((codes[at] >> np.uint64(1)).astype(np.int64))
-                    mine = 0 if blocks <= 1 else xxhash.xxh32_intdigest(str(k)) % blocks
-                    for other in range(blocks):
-                        out["token"].append(token)
-                        out["pair"].append(min(mine, other) * 100_000 + max(mine, other))
-                        out["key"].append(k)
-                        out["size"].append(n)
-                        out["first"].append(i < index)
-                        for c, v in zip(SIG, sig):
-                            out[c].append(v)
-            yield pd.DataFrame(out)
-
-    return docs.select(key, text).mapInPandas(rows, f"token long, pair int, key {kind}, size int, first boolean, " + ", ".join(f"{c} long" for c in SIG))
+            codes, ends = _hashes(frame[text], memo)
+            size = np.diff(ends)
+            if not len(codes):
+                continue
+            some = size > 0
+            starts = np.concatenate((ends[:-1][some], ends[-1:]))
+            size = size[some]
+            h1, h2 = _digests(codes, starts)
+            fresh = np.array([(pair not in seen and not seen.add(pair)) for pair in zip(h1.tolist(), h2.tolist())], dtype=bool)
+            record = np.repeat(np.arange(len(size)), size)
+            often = count[(codes % np.uint64(COUNT_BUCKETS)).astype(np.int64)]
+            order = np.lexsort((codes, often, record))
+            place = np.arange(len(codes)) - np.repeat(starts[:-1], size)
+            index, probe = _prefix_lengths(size, t)
+            bit = (codes >> np.uint64(40)) % np.uint64(64 * columns)
+            mask = np.uint64(1) << (bit % np.uint64(64))
+            signs = [np.bitwise_or.reduceat(np.where(bit // np.uint64(64) == i, mask, np.uint64(0)), starts[:-1]).view(np.int64) for i in range(columns)]
+            keep = (place < probe[record]) & fresh[record]
+            who, at, where = record[keep], order[keep], place[keep]
+            blocks = np.maximum(1, -(-often[at] // BLOCK))
+            copies = np.repeat(np.arange(len(at)), blocks)
+            other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            mine = (h1.view(np.uint64)[who] % blocks.astype(np.uint64)).astype(np.int64)[copies]
+            who, at, where = who[copies], at[copies], where[copies]
+            yield pd.DataFrame(
+                {"token": codes[at].view(np.int64), "pair": (np.minimum(mine, other) * 65536 + np.maximum(mine, other)).astype(np.int32), "h1": h1[who], "h2": h2[who], "meta": (size[who] * 2 + (where < index[who])).astype(np.int32)}
+                | {c: v[who] for c, v in zip(sig, signs)}
+            )
+
+    return docs.where(F.col(text).isNotNull()).select(text).mapInPandas(rows, "token long, pair int, h1 long, h2 long, meta int, " + ", ".join(f"{c} long" for c in sig))
 
 
 def _leaves(size: np.ndarray, sig: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,6 +147,7 @@ def tree_pairs(size: np.ndarray, sig: np.ndarray, first: np.ndarray, t: float) -
     order = np.lexsort((*sig.T[::-1], size))
     size, sig, first = size[order].astype(np.int64), sig[order], first[order]
     small = np.flatnonzero(first)
+    t_lack = (1 - t) / (1 + t)
     if not len(small) or len(size) < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     starts, union, low, high = _leaves(size, sig, LEAF)
@@ -139,7 +163,7 @@ def tree_pairs(size: np.ndarray, sig: np.ndarray, first: np.ndarray, t: float) -
         leaves = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
         leaves = leaves[leaves < len(starts)]
         # words of the smaller one that the other may lack: |A| - overlap, overlap > t / (1 + t) (|A| + |B|), |B| >= |A|
-        lack = np.floor(size[mine] * (1 - t) / (1 + t)).astype(np.int64)
+        lack = np.floor(size[mine] * t_lack).astype(np.int64)
         outside = np.zeros((len(mine), len(leaves)), dtype=np.int64)
         for w in range(sig.shape[1]):
             outside += np.bitwise_count(sig[mine, w][:, None] & ~union[leaves, w][None, :])
@@ -156,7 +180,7 @@ def tree_pairs(size: np.ndarray, sig: np.ndarray, first: np.ndarray, t: float) -
         differ = np.zeros(len(a), dtype=np.int64)
         for w in range(sig.shape[1]):
             differ += np.bitwise_count(sig[a, w] ^ sig[b, w])
-        keep = differ <= (size[a] + size[b]) * (1 - t) / (1 + t)
+        keep = differ <= (size[a] + size[b]) * t_lack
         out_a.append(order[a[keep]])
         out_b.append(order[b[keep]])
     if not out_a:
@@ -164,14 +188,33 @@ def tree_pairs(size: np.ndarray, sig: np.ndarray, first: np.ndarray, t: float) -
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def small_pairs(starts: np.ndarray, ends: np.ndarray, size: np.ndarray, sig: np.ndarray, first: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """As tree_pairs, for many groups of at most SMALL records at once: each is a single leaf."""
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    n = ends - starts
+    row = np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    left = np.repeat(ends, n) - row - 1
+    a = np.repeat(row, left)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
+    swap = size[a] > size[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    keep = (size[b] * t < size[a]) & (first[a] | (first[b] & (size[a] == size[b])))
+    a, b = a[keep], b[keep]
+    differ = np.zeros(len(a), dtype=np.int64)
+    for w in range(sig.shape[1]):
+        differ += np.bitwise_count(sig[a, w] ^ sig[b, w])
+    keep = differ <= (size[a] + size[b]) * (1 - t) / (1 + t)
+    return a[keep], b[keep]
+
+
 def candidate_pairs(rows: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs (a, b), a < b, that the trees of the prefix groups leave; each once.
+    """Pairs of digests (a1, a2, b1, b2) that the trees of the prefix groups leave, smaller one first, each once.
 
-    Rows are hashed by group and sorted; a task reads its groups one after the other, and none outgrows two blocks.
+    Rows are hashed by group and sorted; a task reads its groups one after the other, and none outgrows two blocks and the copies of a set by task.
     """
-    kind = rows.schema["key"].dataType.simpleString()
-    columns = ["key", "size", "first", *SIG]
     limit = float(t)
+    sig_names = [c for c in rows.columns if c.startswith("s") and c[1:].isdigit()]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -179,62 +222,58 @@ def candidate_pairs(rows: DataFrame, t: Fraction) -> DataFrame:
         def pairs(frame: pd.DataFrame) -> pd.DataFrame:
             token, pair = frame["token"].to_numpy(), frame["pair"].to_numpy()
             cuts = np.flatnonzero((token[1:] != token[:-1]) | (pair[1:] != pair[:-1])) + 1
-            key = frame["key"].to_numpy()
-            size, first = frame["size"].to_numpy(), frame["first"].to_numpy(dtype=bool)
-            sig = np.column_stack([frame[c].to_numpy().astype(np.uint64) for c in SIG])
-            a, b = [], []
-            for x, y in zip((0, *cuts), (*cuts, len(frame))):
-                if y - x > 1:
-                    i, j = tree_pairs(size[x:y], sig[x:y], first[x:y], limit)
-                    a.append(key[x + i])
-                    b.append(key[x + j])
-            if not a:
-                return pd.DataFrame({"a": [], "b": []})
-            found = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
-            turned = found["a"] > found["b"]
-            found.loc[turned, ["a", "b"]] = found.loc[turned, ["b", "a"]].to_numpy()
-            return found.drop_duplicates()
+            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(frame)]))
+            meta = frame["meta"].to_numpy()
+            size, first = (meta // 2).astype(np.int64), meta % 2 == 1
+            h1, h2 = frame["h1"].to_numpy(), frame["h2"].to_numpy()
+            sig = np.column_stack([frame[c].to_numpy().view(np.uint64) for c in sig_names])
+            n = ends - starts
+            few = (n > 1) & (n <= SMALL)
+            i, j = small_pairs(starts[few], ends[few], size, sig, first, limit)
+            a, b = [i], [j]
+            for x, y in zip(starts[n > SMALL], ends[n > SMALL]):
+                i, j = tree_pairs(size[x:y], sig[x:y], first[x:y], limit)
+                a.append(x + i)
+                b.append(x + j)
+            i, j = np.concatenate(a), np.concatenate(b)
+            other = (h1[i] != h1[j]) | (h2[i] != h2[j])
+            i, j = i[other], j[other]
+            turned = (h1[i] > h1[j]) | ((h1[i] == h1[j]) & (h2[i] > h2[j]))
+            i, j = np.where(turned, j, i), np.where(turned, i, j)
+            return pd.DataFrame({"a1": h1[i], "a2": h2[i], "b1": h1[j], "b2": h2[j]}).drop_duplicates()
 
         for frame in frames:
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            token, pair = frame["token"].to_numpy(), frame["pair"].to_numpy()
-            done = int(np.flatnonzero((token != token[-1]) | (pair != pair[-1]))[-1]) + 1 if ((token != token[-1]) | (pair != pair[-1])).any() else 0
+            last = (frame["token"].to_numpy() == frame["token"].iloc[-1]) & (frame["pair"].to_numpy() == frame["pair"].iloc[-1])
+            done = len(frame) - int(last.sum())  # sorted, so that the last group is at the end
             if done:
                 yield pairs(frame.iloc[:done])
             rest = frame.iloc[done:].reset_index(drop=True)
         if rest is not None and len(rest) > 1:
             yield pairs(rest)
 
-    grouped = rows.repartition("token", "pair").sortWithinPartitions("token", "pair").select("token", "pair", *columns)
-    return grouped.mapInPandas(work, f"a {kind}, b {kind}").distinct()
-
-
-def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, rep): rep is the least key among the records with the same set of words. Texts that are null or hold no word are in no class."""
-
-    @F.pandas_udf("string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([xxhash.xxh3_128_hexdigest("\n".join(sorted(words))) if t and (words := words_of(t)) else None for t in texts], dtype=object)
-
-    marked = docs.select(F.col(key).alias("key"), digest(F.col(text)).alias("words")).where("words is not null")
-    least = marked.groupBy("words").agg(F.min("key").alias("rep"))
-    return marked.join(least, "words").select("key", "rep")
+    grouped = rows.repartition("token", "pair").sortWithinPartitions("token", "pair")
+    return grouped.mapInPandas(work, "a1 long, a2 long, b1 long, b2 long").distinct()
 
 
 def similar_pairs(docs: DataFrame, key: str = "chunk_id", text: str = "text", threshold: str = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs (a, b, similarity) of class representatives whose word sets have a Jaccard similarity above threshold, and members (key, rep) of all classes.
+    """(pairs, members): pairs (a, b, similarity) of class representatives whose word sets have a Jaccard similarity above threshold, and members (key, rep, n) of all classes of equal sets, n their size.
 
-    key is unique; threshold is a decimal above 0.5. Every pair above the threshold comes out: candidates are exact but for the last check, which compares the words themselves. Null texts and texts without words
-    pair with nothing. Other columns are not read.
+    key is unique and not null; rep is the least key of its class; threshold is a decimal above 0.5. Every pair above the threshold comes out: no candidate is lost, and the last check compares the words themselves. Null texts and
+    texts without words are in no class and no pair. Other columns are not read.
     """
     t = Fraction(threshold)
-    members = cut(classes(docs, key, text))
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    reps = base.join(members.where("key = rep").select("key"), "key", "left_semi")
-    counts = bucket_counts(base.where("text is not null"), "text")
-    candidates = cut(candidate_pairs(prefix_rows(reps, "key", "text", counts, t), t))
-    ends = candidates.select("a", "b", F.explode(F.array("a", "b")).alias("key"))
+    marked, counts, mean = survey(base, "key", "text")
+    reps = marked.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n"))
+    columns = min(16, -(-mean // WORDS_PER_COLUMN))
+    candidates = candidate_pairs(prefix_rows(base, "text", counts, columns, t), t)
+    named = (
+        candidates.join(reps.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("rep").alias("x")), ["a1", "a2"])
+        .join(reps.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("rep").alias("y")), ["b1", "b2"])
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    )
+    ends = cut(named).select("a", "b", F.explode(F.array("a", "b")).alias("key"))
     texts = ends.join(base, "key").groupBy("a", "b").agg(F.min("text").alias("x"), F.max("text").alias("y"))
 
     @F.pandas_udf("double")
@@ -247,18 +286,18 @@ def similar_pairs(docs: DataFrame, key: str = "chunk_id", text: str = "text", th
         return pd.Series([one(p, q) for p, q in zip(x, y)])
 
     pairs = texts.select("a", "b", jaccard("x", "y").alias("similarity")).where("similarity > 0")
-    return pairs, members
+    return pairs, marked.join(reps, ["h1", "h2"]).select("key", "rep", "n")
 
 
 def found(docs: DataFrame) -> DataFrame:
     """(chunk_id_a, chunk_id_b): all pairs of rows above the threshold, copies of one set of words included."""
     pairs, members = similar_pairs(docs)
-    inside = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = pairs.select("a", "b").unionByName(inside)
-    left = members.select(F.col("rep").alias("a"), F.col("key").alias("x"))
-    right = members.select(F.col("rep").alias("b"), F.col("key").alias("y"))
-    spread = links.join(left, "a").join(right, "b")
-    return spread.where("x <> y and (a <> b or x < y)").select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b"))
+    copies = members.where("n > 1")
+    left = copies.select(F.col("rep").alias("a"), F.col("key").alias("x"))
+    right = copies.select(F.col("rep").alias("b"), F.col("key").alias("y"))
+    across = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    within = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    return across.unionByName(within).select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b"))
 
 
 def versions(docs: DataFrame) -> DataFrame:
