@@ -160,7 +160,18 @@ def _name_tokens(text: str, low: str, names: Gazetteer) -> list[tuple[int, int,
             after = bool(out) and out[-1][1] == at - 1 and out[-1][3] == "given" and bare not in FIRM
             if kind or not first or after:
                 out.append((at, at + len(plain), bare, kind or ("after" if after else "upper"), first))
-        return out
+        if not any(t[2] in FIRM for t in out):
+            return out
+        # a run of capitals with a word of firms and plans is the name of one
+        kept, run = [], []
+        for t in (*out, None):
+            if run and (t is None or t[0] - run[-1][1] != 1):
+                if not any(x[2] in FIRM for x in run):
+                    kept += run
+                run = []
+            if t is not None:
+                run.append(t)
+        return kept
     tokens = [(m.start(), m.end(), m[0], m[0].rstrip(".").lower()) for m in _TOKEN.finditer(text, start)]
     out: list[tuple[int, int, str, str, bool]] = []
     for k, (a, b, word, bare) in enumerate(tokens):
@@ -567,9 +578,18 @@ def found(turns: DataFrame, model: SemiMarkov, names: Gazetteer) -> DataFrame:
     @F.pandas_udf("int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo: dict = {}
+        whole: dict = {}
         bit = {t: 1 << k for k, t in enumerate(TYPES)}
         for texts in batches:
-            yield pd.Series([sum({bit[k] for _, _, k in entities(t, model, names, memo)}) for t in texts], dtype="int32")
+            out = []
+            for t in texts:
+                bits = whole.get(t)
+                if bits is None:
+                    bits = sum({bit[k] for _, _, k in entities(t, model, names, memo)})
+                    if len(whole) < 100_000:
+                        whole[t] = bits
+                out.append(bits)
+            yield pd.Series(out, dtype="int32")
 
     both = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])
     long = turns.select("id", F.explode(both).alias("f")).select("id", "f.field", "f.text").where(F.length("text") > 0)
