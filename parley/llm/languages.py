@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import os
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.tokens import TOKENIZER_DIR
-from parley.llm.transcripts import FillerModel, _strip_marks, analyse
+from parley.llm.transcripts import _VOICED, _strip_marks
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "hi")
 #: The fixed public vocabulary; only its pieces are used, the probabilities are estimated here.
@@ -22,9 +23,13 @@ PIECES = "piece_bpe_32k.model"
 #: At most so many labelled rows are read to estimate the piece probabilities, whatever the table holds.
 SAMPLE_ROWS = 20_000
 ROUNDS = 4
+#: Log odds by which the recorded label speaks for itself when the sample's sentences are relabelled.
+LABEL_BONUS = 5.0
+#: Share of a word's occurrences that may stand under another language by mistake.
+WRONG_LABELS = 0.04
 _WORD = re.compile(r"[^\W\d_][\wऀ-ॿ']*|[ऀ-ॿ]+")
 #: Sentence ends, but not after an initial or a shortened title.
-_END = re.compile(r"(?<=[.!?।…])" + "".join(rf"(?<!\b{t}\.)" for t in ("mr", "mrs", "ms", "dr", "sr", "sra", "st", "no", "nr", "hr", "fr", "mme", "prof", r"[^\W\d_]")) + r"[\"'”»)\]]*\s+|\n+", re.I)
+_END = re.compile(r"(?<=[.!?।])(?<!\.\.)" + "".join(rf"(?<!\b{t}\.)" for t in ("mr", "mrs", "ms", "dr", "sr", "sra", "st", "no", "nr", "hr", "fr", "mme", "prof", r"[^\W\d_]")) + r"[\"'”»)\]]*\s+|\n+", re.I)
 #: A sentence less certain than this takes the language of its neighbours.
 SURE = 0.92
 _NOT_WORDS = re.compile(r"\S*@\S*|\S*\d\S*|\[\w+\]")
@@ -54,10 +59,14 @@ class PieceModel:
         self.path, self.languages = path, languages
         self.table: dict[str, np.ndarray] = {}
         self.floor = np.full(len(languages), 1e-7)
-        self.memo: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(self.languages)))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "rows": np.zeros((1024, len(self.languages)))}
 
     def _edges(self, word: str) -> list[list[tuple[int, str]]]:
         """For each end position the (start, piece) that reach it."""
@@ -102,7 +111,7 @@ class PieceModel:
                     for a, p in edges[b]:
                         expected[p] += share * f[a] * self.table[p] * back[b]
             self._set(expected, smoothing)
-        self.memo = {}
+        self._forget()
         return self
 
     def _set(self, weights: dict[str, np.ndarray], smoothing: float) -> None:
@@ -112,42 +121,57 @@ class PieceModel:
 
     def word(self, word: str) -> np.ndarray:
         """Log probability of a word in each language: forward algorithm over its segmentations."""
-        known = self.memo.get(word)
-        if known is None:
-            edges = self._edges(word[:40])
-            f = np.zeros((len(edges), len(self.languages)))
-            f[0] = 1
-            for b in range(1, len(edges)):
-                for a, p in edges[b]:
-                    f[b] += f[a] * self.table.get(p, self.floor)
-            known = np.log(np.maximum(f[-1], 1e-300))
-            if len(self.memo) < 200_000:
-                self.memo[word] = known
-        return known
-
-    def score(self, words: list[str]) -> np.ndarray:
-        return sum((self.word(w) for w in words), np.zeros(len(self.languages)))
+        edges = self._edges(word[:40])
+        f = np.zeros((len(edges), len(self.languages)))
+        f[0] = 1
+        for b in range(1, len(edges)):
+            for a, p in edges[b]:
+                f[b] += f[a] * self.table.get(p, self.floor)
+        return np.log(np.maximum(f[-1], 1e-300))
+
+    def score(self, words: list[str]) -> list[float]:
+        at = []
+        for w in words:
+            row = self.memo.get(w)
+            if row is None:
+                if len(self.memo) >= 300_000:
+                    self._forget()
+                    return self.score(words)
+                row = self.memo[w] = len(self.memo)
+                if row >= len(self.rows):
+                    self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+                self.rows[row] = self.word(w)
+            at.append(row)
+        return self.rows[at].sum(axis=0).tolist()
 
     def best(self, words: list[str]) -> tuple[str, float]:
         """Language of the words and its posterior, tempered by their number, as words of one sentence are not independent."""
         s = self.score(words)
-        s = (s - s.max()) / max(1.0, len(words) ** 0.5)
-        p = np.exp(s)
-        return self.languages[int(s.argmax())], float(p.max() / p.sum())
+        top = max(s)
+        cool = max(1.0, math.sqrt(len(words)))
+        return self.languages[s.index(top)], 1 / sum(math.exp((x - top) / cool) for x in s)
+
+
+#: Which digits a text holds does not matter here; texts that differ in them alone are judged once.
+_SAME = str.maketrans("12345678", "99999999")
+
+
+def words_of(sentence: str) -> list[str]:
+    """Words of a sentence in lower case, without numbers, addresses and, where the rest tells enough, capitalised names inside it; none for hesitations alone."""
+    if "@" in sentence or "[" in sentence or "9" in sentence or "0" in sentence:
+        sentence = _NOT_WORDS.sub(" ", sentence)
+    words = _WORD.findall(sentence)
+    if len(words) <= 4:
+        words = [w for w in words if not _VOICED.fullmatch(w)]
+    if not words:
+        return []
+    plain = [words[0], *(w for w in words[1:] if w[0] == w[0].lower())]
+    return [w.lower() for w in (plain if len(plain) >= 4 else words)]
 
 
 def sentences(text: str) -> list[list[str]]:
-    """Words of each sentence, in lower case, without numbers, addresses and, where the rest of the sentence tells more, capitalised names inside it."""
-    out = []
-    for part in _END.split(text):
-        words = _WORD.findall(_NOT_WORDS.sub(" ", part))
-        if not words:
-            continue
-        plain = [words[0], *(w for w in words[1:] if not w[0].isupper())]
-        if len(plain) < 4:
-            plain = words
-        out.append([w.lower() for w in plain])
-    return out
+    """Words of each sentence that has any."""
+    return [w for w in map(words_of, _END.split(text.translate(_SAME))) if w]
 
 
 def normal_label(label: Column) -> Column:
@@ -168,29 +192,31 @@ def fit_model(turns: DataFrame, rows: int = SAMPLE_ROWS, path: str | None = None
         for lang, words in labelled:
             for w in words:
                 counts[w][lang] += 1
-        kept = {w: c for w, c in counts.items() if c.sum() >= 2 or step == 0}
+        # a word's few occurrences under a language are put down to wrong labels where it is at home in another
+        kept = {w: np.maximum(c - WRONG_LABELS * c.sum(), 0) for w, c in counts.items()}
         model = PieceModel(model.path).fit(kept)
         if step == 0:
-            labelled = [(int(model.score(words).argmax()), words) for _, words in labelled]
+            labelled = [(int(np.argmax([x + LABEL_BONUS * (k == lang) for k, x in enumerate(model.score(words))])), words) for lang, words in labelled]
     return model
 
 
-def segments(text: str | None, model: PieceModel, fillers: FillerModel, memo: dict | None = None) -> list[tuple[str, float, int]]:
+def segments(text: str | None, model: PieceModel, memo: dict | None = None) -> list[tuple[str, float, int]]:
     """(language, confidence, sentences) of each run of sentences in one language, in order; none for null and blank texts, hesitations and notes."""
     if not text:
         return []
     scored = []
-    clean = " ".join(s for _, s in analyse(text, fillers)[1])
-    for part in _END.split(clean):
+    for part in _END.split(_strip_marks(text)[0].translate(_SAME)):
         if memo is not None and part in memo:
             found = memo[part]
         else:
-            words = sentences(part)
-            found = model.best([w for s in words for w in s]) if words and (len(words[0]) > 1 or len(words[0][0]) > 3) else None
+            words = words_of(part)
+            found = model.best(words) if len(words) > 1 or (words and len(words[0]) > 3) else None
             if memo is not None and len(memo) < 200_000:
                 memo[part] = found
         if found is not None:
             scored.append(found)
+    if len(scored) == 1:
+        return [(*scored[0], 1)]
     sure = [k for k, (_, c) in enumerate(scored) if c >= SURE]
     out: list[list] = []
     for k, (lang, c) in enumerate(scored):
@@ -207,7 +233,7 @@ def segments(text: str | None, model: PieceModel, fillers: FillerModel, memo: di
 FIELDS = {"raw_text": "lang", "translated_text": "translated_lang"}
 
 
-def with_languages(turns: DataFrame, model: PieceModel, fillers: FillerModel) -> DataFrame:
+def with_languages(turns: DataFrame, model: PieceModel) -> DataFrame:
     """(id, field, label, segments) for both texts of each turn: segments array<struct<lang, confidence, sentences>>, empty where there is no sentence."""
 
     @F.pandas_udf("array<struct<lang:string,confidence:double,sentences:int>>")
@@ -219,7 +245,7 @@ def with_languages(turns: DataFrame, model: PieceModel, fillers: FillerModel) ->
             for t in texts:
                 row = whole.get(t)
                 if row is None:
-                    row = [{"lang": a, "confidence": round(b, 4), "sentences": n} for a, b, n in segments(t, model, fillers, memo)]
+                    row = [{"lang": a, "confidence": round(b, 4), "sentences": n} for a, b, n in segments(t, model, memo)]
                     if len(whole) < 50_000:
                         whole[t] = row
                 out.append(row)
@@ -230,8 +256,8 @@ def with_languages(turns: DataFrame, model: PieceModel, fillers: FillerModel) ->
     return long.select("id", "field", "label", run(F.col("text")).alias("segments"))
 
 
-def found(turns: DataFrame, model: PieceModel, fillers: FillerModel) -> DataFrame:
+def found(turns: DataFrame, model: PieceModel) -> DataFrame:
     """(id, field, lang): every language of the fields whose label is absent, blank, another than the text's, or one while the text has several. Texts without a sentence have no rows."""
-    lang = with_languages(turns, model, fillers).withColumn("langs", F.array_distinct(F.transform("segments", lambda s: s["lang"])))
+    lang = with_languages(turns, model).withColumn("langs", F.array_distinct(F.transform("segments", lambda s: s["lang"])))
     wrong = (F.size("langs") > 1) | (normal_label(F.col("label")) != F.element_at("langs", 1))
     return lang.where(F.size("langs") > 0).where(wrong).select("id", "field", F.explode("langs").alias("lang"))

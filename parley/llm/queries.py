@@ -55,12 +55,12 @@ def p3_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "transcript_turns")
-    return languages.found(turns, languages.fit_model(turns), transcripts.fit_fillers(turns))
+    return languages.found(turns, languages.fit_model(turns))
 
 
 def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "transcript_turns")
-    found = languages.with_languages(turns, languages.fit_model(turns), transcripts.fit_fillers(turns))
+    found = languages.with_languages(turns, languages.fit_model(turns))
     return found.select("id", "field", F.posexplode("segments").alias("segment_no", "s")).select("id", "field", "segment_no", "s.lang", "s.confidence", "s.sentences")
 
 
