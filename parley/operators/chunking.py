@@ -60,10 +60,11 @@ def merged_groups(grouped: DataFrame, doc: str = "doc_id", ord_: str = "ord") ->
     return g.select(doc, "group_no", F.element_at("items", 1)["chunk_id"].alias("chunk_id"), F.element_at("items", 1)["page_start"].alias("page_start"), "page_end", text.alias("text"), size_estimate(text).alias("token_count"), F.transform("items", lambda x: x["chunk_id"]).alias("merged_from"))
 
 
-def linked(chunks: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("ord", "chunk_id")) -> DataFrame:
-    """Adds prev_id and next_id by the order within the document."""
-    w = Window.partitionBy(doc).orderBy(*order)
-    return chunks.withColumn("prev_id", F.lag("chunk_id").over(w)).withColumn("next_id", F.lead("chunk_id").over(w))
+def linked(chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Adds prev_id and next_id by ord, then chunk_id, within the document."""
+    marked = chunks.withColumn("__stretch", F.floor(F.coalesce("ord", F.lit(0)) / STRETCH))
+    back = blocked_lag(marked, [doc], "__stretch", ["ord", "chunk_id"], F.col("chunk_id"), "prev_id")
+    return blocked_lag(back, [doc], "__stretch", ["ord", "chunk_id"], F.col("chunk_id"), "next_id", ahead=True).drop("__stretch")
 
 
 def greedy_groups(sims: Column, tokens: Column, least: int = SEMANTIC_MIN, most: int = SEMANTIC_MAX, weak: float = BREAK, strong: float = STRONG_BREAK, strong_least: int = STRONG_MIN) -> Column:

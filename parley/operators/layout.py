@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import caption_anchor
+from parley.operators.chunking import STRETCH
+from parley.operators.ordered import blocked_last
 
 # Fixed values of the page geometry, in points.
 MARGIN_BAND, STRIP_HEIGHT, PAGE_HEIGHT = 40.0, 25.0, 792.0
@@ -55,10 +57,9 @@ def equation_neighbours(blocks: DataFrame, most: int = 400) -> DataFrame:
 
 def section_paths(blocks: DataFrame, levels: int = 6) -> DataFrame:
     """Adds section_path: the headings in force at each block, outer first. A heading ends those of its own and deeper levels."""
-    order = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heading = F.col("type") == "section_heading"
-    last = [F.last(F.when(heading & (F.col("level") == k), F.struct("ord", "text")), ignorenulls=True).over(order) for k in range(1, levels + 1)]
-    out = blocks.withColumns({f"__h{k}": c for k, c in enumerate(last, 1)})
+    last = {f"__h{k}": F.when(heading & (F.col("level") == k), F.struct("ord", "text")) for k in range(1, levels + 1)}
+    out = blocked_last(blocks.withColumn("__stretch", F.floor(F.col("ord") / STRETCH)), ["doc_id"], "__stretch", ["ord"], last).drop("__stretch")
     alive = []
     for k in range(1, levels + 1):
         mine = F.col(f"__h{k}")

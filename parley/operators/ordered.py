@@ -6,19 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def blocked_lag(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, out: str) -> DataFrame:
-    """Adds out: value of the row before, in the order of block and then order, among the rows of equal keys; null at the first.
+def blocked_lag(df: DataFrame, keys: list[str], block: str, order: list[str], value: Column, out: str, ahead: bool = False) -> DataFrame:
+    """Adds out: value of the row before, in the order of block and then order, among the rows of equal keys; null at the first. With ahead, of the row after; null at the last.
 
     block must not decrease along the order. Rows are sorted within (keys, block) only; one row for each block carries its last value across.
     The order has to be total, otherwise which of two equal rows comes first is open. value must not be null where it is to be seen.
     """
-    inner = Window.partitionBy(*keys, block).orderBy(*order)
-    edges = (
-        df.groupBy(*keys, block)
-        .agg(F.max_by(F.struct(value.alias("v")), F.struct(*order)).alias("__lag_last"))
-        .withColumn("__lag_edge", F.lag("__lag_last").over(Window.partitionBy(*keys).orderBy(block)))
-        .select(*keys, block, "__lag_edge")
-    )
+    inner = Window.partitionBy(*keys, block).orderBy(*[F.col(c).desc() for c in order] if ahead else order)
+    outer = Window.partitionBy(*keys).orderBy(F.col(block).desc() if ahead else F.col(block))
+    edge = (F.min_by if ahead else F.max_by)(F.struct(value.alias("v")), F.struct(*order))
+    edges = df.groupBy(*keys, block).agg(edge.alias("__lag_last")).withColumn("__lag_edge", F.lag("__lag_last").over(outer)).select(*keys, block, "__lag_edge")
     return (
         df.withColumn("__lag_here", F.lag(F.struct(value.alias("v"))).over(inner))
         .join(edges, [*keys, block])
@@ -27,6 +24,16 @@ def blocked_lag(df: DataFrame, keys: list[str], block: str, order: list[str], va
     )
 
 
+def blocked_last(df: DataFrame, keys: list[str], block: str, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Adds for each name the last value that is not null up to and with the row, in the order of block and then order, among the rows of equal keys."""
+    inner = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    outer = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.max_by(v, F.when(v.isNotNull(), F.struct(*order))).alias(f"__of_{n}") for n, v in values.items()]
+    edges = df.groupBy(*keys, block).agg(*last).select(*keys, block, *[F.last(f"__of_{n}", ignorenulls=True).over(outer).alias(f"__before_{n}") for n in values])
+    seen = df.withColumns({f"__in_{n}": F.last(v, ignorenulls=True).over(inner) for n, v in values.items()}).join(edges, [*keys, block])
+    return seen.withColumns({n: F.coalesce(f"__in_{n}", f"__before_{n}") for n in values}).drop(*[f"__in_{n}" for n in values], *[f"__before_{n}" for n in values])
+
+
 def blocked_running_sum(df: DataFrame, keys: list[str], block: str, order: list[str], amount: Column, out: str) -> DataFrame:
     """Adds out: the sum of amount up to and with the row, in the order of block and then order, among the rows of equal keys."""
     inner = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

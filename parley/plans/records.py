@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
 from parley.operators import chunking, storage
+from parley.operators.ordered import blocked_running_sum
 from parley.session import table
 
 #: The moment at which ages are counted, so that results do not depend on the clock.
@@ -44,8 +45,9 @@ def prev_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(F.col("chunk_type") == "prose", 0).when(F.col("chunk_type") == "table", 1).otherwise(2)
-    w = Window.partitionBy("doc_id").orderBy("page_start", rank, "ord", "chunk_id")
-    return _chunks(spark, sf_dir).select("doc_id", "chunk_id", F.row_number().over(w).alias("position"))
+    chunks = _chunks(spark, sf_dir).withColumn("rank", rank).withColumn("stretch", F.floor(F.col("page_start") / 16))
+    placed = blocked_running_sum(chunks, ["doc_id"], "stretch", ["page_start", "rank", "ord", "chunk_id"], F.lit(1), "position")
+    return placed.select("doc_id", "chunk_id", F.col("position").cast("int").alias("position"))
 
 
 def token_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:

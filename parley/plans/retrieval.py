@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions.text import KEYWORD_TOKEN, reference_like
 from parley.functions.vector import cosine, distance_score
 from parley.operators import fusion, lexical, nearest
+from parley.operators.ordered import blocked_lag
 from parley.session import cut, table
 
 
@@ -137,9 +138,9 @@ def reference_like_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adjacent_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of each vector to the next of its label, by id."""
-    v = table(spark, sf_dir, "embeddings")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return v.withColumn("next", F.lead("embedding").over(w)).where("next is not null").select("label", "vec_id", F.round(cosine(F.col("embedding"), F.col("next")), 5).alias("similarity"))
+    v = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", F.floor(F.col("vec_id") / 4096).alias("stretch"))
+    seen = blocked_lag(v, ["label"], "stretch", ["vec_id"], F.col("embedding"), "next", ahead=True).where("next is not null")
+    return seen.select("label", "vec_id", F.round(cosine(F.col("embedding"), F.col("next")), 5).alias("similarity"))
 
 
 def _tokens(text: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions.speakers import ASSISTANT_NAMES, CUSTOMER_NAMES, WORKER_NAMES, epoch_seconds, session_key, speaker_role, workflow_target
 from parley.functions.text import echo_words
 from parley.operators import conversation, signals, storage
+from parley.operators.ordered import blocked_lag
 from parley.session import table
 
 DAY = 86400.0
@@ -149,9 +150,9 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Milliseconds between consecutive events of a user, by day: mean and greatest."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = _events(spark, sf_dir).withColumn("ms", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 1000).where("ms is not null")
-    return e.groupBy(F.to_date("ts").alias("day")).agg(F.round(F.avg("ms"), 3).alias("avg_ms"), F.round(F.max("ms"), 3).alias("max_ms"))
+    e = _events(spark, sf_dir).select("user_id", "event_id", F.to_date("ts").alias("day"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    seen = blocked_lag(e, ["user_id"], "day", ["at", "event_id"], F.col("at"), "before").withColumn("ms", (F.col("at") - F.col("before")) / 1000).where("ms is not null")
+    return seen.groupBy("day").agg(F.round(F.avg("ms"), 3).alias("avg_ms"), F.round(F.max("ms"), 3).alias("max_ms"))
 
 
 def active_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
