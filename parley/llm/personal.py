@@ -138,15 +138,18 @@ _UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿऀ-ॿ][^\W\d_]*(?:['’-][^\W\d_]+)*
 _PREFIX = re.compile(rf"\s*(?:\*[^*]*\*\s*|\S{{1,9}}(?:\s\d)?\s-\s|[^\w\s]*(?:{_SOUND}|you know|i mean|o sea)(?!\w)[^\w\s]*\s+|\S+>>\s*|[\[(<][^\])>]*[\])>]\s*|\S{{1,8}}:\s+|[@\d]\S*\s+(?:-->\s)?)*", re.I)
 
 
+_INITIAL = re.compile(r"(?:^|\s)[^\W\d_]\.")
+
+
 def _name_tokens(text: str, low: str, names: Gazetteer) -> list[tuple[int, int, str, str, bool]]:
     """(start, end, word, how it looks like a name, whether first in its sentence) of the tokens that may be part of one."""
     start = _PREFIX.match(text).end()
     parts = low.split()
     bare_words = {w.strip(".,;:!?") for w in parts}
-    by_case = text is not low and text != low
+    by_case = text != low
     plain_listed = [w for w in bare_words & names.kind.keys() if not by_case or (" " + w) in text or text.startswith(w)]
-    hyphened = any("-" in w for w in parts) and not by_case
-    if not plain_listed and not hyphened and bare_words.isdisjoint(TITLES) and not any(len(w) == 2 and w[1] == "." for w in parts):
+    hyphened = "-" in low and not by_case
+    if not plain_listed and not hyphened and bare_words.isdisjoint(TITLES) and not _INITIAL.search(text):
         # nothing but capitals can speak for a name
         out = []
         for m in _UPPER.finditer(text, start):
@@ -517,7 +520,9 @@ def entities(text: str | None, model: SemiMarkov, names: Gazetteer, memo: dict |
     out, at = [], 0
     for m in (*_END.finditer(text), None):
         end = m.start() if m else len(text)
-        part = text[at:end].translate(_SAME)
+        part = text[at:end]
+        if _DIGITS.search(part):
+            part = part.translate(_SAME)
         found = memo.get(part) if memo is not None else None
         if found is None:
             if "  " in part:
