@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
-from parley.operators import chunking, storage
+from parley.functions.vector import dot
+from parley.operators import chunking, slots, storage
 from parley.operators.ordered import blocked_running_sum
 from parley.session import table
 
@@ -134,11 +135,35 @@ def page_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "bm25_docs").where("page_end >= 3 and page_start <= 5").groupBy(F.coalesce("user_id", F.lit("")).alias("user_id")).agg(F.count(F.lit(1)).alias("chunks"))
 
 
+def _sentence_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of each chunk with their sizes and the similarity of each to the next, as arrays; a chunk is small."""
+    chunks = _chunks(spark, sf_dir)
+    parts = slots.embedded(chunks.select("chunk_id", "doc_id", "ord", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence")), "sentence")
+    rows = F.array_sort(F.collect_list(F.struct("i", T.size_estimate(F.col("sentence")).alias("n"), "embedding")))
+    grouped = parts.groupBy("chunk_id", "doc_id", "ord").agg(rows.alias("r"))
+    pairs = F.when(F.size("r") > 1, F.transform(F.sequence(F.lit(0), F.size("r") - 2), lambda i: F.round(dot(F.get("r", i)["embedding"], F.get("r", i + 1)["embedding"]), 6))).otherwise(F.array().cast("array<double>"))
+    return grouped.select("chunk_id", "doc_id", "ord", F.transform("r", lambda x: x["n"]).alias("sizes"), pairs.alias("sims"))
+
+
+def semantic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of each chunk grouped by similarity and size: number of groups and their sizes after merging small ones."""
+    folds = _sentence_folds(spark, sf_dir).withColumn("groups", chunking.greedy_groups(F.col("sims"), F.col("sizes"), least=30, most=120))
+    numbers = F.transform(F.sequence(F.lit(0), F.array_max("groups")), lambda g: F.aggregate(F.filter(F.arrays_zip("groups", "sizes"), lambda x: x["groups"] == g), F.lit(0), lambda s, x: s + x["sizes"]))
+    return folds.select("chunk_id", F.size("sizes").alias("sentences"), (F.array_max("groups") + 1).alias("n_groups"), F.to_json(chunking.semantic_floor_merge(numbers, 30)).alias("sizes"))
+
+
+def refine_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts of the chunks above 120 tokens at the deepest valleys of similarity, and how many sentences each cut repeats."""
+    folds = _sentence_folds(spark, sf_dir).where(F.aggregate("sizes", F.lit(0), lambda s, x: s + x) > 120)
+    cuts = folds.withColumn("cuts", chunking.accepted_splits(chunking.split_points(F.col("sims")), F.col("sizes"), 30))
+    return cuts.select("chunk_id", "sizes", F.posexplode("cuts").alias("cut_no", "cut")).select("chunk_id", "cut_no", "cut", chunking.trailing_overlap(F.col("sizes"), F.col("cut"), 20).alias("overlap"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         section_grouping, floor_merge, prev_next, reading_order, token_distribution, document_sizes, unindexed_documents, type_histogram, dedupe_signature, normalized_excerpts, size_estimates, sentence_counts,
-        name_forms, contextual_prefix, registry_upsert, missing_calls, unexpired_calls, after_deletion, page_overlap,
+        name_forms, contextual_prefix, registry_upsert, missing_calls, unexpired_calls, after_deletion, page_overlap, semantic_groups, refine_splits,
     )
 }
 
