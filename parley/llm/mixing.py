@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.session import cut
+
 #: Domain of each source of the project; others fall under "other".
 DOMAINS = {
     "dialogue": ("call_transcript", "chat_log", "email_thread", "complaint_letter"),
@@ -74,26 +76,32 @@ def mix(docs: DataFrame, targets: DataFrame, total: int, seed: int = 7, key: str
     leaves = have.withColumn("weight", F.col("target_share") * F.col("have") / of_source).withColumn("cap", (F.col("have") * F.col("max_repeats")).cast("double"))
     plan = leaf_budgets(leaves, total).withColumn("epochs", F.least(F.floor(F.col("want") / F.col("have")), F.col("max_repeats")).cast("int")).withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("want") - F.col("epochs") * F.col("have")).otherwise(0.0))
     small = F.broadcast(plan.select(*leaf, "epochs", "rest"))
-    order = F.xxhash64(F.col("__key"), F.lit(seed), F.col("epochs"))
-    ranged = base.join(small, leaf).withColumn("__at", order).withColumn("__range", F.pmod(F.shiftrightunsigned("__at", 40), F.lit(ranges)).cast("int")).withColumn("__fits", F.col("tokens") <= F.col("rest"))
-    before = Window.partitionBy(*leaf).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.where("__fits").groupBy(*leaf, "__range").agg(F.sum("tokens").alias("__sum"))
-    # ranges x leaves rows at most, whatever the corpus
-    offsets = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).select(*leaf, "__range", "__before")
-    placed = ranged.join(F.broadcast(offsets), [*leaf, "__range"], "left").withColumn("__open", F.col("__fits") & (F.col("__before") < F.col("rest")))
-    settled = placed.where(~F.coalesce("__open", F.lit(False)) & (F.col("epochs") > 0)).withColumn("extra", F.lit(0))
-    running = F.sum("tokens").over(Window.partitionBy(*leaf, "__range").orderBy("__at", "__key")) + F.col("__before")
-    near = placed.where("__open").withColumn("extra", F.when(running <= F.col("rest"), 1).otherwise(0))
-    # what the prefixes of a source leave open goes to the next of its records that fit
-    wanted = plan.groupBy("source").agg(F.sum("rest").alias("__rest"))
-    taken = near.groupBy("source").agg(F.sum(F.col("tokens") * F.col("extra")).alias("__taken"))
-    gap = wanted.join(taken, "source", "left").select("source", (F.col("__rest") - F.coalesce("__taken", F.lit(0))).alias("__gap"))
-    waiting = near.where("extra = 0").join(F.broadcast(gap), "source").where(F.col("tokens") <= F.col("__gap"))
-    filled = F.sum("tokens").over(Window.partitionBy("source").orderBy("__at", "__key"))
-    second = waiting.withColumn("extra", F.when(filled <= F.col("__gap"), 1).otherwise(0)).drop("__gap")
-    rest = near.where("extra = 1").unionByName(second).unionByName(near.where("extra = 0 and epochs > 0").join(second.select("__key"), "__key", "left_anti").select(*near.columns))
-    chosen = settled.unionByName(rest).withColumn("times", (F.col("epochs") + F.col("extra")).cast("int")).where(F.col("times") > 0)
-    return chosen.select(F.col("__key").alias(key), "source", "lang", "domain", "tokens", "times")
+    ranged = base.join(small, leaf).withColumn("__at", F.xxhash64(F.col("__key"), F.lit(seed), F.col("epochs"))).withColumn("__range", F.pmod(F.shiftrightunsigned("__at", 40), F.lit(ranges)).cast("int"))
+    chosen = cut(_prefix(ranged, leaf, F.col("rest")).withColumn("times", F.col("epochs") + F.col("extra")).select("__key", *leaf, "tokens", "max_repeats", "times", "__at", "__range"))
+    # what the leaves of a source leave open goes to its records next in order, those used least first, smaller ones in the second round
+    wanted = plan.groupBy("source").agg(F.sum("want").alias("__want"))
+    for _ in range(2):
+        taken = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("times")).alias("__taken"))
+        gap = F.broadcast(wanted.join(taken, "source", "left").select("source", (F.col("__want") - F.coalesce("__taken", F.lit(0))).alias("__gap")))
+        open_ = chosen.join(gap, "source", "left").withColumn("__gap", F.when(F.col("times") < F.col("max_repeats"), F.col("__gap")).otherwise(0.0))
+        fewest_first = open_.withColumn("__slot", F.col("times") * ranges + F.col("__range"))
+        chosen = cut(_prefix(fewest_first, ["source"], F.col("__gap"), "__slot").withColumn("times", F.col("times") + F.col("extra")).drop("extra", "__gap", "__slot"))
+    return chosen.where("times > 0").select(F.col("__key").alias(key), "source", "lang", "domain", "tokens", F.col("times").cast("int").alias("times"))
+
+
+def _prefix(rows: DataFrame, group: list[str], room: Column, slot: str = "__range") -> DataFrame:
+    """Adds extra: 1 for the records of each group, in the order of slot and __at, that stay within its room together, passing over those larger than it; else 0.
+
+    Sums by slot come first; only slots that the room reaches are sorted. There are slots x groups sums at most, whatever the corpus.
+    """
+    marked = rows.withColumn("__room", F.coalesce(room, F.lit(0.0))).withColumn("__fits", F.col("tokens") <= F.col("__room"))
+    before = Window.partitionBy(*group).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    sums = marked.where("__fits").groupBy(*group, slot).agg(F.sum("tokens").alias("__sum"))
+    offsets = F.broadcast(sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).select(*group, slot, "__before"))
+    placed = marked.join(offsets, [*group, slot], "left").withColumn("__open", F.coalesce(F.col("__fits") & (F.col("__before") < F.col("__room")), F.lit(False)))
+    running = F.sum("tokens").over(Window.partitionBy(*group, slot).orderBy("__at", "__key")) + F.col("__before")
+    near = placed.where("__open").withColumn("extra", F.when(running <= F.col("__room"), 1).otherwise(0))
+    return near.unionByName(placed.where("not __open").withColumn("extra", F.lit(0))).drop("__room", "__fits", "__before", "__open")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
