@@ -91,6 +91,29 @@ class Gazetteer:
 
     def __init__(self, names: dict[str, str]) -> None:
         self.kind = {k.lower(): v for k, v in names.items()}
+        self._search = None
+
+    def __getstate__(self) -> dict:
+        return {"kind": self.kind, "_search": None}
+
+    def seen(self, low: str) -> tuple[list[str], bool]:
+        """Listed names and whether a title stand as words in a lower-case text, by one pass over it."""
+        if self._search is None:
+            import ahocorasick
+
+            self._search = ahocorasick.Automaton()
+            for w in (*self.kind, *TITLES):
+                self._search.add_word(w, w)
+            self._search.make_automaton()
+        listed, title, n = [], False, len(low)
+        for end, w in self._search.iter(low):
+            a, b = end - len(w), end + 1
+            if (a < 0 or not (low[a].isalnum() or low[a] == "'")) and (b == n or not low[b].isalnum()):
+                if w in TITLES:
+                    title = True
+                if w in self.kind:
+                    listed.append(w)
+        return listed, title
 
     def of(self, word: str) -> str:
         known = self.kind.get(word, "")
@@ -144,12 +167,11 @@ _INITIAL = re.compile(r"(?:^|\s)[^\W\d_]\.")
 def _name_tokens(text: str, low: str, names: Gazetteer) -> list[tuple[int, int, str, str, bool]]:
     """(start, end, word, how it looks like a name, whether first in its sentence) of the tokens that may be part of one."""
     start = _PREFIX.match(text).end()
-    parts = low.split()
-    bare_words = {w.strip(".,;:!?") for w in parts}
+    listed, title = names.seen(low)
     by_case = text != low
-    plain_listed = [w for w in bare_words & names.kind.keys() if not by_case or (" " + w) in text or text.startswith(w)]
-    hyphened = "-" in low and not by_case
-    if not plain_listed and not hyphened and bare_words.isdisjoint(TITLES) and not _INITIAL.search(text):
+    plain_listed = listed and (not by_case or any((" " + w) in text or text.startswith(w) for w in listed))
+    hyphened = not by_case and "-" in low
+    if not plain_listed and not hyphened and not title and not (". " in text and _INITIAL.search(text)):
         # nothing but capitals can speak for a name
         out = []
         for m in _UPPER.finditer(text, start):
@@ -200,6 +222,11 @@ def _name_tokens(text: str, low: str, names: Gazetteer) -> list[tuple[int, int,
     return out
 
 
+def _many_digits(text: str) -> bool:
+    """Whether a number or code may stand in a text whose digits are masked: all forms have four digits at least."""
+    return text.count("9") + text.count("0") >= 4
+
+
 def candidates(text: str, names: Gazetteer) -> list[tuple[int, int, str, list[str]]]:
     """Segments (start, end, type, features) that the model scores; all other text is outside of entities."""
     out: list[tuple[int, int, str, list[str]]] = []
@@ -213,7 +240,7 @@ def candidates(text: str, names: Gazetteer) -> list[tuple[int, int, str, list[st
             after = text.find(" ", a, b)
             m = _EMAIL.search(text, after if after > 0 and " at " in m[0].lower() and "@" not in m[0] else b)
     if _DIGITS.search(text):
-        for pattern in (_NUMBER, _CODE) if _LONG.search(text) else ():
+        for pattern in (_NUMBER, _CODE) if _many_digits(text) and _LONG.search(text) else ():
             for m in pattern.finditer(text):
                 a, b = m.span()
                 while b > a and text[b - 1] in " .-/(":
