@@ -24,6 +24,8 @@ WORDS_PER_COLUMN = 48
 LEAF, FAN, SMALL = 2, 32, 24
 #: A prefix group that may hold more records is cut into blocks, of which every two meet in a task of their own.
 BLOCK = 8192
+#: At most so many keys are broadcast.
+BROADCAST_KEYS = 100_000
 _WORD = re.compile(r"\w+")
 
 
@@ -53,22 +55,31 @@ def _digests(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.bitwise_xor.reduceat(mixed, ends[:-1]).view(np.int64), np.add.reduceat(codes * (codes | np.uint64(1)), ends[:-1]).view(np.int64)
 
 
+def _fresh(h1: np.ndarray, h2: np.ndarray, seen: set) -> np.ndarray:
+    """Which digests this task meets for the first time; seen is kept."""
+    return np.array([(pair not in seen and not seen.add(pair)) for pair in zip(h1.tolist(), h2.tolist())], dtype=bool)
+
+
 def survey(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray, int]:
-    """One pass over all texts: (key, h1, h2) with the digest of each record's words, the records in which a word of each bucket occurs, and the words of a record of mean size.
+    """One pass over all texts: (key, h1, h2) with the digest of each record's words, the sets in which a word of each bucket occurs, and the words of a set of mean size. A set counts once a task, however many records have it.
 
     Texts that are null or hold no word are left out.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, memo = np.zeros(COUNT_BUCKETS, dtype=np.int64), {}
+        # the last place counts the sets themselves
+        total, memo, seen = np.zeros(COUNT_BUCKETS + 1, dtype=np.int64), {}, set()
         for frame in frames:
             codes, ends = _hashes(frame[text], memo)
             some = np.diff(ends) > 0
             if not len(codes):
                 continue
-            total += np.bincount((codes % np.uint64(COUNT_BUCKETS)).astype(np.int64), minlength=COUNT_BUCKETS)
             h1, h2 = _digests(codes, np.concatenate((ends[:-1][some], ends[-1:])))
+            new = _fresh(h1, h2, seen)
+            fresh = np.repeat(new, np.diff(ends)[some])
+            total += np.bincount((codes[fresh] % np.uint64(COUNT_BUCKETS)).astype(np.int64), minlength=COUNT_BUCKETS + 1)
+            total[-1] += new.sum()
             yield pd.DataFrame({"key": frame[key].to_numpy()[some], "h1": h1, "h2": h2, "bucket": -1, "n": 0})
         at = np.flatnonzero(total)
         yield pd.DataFrame({"key": pd.Series([None] * len(at), dtype=object), "h1": 0, "h2": 0, "bucket": at, "n": total[at]})
@@ -76,9 +87,9 @@ def survey(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray,
     both = cut(docs.where(F.col(text).isNotNull()).select(key, text).mapInPandas(work, f"key {kind}, h1 long, h2 long, bucket int, n long"))
     marked = both.where("bucket < 0").select("key", "h1", "h2")
     rows = both.where("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(COUNT_BUCKETS, dtype=np.int64)
+    counts = np.zeros(COUNT_BUCKETS + 1, dtype=np.int64)
     counts[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
-    return marked, counts, max(1, int(counts.sum()) // max(1, marked.count()))
+    return marked, counts[:-1], max(1, int(counts[:-1].sum()) // max(1, int(counts[-1])))
 
 
 def _prefix_lengths(n: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +119,7 @@ def prefix_rows(docs: DataFrame, text: str, counts: np.ndarray, columns: int, t:
             starts = np.concatenate((ends[:-1][some], ends[-1:]))
             size = size[some]
             h1, h2 = _digests(codes, starts)
-            fresh = np.array([(pair not in seen and not seen.add(pair)) for pair in zip(h1.tolist(), h2.tolist())], dtype=bool)
+            fresh = _fresh(h1, h2, seen)
             record = np.repeat(np.arange(len(size)), size)
             often = count[(codes % np.uint64(COUNT_BUCKETS)).astype(np.int64)]
             order = np.lexsort((codes, often, record))
@@ -125,11 +136,11 @@ def prefix_rows(docs: DataFrame, text: str, counts: np.ndarray, columns: int, t:
             mine = (h1.view(np.uint64)[who] % blocks.astype(np.uint64)).astype(np.int64)[copies]
             who, at, where = who[copies], at[copies], where[copies]
             yield pd.DataFrame(
-                {"token": codes[at].view(np.int64), "pair": (np.minimum(mine, other) * 65536 + np.maximum(mine, other)).astype(np.int32), "h1": h1[who], "h2": h2[who], "meta": (size[who] * 2 + (where < index[who])).astype(np.int32)}
+                {"token": codes[at].view(np.int64), "pair": np.minimum(mine, other) * (1 << 31) + np.maximum(mine, other), "h1": h1[who], "h2": h2[who], "meta": (size[who] * 2 + (where < index[who])).astype(np.int32)}
                 | {c: v[who] for c, v in zip(sig, signs)}
             )
 
-    return docs.where(F.col(text).isNotNull()).select(text).mapInPandas(rows, "token long, pair int, h1 long, h2 long, meta int, " + ", ".join(f"{c} long" for c in sig))
+    return docs.where(F.col(text).isNotNull()).select(text).mapInPandas(rows, "token long, pair long, h1 long, h2 long, meta int, " + ", ".join(f"{c} long" for c in sig))
 
 
 def _leaves(size: np.ndarray, sig: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -274,7 +285,10 @@ def similar_pairs(docs: DataFrame, key: str = "chunk_id", text: str = "text", th
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     )
     ends = cut(named).select("a", "b", F.explode(F.array("a", "b")).alias("key"))
-    texts = ends.join(base, "key").groupBy("a", "b").agg(F.min("text").alias("x"), F.max("text").alias("y"))
+    keys = ends.select("key").distinct()
+    # few candidates are sent to the texts, many make both sides meet by key
+    near = base.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= BROADCAST_KEYS else base
+    texts = ends.join(near, "key").groupBy("a", "b").agg(F.min("text").alias("x"), F.max("text").alias("y"))
 
     @F.pandas_udf("double")
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:

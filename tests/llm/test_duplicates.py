@@ -49,6 +49,13 @@ def test_large_groups_use_the_tree(spark, monkeypatch):
     assert sorted((r.chunk_id_a, r.chunk_id_b) for r in got) == brute(rows)
 
 
+def test_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_KEYS", 0)
+    rows = make(4, 100)
+    got = D.found(spark.createDataFrame(rows, "chunk_id string, text string")).collect()
+    assert sorted((r.chunk_id_a, r.chunk_id_b) for r in got) == brute(rows)
+
+
 def test_many_copies_and_extra_columns(spark):
     rows = [(f"c{k:03d}", "the same words in every one", "x", "y") for k in range(60)] + [("z", "quite another text here", "x", "y")]
     df = spark.createDataFrame(rows, "chunk_id string, text string, key string, rep string")
