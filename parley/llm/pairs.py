@@ -52,54 +52,48 @@ def is_refusal(answer: Column) -> Column:
     return F.lower(answer).rlike(r"(?:^|[.!?।:]\s+)[\s\"'“¡*_>-]*(?:" + "|".join(REFUSALS) + ")")
 
 
-def is_copy(question: Column, answer: Column) -> Column:
-    """The answer says hardly more than the question: most words of the one are words of the other, whatever case, quotes or heading were added, and it is at most three times as long."""
-    q, a = _words(question), _words(answer)
-    new = F.size(F.filter(a, lambda w: ~F.array_contains(q, w)))
-    kept = F.size(F.array_intersect(q, a))
-    return (F.size(q) > 0) & (F.size(a) > 0) & (F.size(a) <= 3 * F.size(q) + 4) & (new <= F.greatest(F.lit(1), F.floor(F.size(a) * 0.22))) & (kept >= 0.7 * F.size(F.array_distinct(q)))
-
-
-def _is_one_of(words: list[str]):
-    return lambda w: w.isin(*words)
+def is_copy(q: Column, a: Column) -> Column:
+    """The answer says hardly more than the question: most words of the one are words of the other, whatever case, quotes or heading were added, and it is at most three times as long. q and a are their words."""
+    own = F.array_distinct(q)
+    kept = F.size(F.array_intersect(own, a))
+    new = F.size(F.array_except(a, q))
+    return (F.size(q) > 0) & (F.size(a) > 0) & (F.size(a) <= 3 * F.size(q) + 4) & (new <= F.greatest(F.lit(1), F.floor(F.size(F.array_distinct(a)) * 0.22))) & (kept >= 0.7 * F.size(own))
 
 
 # Letters and marks that few languages write.
 LETTERS = {"de": "[äöüß]", "fr": "[èêëîïôûœçà]", "es": "[¿¡ñ]", "pt": "[ãõ]"}
 
 
-def languages(text: Column) -> Column:
-    """The languages that speak loudest for text, by script, function words and letters; several on a tie, none where nothing speaks."""
-    words, low = _words(text), F.lower(text)
-    hits = {lang: F.size(F.filter(words, _is_one_of(sorted(set(ws.split()))))) + (F.when(low.rlike(LETTERS[lang]), 1).otherwise(0) if lang in LETTERS else 0) for lang, ws in FUNCTION_WORDS.items()}
+def languages(words: Column, text: Column) -> Column:
+    """The languages that speak loudest for a text with these words, by script, function words and letters; several on a tie, none where nothing speaks."""
+    low = F.lower(text)
+    hits = {lang: F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in sorted(set(ws.split()))]))) + (F.when(low.rlike(LETTERS[lang]), 1).otherwise(0) if lang in LETTERS else 0) for lang, ws in FUNCTION_WORDS.items()}
     scores = F.array(*[F.struct(n.alias("n"), F.lit(lang).alias("lang")) for lang, n in hits.items()])
     top = F.array_max(F.transform(scores, lambda s: s["n"]))
     loud = F.transform(F.filter(scores, lambda s: (s["n"] > 0) & (s["n"] == top)), lambda s: s["lang"])
     return F.when(F.regexp_count(text, F.lit(r"[\x{0900}-\x{097F}]")) * 3 > F.length(text), F.array(F.lit("hi"))).otherwise(loud)
 
 
-def is_wrong_language(question: Column, answer: Column) -> Column:
-    q, a = languages(question), languages(answer)
-    return (F.size(q) > 0) & (F.size(a) > 0) & ~F.arrays_overlap(q, a)
-
-
 def with_defects(states: DataFrame, question: str = "question", answer: str = "answer", route: str = "route") -> DataFrame:
     """Adds defects, every triggered type in the order of the rules: empty, copy, refusal, truncated, wrong_language.
 
     Only rows of the route rag_answer are judged; others, and those of a null route, get an empty array. A null question can be neither copied nor of another language.
     Answers of any length are read whole. No row is shuffled.
     """
-    q, a = F.coalesce(F.col(question), F.lit("")), F.col(answer)
+    a = F.col(answer)
     text = F.coalesce(a, F.lit(""))
+    judged = F.coalesce(F.col(route) == "rag_answer", F.lit(False))
+    # words and languages are made once, and for judged rows only
+    worded = states.withColumn("__qw", F.when(judged, _words(F.coalesce(F.col(question), F.lit(""))))).withColumn("__aw", F.when(judged, _words(text)))
+    spoken = worded.withColumn("__ql", languages(F.col("__qw"), F.coalesce(F.col(question), F.lit("")))).withColumn("__al", languages(F.col("__aw"), text))
     tests = {
-        "empty": is_empty(a),
-        "copy": is_copy(q, text),
+        "copy": is_copy(F.col("__qw"), F.col("__aw")),
         "refusal": is_refusal(text),
         "truncated": is_truncated(text),
-        "wrong_language": is_wrong_language(q, text),
+        "wrong_language": (F.size("__ql") > 0) & (F.size("__al") > 0) & ~F.arrays_overlap("__ql", "__al"),
     }
-    found = F.when(is_empty(a), F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*[F.when(tests[k], F.lit(k)) for k in ORDER[1:]])))
-    return states.withColumn("defects", F.when(F.col(route) == "rag_answer", found).otherwise(F.array().cast("array<string>")))
+    found = F.when(is_empty(a), F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*[F.when(F.coalesce(tests[k], F.lit(False)), F.lit(k)) for k in ORDER[1:]])))
+    return spoken.withColumn("defects", F.when(judged, found).otherwise(F.array().cast("array<string>"))).drop("__qw", "__aw", "__ql", "__al")
 
 
 def found(states: DataFrame) -> DataFrame:
