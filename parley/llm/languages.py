@@ -28,8 +28,10 @@ LABEL_BONUS = 5.0
 #: Share of a word's occurrences that may stand under another language by mistake.
 WRONG_LABELS = 0.04
 _WORD = re.compile(r"[^\W\d_][\wऀ-ॿ']*|[ऀ-ॿ]+")
-#: Sentence ends, but not after an initial or a shortened title.
-_END = re.compile(r"(?<=[.!?।])(?<!\.\.)" + "".join(rf"(?<!\b{t}\.)" for t in ("mr", "mrs", "ms", "dr", "sr", "sra", "st", "no", "nr", "hr", "fr", "mme", "prof", r"[^\W\d_]")) + r"[\"'”»)\]]*\s+|\n+", re.I)
+_DIGIT = re.compile(r"[1-8]")
+_BREAK = re.compile(r"[.!?।][\"'”»)\]]*\s+|\n+")
+#: Shortened words whose full stop ends no sentence.
+_SHORT = frozenset("mr mrs ms dr sr sra st no nr hr fr mme prof".split())
 #: A sentence less certain than this takes the language of its neighbours.
 SURE = 0.92
 _NOT_WORDS = re.compile(r"\S*@\S*|\S*\d\S*|\[\w+\]")
@@ -48,6 +50,23 @@ def default_path() -> str:
     return os.path.join(TOKENIZER_DIR, PIECES)
 
 
+def sentence_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the sentences of text. A full stop after an initial, a shortened title or another stop ends none."""
+    out, at = [], 0
+    for m in _BREAK.finditer(text):
+        k = m.start()
+        if text[k] == ".":
+            j = k
+            while j > at and k - j < 5 and text[j - 1].isalpha():
+                j -= 1
+            if text[k - 1 : k] == "." or (k - j == 1 or text[j:k].lower() in _SHORT) and (j == 0 or not text[j - 1].isalnum()):
+                continue
+        out.append((at, k if text[k] == "\n" else k + 1))
+        at = m.end()
+    out.append((at, len(text)))
+    return out
+
+
 class PieceModel:
     """Unigram probabilities of pieces for each language; a word's probability sums over all its segmentations.
 
@@ -171,7 +190,8 @@ def words_of(sentence: str) -> list[str]:
 
 def sentences(text: str) -> list[list[str]]:
     """Words of each sentence that has any."""
-    return [w for w in map(words_of, _END.split(text.translate(_SAME))) if w]
+    same = text.translate(_SAME)
+    return [w for w in (words_of(same[a:b]) for a, b in sentence_spans(same)) if w]
 
 
 def normal_label(label: Column) -> Column:
@@ -205,7 +225,11 @@ def segments(text: str | None, model: PieceModel, memo: dict | None = None) -> l
     if not text:
         return []
     scored = []
-    for part in _END.split(_strip_marks(text)[0].translate(_SAME)):
+    plain = _strip_marks(text)[0]
+    for a, b in sentence_spans(plain):
+        part = plain[a:b]
+        if _DIGIT.search(part):
+            part = part.translate(_SAME)
         if memo is not None and part in memo:
             found = memo[part]
         else:

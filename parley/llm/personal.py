@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.languages import _END
+from parley.llm.languages import sentence_spans
 from parley.llm.transcripts import _SOUND
 
 TYPES = ("email", "phone", "id_number", "address", "name")
@@ -44,7 +44,7 @@ _NUMBER = re.compile(r"(?<![\w₹$€:.])(?:\+|\(\+?)?\d(?:[\d ().\-/]{4,24})\d(
 _SPELT = re.compile(rf"\b(?:plus\s)?(?:(?:{DIGITS})[\s,-]+){{5,}}(?:{DIGITS})\b", re.I)
 _CODE = re.compile(r"\b[A-Za-z]{1,5}\d{4,9}[A-Za-z]?\b|\b[A-Za-z]{2} ?\d\d ?\d\d ?\d\d ?[A-Za-z]\b|\b(?:[A-Za-z0-9] ){7,}[A-Za-z0-9]\b")
 _DIGITS = re.compile(r"\d")
-_LONG = re.compile(r"(?:\d\D{0,3}){6}\d|[A-Za-z]\d{5}|[A-Za-z]\d{4}[A-Za-z]|\b[A-Za-z]{2} ?\d\d ?\d\d ?\d\d|(?:\b\w ){6}")
+_CODE_HINT = re.compile(r"[A-Za-z]\d{4}|[A-Za-z] ?\d\d ?\d\d ?\d\d ?[A-Za-z]|\b\d \d \d")
 _HOUSE = r"\d{1,4}(?:[/-]\d{1,4})?[a-z]?\b"
 _STREETS, _FIRST, _LAST = "|".join(STREET), "|".join(STREET_FIRST), "|".join(STREET_TAIL)
 _ADDRESS = re.compile(
@@ -75,7 +75,7 @@ _ADDRESS = re.compile(
     rf"(?:(?:house|haus|flat|apartment|apt|plot|door)\s(?:no\.?|nr\.?)?\s?\w+,?\s)?(?:{_HOUSE},?\s)?(?:(?:rue|calle|avenida|rua|via|chemin)\s[\w'’-]+(?:\s{_HOUSE})?|[\w'’-]+(?:straße|strasse|gasse|weg|platz|allee)\s{_HOUSE}|[\w'’-]+(?:\s[\w'’-]+)?\s(?:{_STREETS})\b)(?:\s{_HOUSE})?", re.I
 )
 _TAIL = re.compile(r",?\s(?:\d\w{1,3} floor|near the [\w'’-]+ gate|\d{5}\s[^\W\d_][\w'’-]*|[^\W\d_][\w'’-]*\s\d{5}|[^\W\d_][\w'’-]*)", re.I)
-_ANCHOR = re.compile(rf"\b(?:{_STREETS}|{_FIRST})\b|(?:{_LAST})\s\d", re.I)
+_STEMS = (*STREET, *(f"{w} " for w in STREET_FIRST), *(f"{w} " for w in STREET_TAIL), "house", "flat ")
 _TOKEN = re.compile(r"[^\W\d_](?:[\w'’]|-(?=\w)|[ऀ-ॿ])*\.?|\S")
 _NAMEY = re.compile(r"[^\W\d_]{2,}(?:['’-][^\W\d_]+)*")
 
@@ -222,11 +222,6 @@ def _name_tokens(text: str, low: str, names: Gazetteer) -> list[tuple[int, int,
     return out
 
 
-def _many_digits(text: str) -> bool:
-    """Whether a number or code may stand in a text whose digits are masked: all forms have four digits at least."""
-    return text.count("9") + text.count("0") >= 4
-
-
 def candidates(text: str, names: Gazetteer) -> list[tuple[int, int, str, list[str]]]:
     """Segments (start, end, type, features) that the model scores; all other text is outside of entities."""
     out: list[tuple[int, int, str, list[str]]] = []
@@ -240,7 +235,9 @@ def candidates(text: str, names: Gazetteer) -> list[tuple[int, int, str, list[st
             after = text.find(" ", a, b)
             m = _EMAIL.search(text, after if after > 0 and " at " in m[0].lower() and "@" not in m[0] else b)
     if _DIGITS.search(text):
-        for pattern in (_NUMBER, _CODE) if _many_digits(text) and _LONG.search(text) else ():
+        digits = text.count("9") + text.count("0")
+        patterns = ((_NUMBER,) if digits >= 7 else ()) + ((_CODE,) if digits >= 4 and _CODE_HINT.search(text) else ())
+        for pattern in patterns:
             for m in pattern.finditer(text):
                 a, b = m.span()
                 while b > a and text[b - 1] in " .-/(":
@@ -250,7 +247,7 @@ def candidates(text: str, names: Gazetteer) -> list[tuple[int, int, str, list[st
                     continue
                 feats = _number_features(text, a, b, False)
                 out += [(a, b, "phone", feats), (a, b, "id_number", feats)]
-        if _ANCHOR.search(text) or "house" in low or "flat" in low:
+        if any(w in low for w in _STEMS):
             for m in _ADDRESS.finditer(text):
                 if not re.search(r"\d", m[0]):
                     continue
@@ -544,9 +541,8 @@ def entities(text: str | None, model: SemiMarkov, names: Gazetteer, memo: dict |
     """(start, end, type) of the personal values in text, in order; none for null and empty texts. Whole texts of any length are read, sentence by sentence."""
     if not text:
         return []
-    out, at = [], 0
-    for m in (*_END.finditer(text), None):
-        end = m.start() if m else len(text)
+    out = []
+    for at, end in sentence_spans(text):
         part = text[at:end]
         if _DIGITS.search(part):
             part = part.translate(_SAME)
@@ -558,8 +554,8 @@ def entities(text: str | None, model: SemiMarkov, names: Gazetteer, memo: dict |
                 found = model.best(part, names)
             if memo is not None and len(memo) < 200_000:
                 memo[part] = found
-        out += [(a + at, b + at, k) for a, b, k in found]
-        at = m.end() if m else end
+        if found:
+            out += [(a + at, b + at, k) for a, b, k in found]
     return out
 
 
