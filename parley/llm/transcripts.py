@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from parley.functions.speakers import ASSISTANT_NAMES, CUSTOMER_ALSO, CUSTOMER_NAMES, FOUR_NAMES, WORKER_ALSO, WORKER_NAMES, clean_speaker_role, epoch_seconds, session_key
 from parley.llm.boosting import Boosted
 from parley.operators.ordered import blocked_lag, blocked_running_sum
+from parley.session import cut
 
 #: At most so many rows are read to fit the two classifiers, whatever the table holds.
 SAMPLE_ROWS = 20_000
@@ -285,6 +286,8 @@ def segments_in_order(turns: DataFrame, model: FillerModel) -> DataFrame:
         .select("session", "id", "part", "time", F.when((F.col("s.label") != "") & (label_role != "Unknown"), label_role).otherwise(F.col("row_role")).alias("role"), (F.col("s.label") != "").alias("marked"), F.col("s.text").alias("text"))
         .withColumn("block", F.floor(F.col("time") / BLOCK_SECONDS))
     )
+    # both sides of the lag read the segments
+    parts = cut(parts)
     seen = blocked_lag(parts, ["session"], "block", ["time", "id", "part"], F.struct("id", "role", "time", "text"), "prev")
     return seen.withColumns({"prev_role": F.col("prev.role"), "prev_text": F.col("prev.text"), "gap": F.col("time") - F.col("prev.time"), "within": F.coalesce(F.col("prev.id") == F.col("id"), F.lit(False)), "has_prev": F.col("prev").isNotNull()}).drop("prev")
 
