@@ -29,6 +29,14 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_long_paths(spark):
+    shuffled = random.Random(7).sample(range(1000, 1400), 400)
+    falling = [0, *range(200, 0, -1)]
+    edges = [*zip(shuffled, shuffled[1:]), *zip(falling, falling[1:])]
+    got = {x.node: x.component for x in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 1000 for k in range(1000, 1400)} | {k: 0 for k in range(201)}
+
+
 def test_rank_fusion(spark):
     lists = {"semantic": [(1, "a", 1), (1, "b", 2), (1, "c", 3)], "bm25": [(1, "b", 1), (1, "d", 2)]}
     dfs = {n: spark.createDataFrame(rows, "query_id int, id string, rank int") for n, rows in lists.items()}
