@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import random
 import re
+import sys
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -68,14 +70,23 @@ _NUMBER = re.compile(r"(?<![\w₹$€:.])(?:\+|\(\+?)?\d(?:[\d ().\-/]{4,24})\d(
 _SPELT = re.compile(rf"\b(?:plus\s)?(?:(?:{DIGITS})[\s,-]+){{5,}}(?:{DIGITS})\b", re.I)
 _CODE = re.compile(r"\b[A-Za-z]{1,5}\d{4,9}[A-Za-z]?\b|\b[A-Za-z]{2} ?\d\d ?\d\d ?\d\d ?[A-Za-z]\b|\b(?:[A-Za-z0-9] ){7,}[A-Za-z0-9]\b")
 _DIGITS = re.compile(r"\d")
+_DIGIT_WORDS = frozenset(DIGITS.split("|"))
 _LONG = re.compile(r"(?:\d\D{0,3}){6}\d|[A-Za-z]\d{5}|[A-Za-z]\d{4}[A-Za-z]|\b[A-Za-z]{2} ?\d\d ?\d\d ?\d\d|(?:\b\w ){6}")
 _HOUSE = r"\d{1,4}(?:[/-]\d{1,4})?[a-z]?\b"
 _STREETS, _FIRST, _LAST = "|".join(STREET), "|".join(STREET_FIRST), "|".join(STREET_TAIL)
+_COUNTED = (
+    rf"{DIGITS}|ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty|hundred|zehn|elf|zwölf|\w*(?:zehn|zig|ßig|hundert)|dix|onze|douze|treize|quatorze|quinze|seize|vingt|trente|quarante|cinquante|soixante|cent|"
+    "diez|doce|trece|catorce|quince|dieci\\w+|veint\\w+|treinta|cuarenta|cincuenta|sesenta|setenta|ochenta|noventa|cien|ciento|dez|doze|treze|vinte|trinta|quarenta|cinquenta|sessenta|oitenta|cem|das|gyarah|barah|bees|tees|chalis|pachas|sau"
+)
+_SPELT_HOUSE = rf"(?:(?:{_COUNTED})[\s-])*(?:{_COUNTED})"
 _ADDRESS = re.compile(
-    rf"(?:(?:house|haus|flat|apartment|apt|plot|door)\s(?:no\.?|nr\.?)?\s?\w+,?\s)?(?:{_HOUSE},?\s)?(?:(?:rue|calle|avenida|rua|via|chemin)\s[\w'’-]+(?:\s{_HOUSE})?|[\w'’-]+(?:straße|strasse|gasse|weg|platz|allee)\s{_HOUSE}|[\w'’-]+(?:\s[\w'’-]+)?\s(?:{_STREETS})\b)(?:\s{_HOUSE})?", re.I
+    rf"(?:\b(?:house|haus|flat|apartment|apt|plot|door)\s(?:no\.?|nr\.?)?\s?\w+,?\s)?(?:{_HOUSE},?\s|\b{_SPELT_HOUSE},?\s)?(?:\b(?:rue|calle|avenida|rua|via|chemin)\s[\w'’-]+(?:\s{_HOUSE}|\s{_SPELT_HOUSE}\b)?|[\w'’-]+(?:straße|strasse|gasse|weg|platz|allee)\b(?:\s{_HOUSE}|\s{_SPELT_HOUSE}\b)?|[\w'’-]+(?:\s[\w'’-]+)?\s(?:{_STREETS})\b)(?:\s{_HOUSE})?", re.I
 )
+#: What every match of an address holds.
+_STREETLIKE = re.compile(rf"(?<=\s)(?:{_STREETS})\b|\b(?:rue|calle|avenida|rua|via|chemin)\s|(?<=[\w'’-])(?:{_LAST})\b")
+_STEMS = (*STREET, "rue", "calle", "avenida", "rua", "via", "chemin", *STREET_TAIL)
+_NUMBERED = re.compile(rf"\d|\b(?:{_COUNTED})\b", re.I)
 _TAIL = re.compile(r",?\s(?:\d\w{1,3} floor|near the [\w'’-]+ gate|\d{5}\s[^\W\d_][\w'’-]*|[^\W\d_][\w'’-]*\s\d{5}|[^\W\d_][\w'’-]*)", re.I)
-_STEMS = (*STREET, *(f"{w} " for w in STREET_FIRST), *(f"{w} " for w in STREET_TAIL), "house", "flat ")
 _TOKEN = re.compile(r"[^\W\d_](?:[\w'’]|-(?=\w)|[ऀ-ॿ])*\.?|\S")
 _NAMEY = re.compile(r"[^\W\d_]{2,}(?:['’-][^\W\d_]+)*")
 
@@ -120,8 +131,8 @@ class Gazetteer:
         return known or (next((self.kind[p] for p in word.split("-") if p in self.kind), "") if "-" in word else "")
 
 
-#: Which digit other than zero stands where is of no use to the model; texts that differ in that alone are judged once.
-_SAME = str.maketrans("12345678", "99999999")
+#: Which digit other than zero stands where, and in which script, is of no use to the model; texts that differ in that alone are judged once.
+_SAME = {c: "0" if unicodedata.digit(chr(c)) == 0 else "9" for c in range(sys.maxunicode + 1) if chr(c).isdecimal()}
 
 
 _LEFT = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[^\s\w]")
@@ -235,7 +246,7 @@ def candidates(text: str, names: Gazetteer) -> list[tuple[int, int, str, list[st
             after = text.find(" ", a, b)
             m = _EMAIL.search(text, after if after > 0 and " at " in m[0].lower() and "@" not in m[0] else b)
     if _DIGITS.search(text):
-        digits = text.count("9") + text.count("0")
+        digits = len(_DIGITS.findall(text))
         patterns = ((_NUMBER,) if digits >= 7 else ()) + ((_CODE,) if digits >= 4 and _CODE_HINT.search(text) else ())
         for pattern in patterns:
             for m in pattern.finditer(text):
@@ -247,26 +258,30 @@ def candidates(text: str, names: Gazetteer) -> list[tuple[int, int, str, list[st
                     continue
                 feats = _number_features(text, a, b, False)
                 out += [(a, b, "phone", feats), (a, b, "id_number", feats)]
-        if any(w in low for w in _STEMS):
-            for m in _ADDRESS.finditer(text):
-                if not re.search(r"\d", m[0]):
-                    continue
-                a, b = m.span()
-                ends = [b]
-                for _ in range(4):
-                    t = _TAIL.match(text, ends[-1])
-                    if not t:
-                        break
-                    ends.append(t.end())
+    if any(w in low for w in _STEMS) and _STREETLIKE.search(low):
+        for m in _ADDRESS.finditer(text):
+            a, b = m.span()
+            ends = [b]
+            for _ in range(4):
+                t = _TAIL.match(text, ends[-1])
+                if not t:
+                    break
+                ends.append(t.end())
+            # without a number the name of the street may begin at a later word of the match
+            numbered = bool(_NUMBERED.search(m[0]))
+            starts = [a] if numbered else [a + w.start() for w in re.finditer(r"[\w'’-]+", m[0])][: max(1, len(m[0].split()) - 1)]
+            for at in starts:
                 for k, end in enumerate(ends):
-                    if end - a > LONGEST:
+                    if end - at > LONGEST:
                         break
-                    span = text[a:end]
+                    span = text[at:end]
                     last = re.findall(r"[\w'’-]+", span)[-1]
                     r1 = re.match(r"\s*([^\W_]+|\S)?", text[end : end + 20].lower())[1] or "$"
-                    feats = [f"parts={k}", "house", f"r1={r1}", "town" if last[0].isupper() else "low", "zip" if re.search(r"\b\d{5}\b", span) else "no zip", f"last={'9' if last.isdigit() else re.sub('.*(?=...$)', '', last.lower())}"]
-                    out.append((a, end, "address", feats + _context(text, a, end)[:2]))
-    if "zero " in low or "double " in low or " seven " in low or "null " in low or "cero " in low or "shunya " in low or "sieben " in low or "siete " in low or "sept " in low or "sete " in low:
+                    house = ["house"] if numbered else ["no house", "no house " + ("upper" if span[0].isupper() else "lower text" if text == low else "lower"), "first=" + span.split()[0].lower()]
+                    feats = [f"parts={k}", *house, f"r1={r1}", "town" if last[0].isupper() else "low", "zip" if re.search(r"\b\d{5}\b", span) else "no zip", f"last={'9' if last.isdigit() else re.sub('.*(?=...$)', '', last.lower())}"]
+                    out.append((at, end, "address", feats + _context(text, at, end)[:2]))
+    # of the six or more words of a spelt number all but the outer ones stand free
+    if sum(map(_DIGIT_WORDS.__contains__, low.replace("-", " ").replace(",", " ").split())) >= 4:
         for m in _SPELT.finditer(text):
             feats = _number_features(text, m.start(), m.end(), True)
             out += [(m.start(), m.end(), "phone", feats), (m.start(), m.end(), "id_number", feats)]
@@ -429,8 +444,10 @@ OTHERS = (
     "The return was 10.2% last year, is that still what you promise?", "Mujhe yeh yojana (FGF wali) pasand hai, par is mahine main {amount} USD nahin de sakta.", "Munafa bazaar par nirbhar hai, isliye main vaada nahin kar sakta.", "Maine form 16 din pehle bheja tha aur request REQ {order} abhi bhi khula hai.",
     "Merci d'avoir patienté, le montant de {amount} EUR est confirmé.", "Mon mari dit que la garantie s'arrête avec le prêt, a-t-il raison ?", "Remarque : l'heure limite est 12:15 les jours ouvrés.", "Merci de transférer {amount} USD du {plan} vers quelque chose de plus sûr.", "Le {plan} est bloqué pendant 19 mois avec des frais de sortie de 3.8%.",
     "Gracias por esperar, el importe de {amount} USD está confirmado.", "El {plan} tiene un bloqueo de 13 meses y un cargo de salida de 13.0%.", "Obrigado pela espera, o valor de {amount} EUR está confirmado.", "O {plan} tem um bloqueio de 43 meses e uma taxa de saída de 12.2%.", "Por que foram retirados {amount} EUR da minha conta?",
-    "A power-of-attorney holder who missed 29 payments can ask for a disputed folio.", "{firm} reserves the right to adjust the certificate once the folio is active.", "Form K-40 replaces the older fixed disclosure from 17.01.2025.", "Any trustee in {town} may ask for the {plan} at {firm}.",
+    "A power-of-attorney holder who missed 29 payments can ask for a disputed folio.", "{firm} reserves the right to adjust the certificate once the folio is active.", "It is a long road to maturity, we said.", "Across the street nobody knew the {plan}.", "We took the main road to the office in {town}.", "The drive to save paper goes on.", "This square of the table is empty.", "Auf diesem Weg kommt die Auszahlung.",
+    "Auf keinen Weg kann ich das zusagen.", "La rue est longue, dit mon mari.", "That is the road to the {plan}.", "The whole street asked about the {plan}.", "Form K-40 replaces the older fixed disclosure from 17.01.2025.", "Any trustee in {town} may ask for the {plan} at {firm}.",
 )
+_TENS, _ONES = "twenty thirty forty fifty sixty seventy eighty ninety".split(), "one two three four five six seven eight nine".split()
 NOISE = ("", "", "", "Speaker 2>> ", "[00:01:13] ", "Uhm, ", "Kunde: ", "(02:20) ", "<v Agent> ", "Er ", "You know, ", "[noise] ", "I mean, ", "@1m18s ", "Hmm ", "Uhh, I mean, ", "Äh ", "(SPK_1) ", "(AGENT) ", "[CUSTOMER] ", "Mm-hmm... ", "RM: ")
 
 
@@ -490,6 +507,7 @@ class _Values:
         n, stem = str(r.randint(1, 190)), lambda: made(("field", "moor", "wick", "n", "s"))
         return r.choice((
             f"{n}/{r.randint(1, 9)} {stem()} Street, 2nd floor, {town()}", f"{n} {stem()} Road, {town()}", f"Flat {r.randint(1, 9)}{r.choice('ABC')}, {n} {stem()} Lane, {town()} {d(5)}", f"{stem()}straße {n}, {d(5)} {town()}",
+            f"{stem()} Street, {town()}", f"{stem()} Road", f"{stem()}straße", f"rue {stem()}", f"Calle {stem()}, {town()}", f"{r.choice(_TENS)} {r.choice(_ONES)} {stem()} {r.choice(('Road', 'Street', 'Lane'))}, {town()}",
             f"{n} rue {stem()}, {d(5)} {town()}", f"Calle {stem()} {n}, {town()}", f"House No. {n}, {stem()} Nagar, near the {stem()} Gate, {town()}", f"rua {stem()} {n}, {town()}", f"{n} {stem()} Avenue",
         ))
 

@@ -30,6 +30,17 @@ def test_redaction(model, text, want):
     assert P.redact(text, P.entities(text, model, NAMES)) == (text if want is None else want)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Call me back on nine eight two one four five six three one nine after work.", "Call me back on [PHONE] after work."), ("We live at Leimfield Road now.", "We live at [ADDRESS] now."), ("We live at twenty four Leimfield Road now.", "We live at [ADDRESS] now."),
+        ("मुझे काम के बाद ०७७०० १२३४५६ पर फ़ोन कीजिए।", "मुझे काम के बाद [PHONE] पर फ़ोन कीजिए।"), ("We took the main road to the branch.", None), ("The road to maturity is long.", None),
+    ],
+)
+def test_redaction_without_ascii_digits(model, text, want):
+    assert P.redact(text, P.entities(text, model, NAMES)) == (text if want is None else want)
+
+
 def test_redaction_keeps_blanks_and_long_texts(model):
     text = "  Call  me  back on 07700 900123   after work. " + "Nothing here. " * 5000 + "Is that Marta Veiltez on the line?"
     out = P.redact(text, P.entities(text, model, NAMES, {}))
