@@ -39,9 +39,11 @@ class Scanned:
 
 
 def read_lines(chunks: DataFrame) -> DataFrame:
-    """One row per line of each chunk; a chunk given twice counts once. Null texts have no lines."""
-    once = chunks.groupBy("chunk_id").agg(F.min_by(F.struct("doc_id", "text", "page_start", "page_end"), F.struct("text", "page_start", "page_end", "doc_id")).alias("c")).select("chunk_id", "c.*")
-    lines = once.where(F.col("text").isNotNull()).select("chunk_id", F.coalesce("doc_id", F.lit("")).alias("doc_id"), "page_start", "page_end", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line"))
+    """One row per line of each chunk; a chunk given twice counts once. Null texts have no lines. A chunk without doc_id belongs to its document_id where the table has one, else it stands alone."""
+    fields = ["doc_id", *[c for c in ("document_id",) if c in chunks.columns], "text", "page_start", "page_end"]
+    once = chunks.groupBy("chunk_id").agg(F.min_by(F.struct(*fields), F.struct("text", "page_start", "page_end", *fields)).alias("c")).select("chunk_id", "c.*")
+    document = F.coalesce(*[F.nullif(c, F.lit("")) for c in fields[:-3]], F.concat(F.lit("chunk "), "chunk_id"))
+    lines = once.where(F.col("text").isNotNull()).select("chunk_id", document.alias("doc_id"), "page_start", "page_end", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line"))
     return lines.withColumn("trimmed", F.trim(F.regexp_replace("line", r"\s+", " ")))
 
 
@@ -49,7 +51,8 @@ def mark_furniture(lines: DataFrame) -> DataFrame:
     """Adds blank, page_number and header.
 
     Page numbers stand alone in one of the usual forms, within the pages of the chunk where these are known, or beside a header. A header is a line without the end of a
-    sentence which, with digits masked and confusable glyphs in one form, comes back in at least two chunks and a sixth of the chunks of its document, or half of them if its words are not capitalised; lines hardly different from one are one as well.
+    sentence which, with digits masked and confusable glyphs in one form, comes back in at least two chunks and a sixth of the chunks of its document, or half of them if its words are not capitalised;
+    or, capitalised, in three chunks and half of those between its first and last page, as a chapter's or a left page's header does. A document may have any number of headers; lines hardly different from one are one as well.
     """
     t = F.col("trimmed")
     number = F.coalesce(*[F.nullif(F.regexp_extract(F.lower(t), _PAGE, k), F.lit("")) for k in range(1, 5)]).try_cast("int")
@@ -69,15 +72,21 @@ def mark_furniture(lines: DataFrame) -> DataFrame:
     marked = marked.withColumn("key", F.when(F.col("likely"), F.trim(key)))
     words = F.filter(F.split(F.regexp_replace("core", r"[^\p{L}\p{M}]+", " "), " "), lambda w: F.length(w) >= 3)
     title = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}"))) * 10 >= F.size(words) * 6
-    seen = marked.where("key is not null").groupBy("doc_id", "key").agg(F.count_distinct("chunk_id").alias("n"), F.bool_or(title).alias("title"))
-    sizes = marked.groupBy("doc_id").agg(F.count_distinct("chunk_id").alias("chunks"))
-    # the few keys of each document that come back
-    heads = (
-        seen.where("n >= 2").join(sizes, "doc_id").where("n * 6 >= chunks and (title or n >= 3 and n * 2 >= chunks)").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "key"))).where("rank <= 3").groupBy("doc_id").agg(F.collect_list("key").alias("heads"))
-    )
-    joined = marked.join(heads, "doc_id", "left")
-    near = F.exists("heads", lambda h: (h == F.col("key")) | ((F.abs(F.length(h) - F.length("key")) <= 4) & (F.length(h) >= 12) & (F.levenshtein(h, F.col("key"), 4) >= 0) & (F.levenshtein(h, F.col("key"), 4) * 6 <= F.length(h))))
-    joined = joined.withColumn("header", F.coalesce(F.col("key").isNotNull() & near, F.lit(False)))
+    page = F.when(known, F.col("page_start")).otherwise(0)
+    seen = marked.where("key is not null").groupBy("doc_id", "key").agg(F.count_distinct("chunk_id").alias("n"), F.bool_or(title).alias("title"), F.min(page).alias("first"), F.max(page).alias("last"))
+    # chunks by page, so that those between two pages are a difference of running counts
+    pages = marked.groupBy("doc_id", "chunk_id").agg(F.max(page).alias("page")).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("doc_id").orderBy("page")
+    pages = pages.select("doc_id", "page", F.sum("n").over(upto).alias("upto"), F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, -1)).alias("below"), F.sum("n").over(Window.partitionBy("doc_id")).alias("chunks"))
+    first = pages.select("doc_id", F.col("page").alias("first"), F.coalesce("below", F.lit(0)).alias("below"), "chunks")
+    last = pages.select("doc_id", F.col("page").alias("last"), "upto")
+    span = F.when(F.col("first") > 0, F.col("upto") - F.col("below")).otherwise(F.col("chunks"))
+    back = seen.where("n >= 2").join(first, ["doc_id", "first"]).join(last, ["doc_id", "last"]).withColumn("span", span)
+    heads = back.where("n * 6 >= chunks and (title or n >= 3 and n * 2 >= chunks) or title and n >= 3 and n * 2 >= span").select("doc_id", "key")
+    # equal keys by a join; others are compared with the headers of their document once each, not line by line
+    near = (F.length("head") >= 12) & (F.abs(F.length("head") - F.length("key")) <= 4) & (F.levenshtein("head", "key", 4) >= 0) & (F.levenshtein("head", "key", 4) * 6 <= F.length("head"))
+    alike = seen.select("doc_id", "key").join(heads.withColumnRenamed("key", "head"), "doc_id").where((F.col("head") == F.col("key")) | near).select("doc_id", "key").distinct()
+    joined = marked.join(alike.withColumn("header", F.lit(True)), ["doc_id", "key"], "left").withColumn("header", F.coalesce("header", F.lit(False)))
     also = F.col("header") & F.col("beside").isNotNull() & (F.col("core") != t) & F.when(known, F.col("beside").between(F.col("page_start"), F.greatest("page_start", "page_end"))).otherwise(True)
     return joined.withColumn("page_number", F.col("page_number") | F.coalesce(also, F.lit(False))).select("chunk_id", "doc_id", "pos", "trimmed", "blank", "header", "page_number")
 

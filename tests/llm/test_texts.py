@@ -127,3 +127,11 @@ def test_scanned(spark):
 def test_scanned_empty(spark):
     done = S.repair(scans(spark).limit(0))
     assert S.found(done).count() == 0 and S.repaired_text(done).count() == 0
+
+
+def test_scanned_many_headers(spark):
+    names = "Amber Birch Cedar Delta Ember Fjord Grove Heron".split()
+    rows = [(f"c{k:02d}", "d", None, f"Chapter Of {names[k // 5]} Matters\n\nThe service centre number {k} is open.", k + 1, k + 1) for k in range(40)]
+    rows += [(f"n{k}", None, "m" if k < 2 else f"m{k}", f"{'Minor Plan Notes' if k < 2 else 'Text'}\n\nThe offer number {k} ends.", k + 1, k + 1) for k in range(20)]
+    lines = S.mark_furniture(S.read_lines(spark.createDataFrame(rows, "chunk_id string, doc_id string, document_id string, text string, page_start int, page_end int")))
+    assert {r.chunk_id for r in lines.where("header").collect()} == {f"c{k:02d}" for k in range(40)} | {"n0", "n1"}
