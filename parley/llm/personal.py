@@ -1,593 +1,536 @@
-"""Problem 1: personal information in free text, by a semi-Markov conditional random field."""
+"""Problem 1: personal information in free text, by a semi-Markov conditional random field over all token spans."""
 
 from __future__ import annotations
 
-import math
-import random
+import os
 import re
-import sys
-import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.languages import sentence_spans
-from parley.llm.transcripts import _SOUND
+from parley.llm import personal_examples as examples
+from parley.llm.tokens import TOKENIZER_DIR, pieces_of
+from parley.llm.transcripts import HESITATION
 
 TYPES = ("email", "phone", "id_number", "address", "name")
+FIELDS = ("raw_text", "translated_text")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-#: Sentences made from the labelled patterns below to fit the weights; the bound on the training set.
-TRAINING_SENTENCES = 6000
-EPOCHS = 6
-#: Longest segment that is considered, in characters.
-LONGEST = 160
-
-# Words by which segments are recognised.
-TITLES = frozenset("mr mrs ms miss dr prof m mme mlle herr frau sr sra señor señora shri smt ji".split())
-STREET = "street road lane avenue boulevard drive square terrace nagar marg gali colony".split()
-STREET_FIRST = "rue chemin calle avenida rua travessa via".split()
-STREET_TAIL = "straße strasse gasse allee platz weg".split()
-FIRM = frozenset(
-    "mutual trust assurance bank desk asset insurance fund plan path shield ladder basket cover plus guard growth savings liquid pension bridge index family term bond withdrawal income gold saver helpline team "
-    "group office cell unit centre gate series statement table".split()
-)
-CODES = frozenset("inr usd eur req tkt fgf swp ilts bharatbond finrakshak pan id".split())
-#: Words that may stand before a family name without being part of a name.
-_LITTLE = frozenset("is by to with for that mit avec con com à de von maine se dr mr ms and und et y e i speaking spoke thanks hello danke merci gracias obrigado ist name naam nome llamo m'appelle hai hain the an a of from pass".split())
-DIGITS = "zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple|null|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|um|dois|três|quatro|sete|oito|nove|shunya|ek|do|teen|char|paanch|chhe|saat|aath|nau"
-
-_EMAIL = re.compile(
-    r"[\w.+%-]+\s?(?:@|\(at\)|\[at\])\s?\w[\w-]*(?:\.\w[\w-]*)+|\w+(?:\s(?:dot|dash|underscore|plus|hyphen|punkt|point|punto|ponto)\s\w+)*\s(?:at|arroba|arobase)\s\w+(?:\s(?:dot|punkt|point|punto|ponto)\s\w+)+", re.I
-)
-_NUMBER = re.compile(r"(?<![\w₹$€:.])(?:\+|\(\+?)?\d(?:[\d ().\-/]{4,24})\d(?!\w)")
-_SPELT = re.compile(rf"\b(?:plus\s)?(?:(?:{DIGITS})[\s,-]+){{5,}}(?:{DIGITS})\b", re.I)
-_CODE = re.compile(r"\b[A-Za-z]{1,5}\d{4,9}[A-Za-z]?\b|\b[A-Za-z]{2} ?\d\d ?\d\d ?\d\d ?[A-Za-z]\b|\b(?:[A-Za-z0-9] ){7,}[A-Za-z0-9]\b")
-_DIGITS = re.compile(r"\d")
-_CODE_HINT = re.compile(r"[A-Za-z]\d{4}|[A-Za-z] ?\d\d ?\d\d ?\d\d ?[A-Za-z]|\b\d \d \d")
-_HOUSE = r"\d{1,4}(?:[/-]\d{1,4})?[a-z]?\b"
-_STREETS, _FIRST, _LAST = "|".join(STREET), "|".join(STREET_FIRST), "|".join(STREET_TAIL)
-_ADDRESS = re.compile(
-    rf"(?:(?:house|haus|flat|apartment|apt|plot|door)\s(?:no\.?|nr\.?)?\s?\w+,?\s)?(?:{_HOUSE},?\s)?"
-    rf"(?:\b(?:{_FIRST})\s[\w'’-]+(?:\s{_HOUSE})?|\b[\w'’-]+(?:{_LAST})\s{_HOUSE}|\b(?!\d)[\w'’-]+\s(?:{_STREETS})\b(?:\s{_HOUSE})?)", re.I
-)
-_TAIL = "straße strasse gasse allee platz weg".split()
-FIRM = frozenset(
-    "mutual trust assurance bank desk asset insurance fund plan path shield ladder basket cover plus guard growth savings liquid pension bridge index family term bond withdrawal income gold saver helpline team "
-    "group office cell unit centre gate series statement table".split()
-)
-CODES = frozenset("inr usd eur req tkt fgf swp ilts bharatbond finrakshak pan id".split())
-#: Words that may stand before a family name without being part of a name.
-_LITTLE = frozenset("is by to with for that mit avec con com à de von maine se dr mr ms and und et y e i speaking spoke thanks hello danke merci gracias obrigado ist name naam nome llamo m'appelle hai hain the an a of from pass".split())
-DIGITS = "zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple|null|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|um|dois|três|quatro|sete|oito|nove|shunya|ek|do|teen|char|paanch|chhe|saat|aath|nau"
-
-_EMAIL = re.compile(
-    r"[\w.+%-]+\s?(?:@|\(at\)|\[at\])\s?\w[\w-]*(?:\.\w[\w-]*)+|\w+(?:\s(?:dot|dash|underscore|plus|hyphen|punkt|point|punto|ponto)\s\w+)*\s(?:at|arroba|arobase)\s\w+(?:\s(?:dot|punkt|point|punto|ponto)\s\w+)+", re.I
-)
-_NUMBER = re.compile(r"(?<![\w₹$€:.])(?:\+|\(\+?)?\d(?:[\d ().\-/]{4,24})\d(?!\w)")
-_SPELT = re.compile(rf"\b(?:plus\s)?(?:(?:{DIGITS})[\s,-]+){{5,}}(?:{DIGITS})\b", re.I)
-_CODE = re.compile(r"\b[A-Za-z]{1,5}\d{4,9}[A-Za-z]?\b|\b[A-Za-z]{2} ?\d\d ?\d\d ?\d\d ?[A-Za-z]\b|\b(?:[A-Za-z0-9] ){7,}[A-Za-z0-9]\b")
-_DIGITS = re.compile(r"\d")
-_DIGIT_WORDS = frozenset(DIGITS.split("|"))
-_LONG = re.compile(r"(?:\d\D{0,3}){6}\d|[A-Za-z]\d{5}|[A-Za-z]\d{4}[A-Za-z]|\b[A-Za-z]{2} ?\d\d ?\d\d ?\d\d|(?:\b\w ){6}")
-_HOUSE = r"\d{1,4}(?:[/-]\d{1,4})?[a-z]?\b"
-_STREETS, _FIRST, _LAST = "|".join(STREET), "|".join(STREET_FIRST), "|".join(STREET_TAIL)
-_COUNTED = (
-    rf"{DIGITS}|ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty|hundred|zehn|elf|zwölf|\w*(?:zehn|zig|ßig|hundert)|dix|onze|douze|treize|quatorze|quinze|seize|vingt|trente|quarante|cinquante|soixante|cent|"
-    "diez|doce|trece|catorce|quince|dieci\\w+|veint\\w+|treinta|cuarenta|cincuenta|sesenta|setenta|ochenta|noventa|cien|ciento|dez|doze|treze|vinte|trinta|quarenta|cinquenta|sessenta|oitenta|cem|das|gyarah|barah|bees|tees|chalis|pachas|sau"
-)
-_SPELT_HOUSE = rf"(?:(?:{_COUNTED})[\s-])*(?:{_COUNTED})"
-_ADDRESS = re.compile(
-    rf"(?:\b(?:house|haus|flat|apartment|apt|plot|door)\s(?:no\.?|nr\.?)?\s?\w+,?\s)?(?:{_HOUSE},?\s|\b{_SPELT_HOUSE},?\s)?(?:\b(?:rue|calle|avenida|rua|via|chemin)\s[\w'’-]+(?:\s{_HOUSE}|\s{_SPELT_HOUSE}\b)?|[\w'’-]+(?:straße|strasse|gasse|weg|platz|allee)\b(?:\s{_HOUSE}|\s{_SPELT_HOUSE}\b)?|[\w'’-]+(?:\s[\w'’-]+)?\s(?:{_STREETS})\b)(?:\s{_HOUSE})?", re.I
-)
-#: What every match of an address holds.
-_STREETLIKE = re.compile(rf"(?<=\s)(?:{_STREETS})\b|\b(?:rue|calle|avenida|rua|via|chemin)\s|(?<=[\w'’-])(?:{_LAST})\b")
-_STEMS = (*STREET, "rue", "calle", "avenida", "rua", "via", "chemin", *STREET_TAIL)
-_NUMBERED = re.compile(rf"\d|\b(?:{_COUNTED})\b", re.I)
-_TAIL = re.compile(r",?\s(?:\d\w{1,3} floor|near the [\w'’-]+ gate|\d{5}\s[^\W\d_][\w'’-]*|[^\W\d_][\w'’-]*\s\d{5}|[^\W\d_][\w'’-]*)", re.I)
-_TOKEN = re.compile(r"[^\W\d_](?:[\w'’]|-(?=\w)|[ऀ-ॿ])*\.?|\S")
-_NAMEY = re.compile(r"[^\W\d_]{2,}(?:['’-][^\W\d_]+)*")
-
-
-def _shape(text: str) -> str:
-    s = re.sub(r"\d", "9", text)
-    s = re.sub(r"[A-Za-z]", "A", s)
-    return re.sub(r"A+", lambda m: "A" * min(len(m[0]), 6), s)
-
-
-class Gazetteer:
-    """The listed names: lower-cased to given, family or both."""
-
-    def __init__(self, names: dict[str, str]) -> None:
-        self.kind = {k.lower(): v for k, v in names.items()}
-        self._search = None
-
-    def __getstate__(self) -> dict:
-        return {"kind": self.kind, "_search": None}
-
-    def seen(self, low: str) -> tuple[list[str], bool]:
-        """Listed names and whether a title stand as words in a lower-case text, by one pass over it."""
-        if self._search is None:
-            import ahocorasick
-
-            self._search = ahocorasick.Automaton()
-            for w in (*self.kind, *TITLES):
-                self._search.add_word(w, w)
-            self._search.make_automaton()
-        listed, title, n = [], False, len(low)
-        for end, w in self._search.iter(low):
-            a, b = end - len(w), end + 1
-            if (a < 0 or not (low[a].isalnum() or low[a] == "'")) and (b == n or not low[b].isalnum()):
-                if w in TITLES:
-                    title = True
-                if w in self.kind:
-                    listed.append(w)
-        return listed, title
-
-    def of(self, word: str) -> str:
-        known = self.kind.get(word, "")
-        return known or (next((self.kind[p] for p in word.split("-") if p in self.kind), "") if "-" in word else "")
-
-
-#: Which digit other than zero stands where, and in which script, is of no use to the model; texts that differ in that alone are judged once.
-_SAME = {c: "0" if unicodedata.digit(chr(c)) == 0 else "9" for c in range(sys.maxunicode + 1) if chr(c).isdecimal()}
-
-
-_LEFT = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[^\s\w]")
-_IDENTITY = re.compile(r"passport|identity|ausweis|karte|carte|tarjeta|cartão|card par|कार्ड", re.I)
-_BUSINESS = frozenset("order batch version folio req ticket tkt form inr usd eur code card chart ratio".split())
-_IDENTITY_WORDS = frozenset("id identity passport ausweisnummer identité identidad identidade pehchaan पहचान tax pan ssn".split())
-
-
-def _context(text: str, a: int, b: int) -> list[str]:
-    left = ["9" if w.isdigit() else w for w in _LEFT.findall(text[max(0, a - 40) : a].lower())[-3:]]
-    right = _LEFT.findall(text[b : b + 24].lower())[:2]
-    l1, l2 = (left[-1] if left else "^"), (left[-2] if len(left) > 1 else "^")
-    r1 = right[0] if right else "$"
-    out = [f"l1={l1}", f"l2={l2} {l1}", f"r1={r1}"]
-    return out
-
-
-def _number_features(text: str, a: int, b: int, spelt: bool) -> list[str]:
-    span = text[a:b]
-    digits = re.sub(r"\D", "", span)
-    out = [f"n={min(len(digits), 15)}", f"shape={_shape(span)}", f"head={span[:1] if span[:1] in '+(' else '0' if digits[:1] == '0' else '9'}"]
-    if re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d[./-]\d\d[./-]\d{4}|\d{1,3}(?:,\d{3})+|\d+\.\d\d|\d+ ?/ ?\d+", span):
-        out.append("date or amount")
-    if spelt:
-        out.append("spelt")
-    if re.match(r"\s?(?:usd|eur|inr|%)", text[b : b + 5].lower()):
-        out.append("amount")
-    around = _LEFT.findall(text[max(0, a - 40) : a].lower())[-3:]
-    if not _BUSINESS.isdisjoint(around):
-        out.append("l=business")
-    if not _IDENTITY_WORDS.isdisjoint(around) or _IDENTITY.search(text, b, b + 40):
-        out.append("l=identity")
-    return out + _context(text, a, b)
-
-
-_UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿऀ-ॿ][^\W\d_]*(?:['’-][^\W\d_]+)*\.?")
-_PREFIX = re.compile(rf"\s*(?:\*[^*]*\*\s*|\S{{1,9}}(?:\s\d)?\s-\s|[^\w\s]*(?:{_SOUND}|you know|i mean|o sea)(?!\w)[^\w\s]*\s+|\S+>>\s*|[\[(<][^\])>]*[\])>]\s*|\S{{1,8}}:\s+|[@\d]\S*\s+(?:-->\s)?)*", re.I)
-
-
-_INITIAL = re.compile(r"(?:^|\s)[^\W\d_]\.")
-
-
-def _name_tokens(text: str, low: str, names: Gazetteer) -> list[tuple[int, int, str, str, bool]]:
-    """(start, end, word, how it looks like a name, whether first in its sentence) of the tokens that may be part of one."""
-    start = _PREFIX.match(text).end()
-    listed, title = names.seen(low)
-    by_case = text != low
-    plain_listed = listed and (not by_case or any((" " + w) in text or text.startswith(w) for w in listed))
-    hyphened = not by_case and "-" in low
-    if not plain_listed and not hyphened and not title and not (". " in text and _INITIAL.search(text)):
-        # nothing but capitals can speak for a name
-        out = []
-        for m in _UPPER.finditer(text, start):
-            word, at = m[0], m.start()
-            plain = word.rstrip(".")
-            bare = plain.lower()
-            if len(bare) < 2 or bare in CODES or (at and (text[at - 1].isalnum() or text[at - 1] in "@-_.'’+")):
-                continue
-            first = at <= start or text[at - 1] in "¿¡("
-            kind = names.of(bare)
-            after = bool(out) and out[-1][1] == at - 1 and out[-1][3] == "given" and bare not in FIRM
-            if kind or not first or after:
-                out.append((at, at + len(plain), bare, kind or ("after" if after else "upper"), first))
-        if not any(t[2] in FIRM for t in out):
-            return out
-        # a run of capitals with a word of firms and plans is the name of one
-        kept, run = [], []
-        for t in (*out, None):
-            if run and (t is None or t[0] - run[-1][1] != 1):
-                if not any(x[2] in FIRM for x in run):
-                    kept += run
-                run = []
-            if t is not None:
-                run.append(t)
-        return kept
-    tokens = [(m.start(), m.end(), m[0], m[0].rstrip(".").lower()) for m in _TOKEN.finditer(text, start)]
-    out: list[tuple[int, int, str, str, bool]] = []
-    for k, (a, b, word, bare) in enumerate(tokens):
-        before = tokens[k - 1][3] if k else ""
-        look = ""
-        if len(bare) == 1 and word.endswith(".") and bare.isalpha():
-            look = "initial"
-        elif _NAMEY.fullmatch(word.rstrip(".")) and bare not in TITLES and bare not in CODES:
-            kind = names.of(bare)
-            if kind:
-                look = kind
-            elif (before in TITLES or (out and out[-1][1] == a - 1 and out[-1][3] in ("initial", "given", "before"))) and bare not in FIRM:
-                look = "after"
-            elif word[0].isupper() and k:
-                look = "upper"
-            elif k and k + 1 < len(tokens) and names.of(tokens[k + 1][3]) == "family" and bare not in _LITTLE:
-                look = "before"
-            elif "-" in word and out and out[-1][1] == a - 1 and out[-1][3] == "before":
-                look = "after"
-        if look:
-            # a full stop at the end of a sentence is not part of the name
-            out.append((a, b if look == "initial" or not word.endswith(".") else b - 1, bare, look, k == 0))
-    return out
-
-
-def candidates(text: str, names: Gazetteer) -> list[tuple[int, int, str, list[str]]]:
-    """Segments (start, end, type, features) that the model scores; all other text is outside of entities."""
-    out: list[tuple[int, int, str, list[str]]] = []
-    low = text.lower()
-    if "@" in low or "(at)" in low or "[at]" in low or " dot " in low or " punkt " in low or " punto " in low or " ponto " in low:
-        m = _EMAIL.search(text)
-        while m:
-            a, b = m.span()
-            out.append((a, b, "email", ["@" if "@" in m[0] or "(" in m[0] else "at", "head=" + _LEFT.findall(m[0].lower())[0] if " " in m[0] else "whole", *_context(text, a, b)]))
-            # a spoken address may begin at a later word of the match
-            after = text.find(" ", a, b)
-            m = _EMAIL.search(text, after if after > 0 and " at " in m[0].lower() and "@" not in m[0] else b)
-    if _DIGITS.search(text):
-        digits = len(_DIGITS.findall(text))
-        patterns = ((_NUMBER,) if digits >= 7 else ()) + ((_CODE,) if digits >= 4 and _CODE_HINT.search(text) else ())
-        for pattern in patterns:
-            for m in pattern.finditer(text):
-                a, b = m.span()
-                while b > a and text[b - 1] in " .-/(":
-                    b -= 1
-                n = sum(ch.isdigit() for ch in text[a:b])
-                if n < 4 or (pattern is _NUMBER and n < 7):
-                    continue
-                feats = _number_features(text, a, b, False)
-                out += [(a, b, "phone", feats), (a, b, "id_number", feats)]
-    if any(w in low for w in _STEMS) and _STREETLIKE.search(low):
-        for m in _ADDRESS.finditer(text):
-            a, b = m.span()
-            ends = [b]
-            for _ in range(4):
-                t = _TAIL.match(text, ends[-1])
-                if not t:
-                    break
-                ends.append(t.end())
-            # without a number the name of the street may begin at a later word of the match
-            numbered = bool(_NUMBERED.search(m[0]))
-            starts = [a] if numbered else [a + w.start() for w in re.finditer(r"[\w'’-]+", m[0])][: max(1, len(m[0].split()) - 1)]
-            for at in starts:
-                for k, end in enumerate(ends):
-                    if end - at > LONGEST:
-                        break
-                    span = text[at:end]
-                    last = re.findall(r"[\w'’-]+", span)[-1]
-                    r1 = re.match(r"\s*([^\W_]+|\S)?", text[end : end + 20].lower())[1] or "$"
-                    house = ["house"] if numbered else ["no house", "no house " + ("upper" if span[0].isupper() else "lower text" if text == low else "lower"), "first=" + span.split()[0].lower()]
-                    feats = [f"parts={k}", *house, f"r1={r1}", "town" if last[0].isupper() else "low", "zip" if re.search(r"\b\d{5}\b", span) else "no zip", f"last={'9' if last.isdigit() else re.sub('.*(?=...$)', '', last.lower())}"]
-                    out.append((at, end, "address", feats + _context(text, at, end)[:2]))
-    # of the six or more words of a spelt number all but the outer ones stand free
-    if sum(map(_DIGIT_WORDS.__contains__, low.replace("-", " ").replace(",", " ").split())) >= 4:
-        for m in _SPELT.finditer(text):
-            feats = _number_features(text, m.start(), m.end(), True)
-            out += [(m.start(), m.end(), "phone", feats), (m.start(), m.end(), "id_number", feats)]
-    tokens = _name_tokens(text, low, names)
-    for i in range(len(tokens)):
-        for j in range(i, min(i + 3, len(tokens))):
-            if j > i and tokens[j][0] - tokens[j - 1][1] != 1:
-                break
-            looks = [t[3] for t in tokens[i : j + 1]]
-            a, b = tokens[i][0], tokens[j][1]
-            if looks[-1] == "initial":
-                continue
-            raw = text[a:b]
-            more_left = i > 0 and a - tokens[i - 1][1] == 1
-            more_right = j + 1 < len(tokens) and tokens[j + 1][0] - b == 1
-            words = [t[2] for t in tokens[i : j + 1]]
-            feats = ["looks=" + "+".join(looks), "tokens=" + str(j - i + 1), "case=" + ("lower" if raw.islower() else "upper" if raw.split()[0].isupper() and len(raw.split()[0]) > 2 else "title")]
-            context = _context(text, a, b)
-            feats += context[:3]
-            if context[0][3:] in TITLES or (context[0] == "l1=." and context[1][3:].split(" ")[0] in TITLES):
-                feats.append("title")
-                left = re.sub(r"\b[^\W\d_]{1,4}\.?\s*$", "", text[:a])
-                feats.append("before title=" + ((re.findall(r"[^\W\d_]+", left.lower()) or ["^"])[-1]))
-            if any(w in FIRM for w in words):
-                feats.append("firm word")
-            if context[2][3:] in FIRM:
-                feats.append("before firm word")
-            if more_left:
-                feats.append("more left")
-            if more_right:
-                feats.append("more right=" + tokens[j + 1][3])
-            if tokens[i][4]:
-                feats.append("first")
-            if "-" in raw:
-                feats.append("hyphen")
-            out.append((a, b, "name", feats))
-    return out
+#: Longest spans of each type, in tokens; every span up to this length is scored.
+LENGTHS = (18, 16, 18, 20, 6)
+LONGEST = max(LENGTHS)
+#: Made-up sentences to which the weights are fitted; the bound on the training set.
+TRAINING_SENTENCES, EPOCHS, BATCH = 8000, 4, 80
+#: Classes of tokens that the model tells apart.
+MOST_CLASSES = 256
+#: Words of the corpus count as common if they are at least one in so many.
+COMMON_SHARE = 200_000
+#: Score that a span must have beyond that of plain text, by type.
+MARGIN = (0.0, 0.0, 0.0, 0.0, 0.5)
+#: Tokens that are scored at a time, and characters after which a text is taken in parts that end with a sentence or word.
+TOKENS_AT_ONCE, PART = 250_000, 200_000
+
+# A token carries the blanks after it. A letter or short title with its full stop is one token.
+_TOKEN = re.compile(r"(?:[^\W\d_]\.(?=\s)|(?:[Mm]rs?|Ms|[Dd]r|St|No|Nr|Str|Apt|Prof|Sra?|Mme|Mlle|pl)\.(?=\s)|(?:[^\W\d_]|[ऀ-ॣॱ-ॿ̀-ͯ])+|\d+|\S)\s*|\s+")
+# Words by which spans are recognised, in lower case.
+TITLES = frozenset("mr mrs ms miss dr prof doctor professor herr frau monsieur madame mme mlle señor señora señorita sr sra senhor senhora dom dona don doña shri smt sri श्री श्रीमती".split())
+TOWN_WORDS = frozenset("floor stock étage piso andar gate park near opposite behind flat apartment apt house haus casa plot door suite unit block building no nr".split())
+STREET_FIRST = frozenset("rue calle avenida rua travessa via chemin plaza praça impasse allée paseo largo boulevard avenue place".split())
+STREET_TAIL = ("straße", "strasse", "gasse", "allee", "platz", "weg", "ring", "damm")
+AT_WORDS, DOT_WORDS = frozenset("at arroba arobase".split()), frozenset("dot punkt punto ponto point dash underscore plus hyphen minus bindestrich guion".split())
+COUNTING = frozenset("ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred double triple".split()) | frozenset(examples.TENS)
+DIGIT_WORDS = frozenset(w for line in examples.DIGIT_NAMES.values() for w in line.split()) | {"oh", "double", "triple"}
+ORGANISATION = frozenset(w.lower() for w in (*examples.LEGAL, *examples.PRODUCT)) | frozenset("team desk office branch helpline department line agency centre center unit".split())
+CALENDAR = frozenset(w.lower() for w in examples.MONTHS) | frozenset("monday tuesday wednesday thursday friday saturday sunday".split())
+REFERENCE = frozenset("ticket case order invoice form folio request reference ref version batch receipt serial tracking transaction application auftrag antrag bestellung rechnung formular commande facture dossier formulaire pedido factura solicitud formulario encomenda fatura formulário req tkt".split())
+IDENTITY = frozenset("passport identity id ssn tax licence license aadhaar pan iban ausweis reisepass personalausweises personalausweis steuernummer ausweisnummer passeport identité fiscal pasaporte identidad cédula passaporte identidade pehchaan पहचान आधार पासपोर्ट card karte carte tarjeta cartão".split())
+MONEY = frozenset("usd eur inr gbp rs dollars euros rupees percent rupaye".split()) | set("%€₹$£")
+
+ARTICLES = frozenset("the an this that these our your their his her its der die das den dem des ein eine einen einem einer eines mein meine meinen meinem meiner dein deine unser unsere ihr ihre ihren ihrem le la les un une des du mon ma mes notre votre el los las una unos mi mis su sus del os as um uma seu sua meu minha do da dos das no na nos nas ao yeh yah woh is us यह वह इस उस".split())
+PHONE_WORDS = frozenset("phone call ring dial mobile cell telephone text reach landline handynummer handy telefon anrufen rufen erreichen portable téléphone appelez joindre rappelez móvil teléfono llame llámeme llamarme telemóvel telefone ligue ligar फ़ोन कॉल whatsapp fax".split())
+#: What the sentence of a span holds, each a bit.
+FLAGS = (IDENTITY, PHONE_WORDS, REFERENCE)
+#: Public vocabulary by which common words are told from rare ones.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+ROLES = ("inside", "begin", "end", "left1", "left2", "left3", "right1", "right2")
+#: Counts over a span: digits; digit words; at-signs and words; dots and dot words; street words; listed names; words in lower case; capitalised words; commas.
+COUNTS, COUNT_MOST = ("digits", "digit words", "ats", "dots", "streets", "listed", "lower", "upper", "commas", "letters and digits"), 20
+
+
+class Gazetteer(dict):
+    """The listed names in lower case: given or family."""
+
+
+class Lexicon:
+    """What is known of a token by itself: its class, its word number and what it adds to the counts of a span. Ids of classes and words are those of the fitted model."""
+
+    def __init__(self, names: dict[str, str], common: frozenset[str] = frozenset(), path: str | None = None) -> None:
+        self.names, self.common = names, common
+        self.path = path or os.path.join(TOKENIZER_DIR, VOCABULARY)
+        fixed = " ".join(examples.SLOT.sub(" ", p) for p in (*examples.LABELLED, *examples.PLAIN)).lower()
+        words = sorted(set(re.findall(r"(?:[^\W\d_]|[ऀ-ॿ])+", fixed)) | TITLES | REFERENCE | IDENTITY | MONEY)
+        self.word_of = {w: k + 1 for k, w in enumerate(words)}
+        self.class_of: dict[str, int] = {"^": 0}
+
+    def describe(self, token: str, listed: bool = True, taught: bool = True) -> tuple[int, int, tuple[int, ...], bool, int]:
+        """(class, word, counts, whether it ends a sentence, bits of FLAGS) of a token; listed tells whether to look it up among the names, taught whether among the words of the training sentences."""
+        t = token.rstrip()
+        glued = len(t) == len(token)
+        low = t.lower()
+        counts = [0] * len(COUNTS)
+        stop = False
+        first = t[:1]
+        if not t:
+            kind = "blank"
+        elif first.isdigit():
+            counts[0] = min(len(t), COUNT_MOST)
+            n = len(t)
+            kind = f"d{n if n < 8 else 8 if n < 10 else n if n < 13 else 13}" + ("z" if first == "0" and n > 1 else "") + ("y" if n == 4 and t[:2] in ("19", "20") else "")
+            counts[9] = 1
+        elif first.isalpha() or "ऀ" <= first <= "ॿ":
+            plain = low.rstrip(".")
+            upper, title = t.isupper(), first.isupper()
+            case = "u" if upper and len(plain) > 1 else "t" if title else "l"
+            listed = self.names.get(plain) if listed else None
+            if low.endswith(".") and len(low) == 2:
+                kind = "initial"
+            elif HESITATION.fullmatch(plain):
+                kind = "hesitation"
+            elif plain in TITLES:
+                kind = "title"
+            elif plain in ARTICLES:
+                kind = "article " + case
+                counts[6] = 1
+            elif "ऀ" <= first <= "ॿ":
+                kind = "hi known" if taught and plain in self.word_of else "hi"
+            elif len(plain) == 1:
+                kind = "letter " + case
+                counts[9] = 1
+            elif plain in examples.STREETS:
+                kind = "street " + case
+                counts[4] = 1
+            elif plain in STREET_FIRST:
+                kind = "street first"
+                counts[4] = 1
+            elif len(plain) > 6 and plain.endswith(STREET_TAIL):
+                kind = "street tail " + case
+                counts[4] = 1
+            elif plain in AT_WORDS:
+                kind = "at"
+                counts[2] = 1
+            elif plain in DOT_WORDS:
+                kind = "dot"
+                counts[3] = 1
+            elif plain in DIGIT_WORDS:
+                kind = "digit word " + case
+                counts[1] = 1
+            elif plain in COUNTING:
+                kind = "number word"
+            elif plain in TOWN_WORDS:
+                kind = "town word"
+            elif listed:
+                kind = f"{listed} {case}" + (" known" if plain in self.word_of else "")
+                counts[5] = 1
+            elif plain in ORGANISATION:
+                kind = "organisation " + case
+            elif plain in CALENDAR:
+                kind = "calendar " + case
+            elif plain in REFERENCE:
+                kind = "reference"
+            elif plain in IDENTITY:
+                kind = "identity"
+            elif plain in MONEY:
+                kind = "money"
+            elif taught and plain in self.word_of:
+                kind = "known " + case
+            else:
+                known = pieces_of(self.path)
+                common = " " + plain in known or plain in self.common
+                kind = ("common " if common else "capital " if " " + plain.capitalize() in known else "rare ") + case + (str(min(len(plain), 4)) if len(plain) < 4 else "") + (" mixed" if case == "t" and any(c.isupper() for c in t[1:]) else "")
+            if case == "l" and kind not in ("at", "dot") and not counts[1]:
+                counts[6] = 1
+            elif case != "l":
+                counts[7] = 1
+        else:
+            kind = t if t in ".,-@/()+_'’&:;#[]<>*\"" else "money" if t in MONEY else "sign"
+            stop = (t in ".!?" and not glued) or t in "।॥\n"
+            if stop:
+                kind = "stop"
+            counts[2] += t == "@"
+            counts[3] += t in "._" and glued
+            counts[8] += t == ","
+        kind += "+" if glued else ""
+        number = self.class_of.setdefault(kind, len(self.class_of)) if len(self.class_of) < MOST_CLASSES or kind in self.class_of else 0
+        word = low.rstrip(".") if first.isalpha() or "ऀ" <= first <= "ॿ" else low
+        return number, self.word_of.get(word, 0) if taught else 0, tuple(counts), stop, sum(1 << k for k, words in enumerate(FLAGS) if word in words)
 
 
 class SemiMarkov:
-    """Weights of the segment features by type, and the dynamic programs over segmentations."""
-
-    def __init__(self) -> None:
-        self.w: dict[str, dict[str, float]] = {t: {} for t in TYPES}
-
-    def score(self, kind: str, feats: list[str]) -> float:
-        w = self.w[kind]
-        s = w.get("bias", 0.0)
-        for f in feats:
-            s += w.get(f, 0.0)
-        return s
-
-    @staticmethod
-    def _points(found: list) -> dict[int, int]:
-        return {p: k for k, p in enumerate(sorted({x for c in found for x in c[:2]}))}
-
-    def best(self, text: str, names: Gazetteer) -> list[tuple[int, int, str]]:
-        """The segmentation of the highest score, as its entities in order."""
-        found = candidates(text, names)
-        if not found:
-            return []
-        at = self._points(found)
-        by_end: dict[int, list] = defaultdict(list)
-        for c in found:
-            s = self.score(c[2], c[3])
-            if s > 0:
-                by_end[at[c[1]]].append((at[c[0]], s, c))
-        value, back = [0.0] * (len(at) + 1), [None] * (len(at) + 1)
-        for k in range(len(at)):
-            top, who = (value[k - 1], None) if k else (0.0, None)
-            for start, s, c in by_end.get(k, ()):
-                if value[start] + s > top:
-                    top, who = value[start] + s, (start, c)
-            value[k], back[k] = top, who
-        out, k = [], len(at) - 1
-        while k > 0:
-            if back[k] is None:
-                k -= 1
-            else:
-                start, c = back[k]
-                out.append(c[:3])
-                k = start
-        return out[::-1]
-
-    def fit(self, rows: list[tuple[str, list[tuple[int, int, str]]]], names: Gazetteer, epochs: int = EPOCHS, rate: float = 0.4, decay: float = 1e-4) -> SemiMarkov:
-        """Maximises the likelihood of the labelled segmentations; expected feature counts by the forward and backward sums over all segmentations."""
+    """Weights of whole-span features by type. A span's score is the sum over its tokens, its two ends, the pairs of classes inside and at its ends, three words to the left and two to the right, its length, and tables of what it holds (COUNTS). Plain text scores nothing.
+
+    As nearly all features split into those of the first and those of the last token, all spans up to the longest are scored by few array operations.
+    """
+
+    def __init__(self, lexicon: Lexicon, classes: int = MOST_CLASSES) -> None:
+        t, v = len(TYPES), len(lexicon.word_of) + 1
+        self.lexicon, self.classes = lexicon, classes
+        self.word = np.zeros((len(ROLES), v, t), dtype=np.float32)
+        self.kind = np.zeros((len(ROLES), classes, t), dtype=np.float32)
+        self.pair = np.zeros((3, classes, classes, t), dtype=np.float32)
+        self.length = np.zeros((LONGEST + 1, t), dtype=np.float32)
+        self.counts = np.zeros((len(COUNTS), COUNT_MOST + 1, t), dtype=np.float32)
+        self.length[0] = -3.0
+        self.flags = np.zeros((1 << len(FLAGS), t), dtype=np.float32)
+
+    def tables(self) -> list[np.ndarray]:
+        return [self.word, self.kind, self.pair, self.length, self.counts, self.flags]
+
+    # -- fitting -------------------------------------------------------------------------------------------
+
+    def fit(self, rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EPOCHS, rate: float = 0.25, decay: float = 2e-4, seed: int = 3) -> SemiMarkov:
+        """Maximises the likelihood of the labelled segmentations by mini-batches; the expected features come from forward and backward sums over all segmentations. A third of the words are hidden in turn, so that classes carry weight on their own."""
+        random = np.random.default_rng(seed)
         data = []
         for text, gold in rows:
-            found = candidates(text.translate(_SAME), names)
-            if found:
-                data.append((found, self._points(found), {g for g in gold}))
-        squares: dict[str, dict[str, float]] = {t: defaultdict(float) for t in TYPES}
-        order = random.Random(11)
+            made = self._training_row(text, gold, random)
+            if made is not None:
+                data.append(made)
+        data.sort(key=lambda d: len(d[0]))
+        batches = [data[k : k + BATCH] for k in range(0, len(data), BATCH)]
+        squares = [np.full(w.shape, 1e-3, dtype=np.float32) for w in self.tables()]
         for _ in range(epochs):
-            order.shuffle(data)
-            for found, at, gold in data:
-                n = len(at)
-                scores = [self.score(c[2], c[3]) for c in found]
-                spans = [(at[c[0]], at[c[1]]) for c in found]
-                weight = [math.exp(min(30.0, s)) for s in scores]
-                f = [1.0] * n
-                ends, starts = defaultdict(list), defaultdict(list)
-                for i, (a, b) in enumerate(spans):
-                    ends[b].append(i)
-                    starts[a].append(i)
-                for k in range(1, n):
-                    f[k] = f[k - 1] + sum(f[spans[i][0]] * weight[i] for i in ends[k])
-                g = [1.0] * n
-                for k in range(n - 2, -1, -1):
-                    g[k] = g[k + 1] + sum(g[spans[i][1]] * weight[i] for i in starts[k])
-                for i, c in enumerate(found):
-                    p = f[spans[i][0]] * weight[i] * g[spans[i][1]] / f[-1]
-                    grad = (c[:3] in gold) - p
-                    if abs(grad) < 0.01:
-                        continue
-                    w, sq = self.w[c[2]], squares[c[2]]
-                    for name in ("bias", *c[3]):
-                        sq[name] += grad * grad
-                        old = w.get(name, 0.0)
-                        w[name] = old + rate * (grad - decay * old) / math.sqrt(1e-6 + sq[name])
+            for k in random.permutation(len(batches)):
+                for w, g, s in zip(self.tables(), self._gradient(batches[k], random), squares):
+                    s += g * g
+                    w += rate * g / np.sqrt(s) - rate * decay * w
         return self
 
+    def _training_row(self, text: str, gold: list[tuple[int, int, str]], random: np.random.Generator) -> tuple | None:
+        tokens = _TOKEN.findall(text)
+        if not 1 < len(tokens) <= 44:
+            return None
+        starts = np.concatenate(([0], np.cumsum([len(x) for x in tokens])))
+        begin = {int(a): k for k, a in enumerate(starts[:-1])}
+        end = {int(a) + len(x.rstrip()): k for k, (a, x) in enumerate(zip(starts, tokens))}
+        spans = []
+        for a, b, kind in gold:
+            t = TYPES.index(kind)
+            if a not in begin or b not in end or end[b] - begin[a] + 1 > LENGTHS[t]:
+                return None
+            spans.append((begin[a], end[b] - begin[a] + 1, t))
+        # a third of the listed names count as unlisted, a third of the words as unknown
+        described = [self.lexicon.describe(x, *(random.random(2) > 0.33)) for x in tokens]
+        flags = 0
+        for d in described:
+            flags |= d[4]
+        return [d[0] for d in described], [d[1] for d in described], [d[2] for d in described], spans, flags
+
+    def _gradient(self, batch: list[tuple], random: np.random.Generator) -> list[np.ndarray]:
+        b, n, types = len(batch), max(len(d[0]) for d in batch), len(TYPES)
+        pad = 3
+        kind = np.zeros((b, n + 2 * pad), dtype=np.int64)
+        word = np.zeros((b, n + 2 * pad), dtype=np.int64)
+        count = np.zeros((b, n + 1, len(COUNTS)), dtype=np.int64)
+        size = np.array([len(d[0]) for d in batch])
+        flags = np.array([d[4] for d in batch])
+        for k, (kinds, words, counts, _, _) in enumerate(batch):
+            kind[k, pad : pad + len(kinds)] = kinds
+            word[k, pad : pad + len(kinds)] = words
+            count[k, 1 : len(kinds) + 1] = np.cumsum(counts, axis=0)
+            count[k, len(kinds) + 1 :] = count[k, len(kinds)]
+        word[random.random(word.shape) < 0.1] = 0
+        at = slice(pad, pad + n)
+        shift = lambda x, d: x[:, pad + d : pad + d + n]
+        of = lambda role, d: self.word[role][shift(word, d)] + self.kind[role][shift(kind, d)]
+        inside = of(0, 0)
+        bigram = self.pair[2][shift(kind, -1), shift(kind, 0)]
+        total = np.concatenate((np.zeros((b, 1, types), dtype=np.float32), np.cumsum(inside + bigram, axis=1)), axis=1)
+        first = of(1, 0) + of(3, -1) + of(4, -2) + of(5, -3) + self.pair[0][shift(kind, -1), shift(kind, 0)] - bigram + self.flags[flags][:, None, :]
+        last = of(2, 0) + of(6, 1) + of(7, 2) + self.pair[1][shift(kind, 0), shift(kind, 1)]
+        score = np.full((b, n, LONGEST, types), -1e9, dtype=np.float32)
+        held = np.zeros((b, n, LONGEST, len(COUNTS)), dtype=np.int8)
+        for l in range(1, min(LONGEST, n) + 1):
+            m = n - l + 1
+            s = first[:, :m] + last[:, l - 1 :] + total[:, l : l + m] - total[:, :m] + self.length[l] + self.length[0]
+            c = np.minimum(count[:, l : l + m] - count[:, :m], COUNT_MOST)
+            held[:, :m, l - 1] = c
+            for q in range(len(COUNTS)):
+                s = s + self.counts[q][c[..., q]]
+            s[(np.arange(m)[None, :] + l) > size[:, None]] = -1e9
+            score[:, :m, l - 1] = s
+        for t, most in enumerate(LENGTHS):
+            score[:, :, most:, t] = -1e9
+        weight = np.exp(np.minimum(score, 25.0))
+        any_type = weight.sum(axis=3).astype(np.float64)
+        forward, backward = np.ones((b, n + 1)), np.ones((b, n + 1))
+        for j in range(1, n + 1):
+            lengths = np.arange(1, min(LONGEST, j) + 1)
+            forward[:, j] = forward[:, j - 1] + (forward[:, j - lengths] * any_type[:, j - lengths, lengths - 1]).sum(axis=1)
+        for i in range(n - 1, -1, -1):
+            lengths = np.arange(1, min(LONGEST, n - i) + 1)
+            backward[:, i] = backward[:, i + 1] + (backward[:, i + lengths] * any_type[:, i, lengths - 1]).sum(axis=1)
+        ends = np.minimum(np.arange(n)[:, None] + np.arange(1, LONGEST + 1)[None, :], n)
+        g = -weight * (forward[:, :n, None] * backward[:, ends] / forward[:, n][:, None, None]).astype(np.float32)[..., None]
+        for k, d in enumerate(batch):
+            for i, l, t in d[3]:
+                g[k, i, l - 1, t] += 1
+        begin_m = g.sum(axis=2)
+        end_m = np.zeros((b, n, types), dtype=np.float32)
+        for l in range(1, min(LONGEST, n) + 1):
+            end_m[:, l - 1 :] += g[:, : n - l + 1, l - 1]
+        covered = np.cumsum(begin_m, axis=1) - np.concatenate((np.zeros((b, 1, types)), np.cumsum(end_m, axis=1)[:, :-1]), axis=1)
+        gw, gk, gp = np.zeros_like(self.word), np.zeros_like(self.kind), np.zeros_like(self.pair)
+        for role, d, marginal in ((0, 0, covered), (1, 0, begin_m), (2, 0, end_m), (3, -1, begin_m), (4, -2, begin_m), (5, -3, begin_m), (6, 1, end_m), (7, 2, end_m)):
+            np.add.at(gw[role], shift(word, d), marginal)
+            np.add.at(gk[role], shift(kind, d), marginal)
+        gw[:, 0] = 0
+        np.add.at(gp[0], (shift(kind, -1), shift(kind, 0)), begin_m)
+        np.add.at(gp[1], (shift(kind, 0), shift(kind, 1)), end_m)
+        np.add.at(gp[2], (shift(kind, -1), shift(kind, 0)), covered - begin_m)
+        gl, gc = np.zeros_like(self.length), np.zeros_like(self.counts)
+        gl[1:] = g.sum(axis=(0, 1))
+        gl[0] = gl[1:].sum(axis=0)
+        for t in range(types):
+            flat = g[:, :, : LENGTHS[t], t].ravel()
+            some = np.flatnonzero(np.abs(flat) > 1e-5)
+            for q in range(len(COUNTS)):
+                gc[q, :, t] = np.bincount(held[:, :, : LENGTHS[t], q].ravel()[some], flat[some], COUNT_MOST + 1)
+        gf = np.zeros_like(self.flags)
+        np.add.at(gf, flags, begin_m.sum(axis=1))
+        return [gw, gk, gp, gl, gc, gf]
+
+
+class Reader:
+    """Finds the entities of many texts at once; keeps what it learns of tokens, bounded in number and size."""
+
+    MOST_TOKENS, LONGEST_TOKEN = 400_000, 40
+
+    def __init__(self, model: SemiMarkov) -> None:
+        self.model = model
+        self.pair = model.pair.astype(np.float32)
+        self.best_counts = model.counts.max(axis=1).sum(axis=0)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.row: dict[str, int] = {}
+        self.scores = np.zeros((4096, len(ROLES), len(TYPES)), dtype=np.float32)
+        # class, whether it ends a sentence, flags, counts
+        self.facts = np.zeros((4096, 3 + len(COUNTS)), dtype=np.int32)
+        start = np.stack([self.model.kind[r][0] + self.model.word[r][0] for r in range(len(ROLES))])
+        self.scores[0] = start
+        self.facts[0, 1] = 1
+
+    def _add(self, token: str) -> int:
+        key = token
+        first = token[:1]
+        if first.isdigit():  # digits of one length and look are one token
+            t = token.rstrip()
+            y = len(t) == 4 and t[:2] in ("19", "20")
+            key = ("0" if first == "0" else t[:2] if y else "9") + "9" * (len(t) - 1 - y) + (" " if len(t) < len(token) else "")
+            if key in self.row:
+                return self.row[key]
+        kind, word, counts, stop, flags = self.model.lexicon.describe(key)
+        if len(key) > self.LONGEST_TOKEN:  # kept by what it is, as what it says may be long
+            key = repr((kind, word, counts, stop, flags))
+            if key in self.row:
+                return self.row[key]
+        k = len(self.row) + 1
+        if k >= len(self.scores):
+            self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
+            self.facts = np.concatenate((self.facts, np.zeros_like(self.facts)))
+        self.scores[k] = np.stack([self.model.kind[r][kind] + self.model.word[r][word] for r in range(len(ROLES))])
+        if stop:  # what follows a sentence begins one
+            for r in (3, 4, 5):
+                self.scores[k, r] = self.scores[0, r]
+        self.facts[k] = (0 if stop else kind, stop, flags, *counts)
+        self.row[key] = k
+        return k
+
+    def read(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        """(start, end, type) of the entities of each text, in order."""
+        out: list[list] = [[] for _ in texts]
+        held: list[tuple[int, int, list[str]]] = []
+        n = 0
+        for k, text in enumerate(texts):
+            for at, part in _parts(text):
+                tokens = _TOKEN.findall(part)
+                held.append((k, at, tokens))
+                n += len(tokens)
+                if n > TOKENS_AT_ONCE:
+                    self._flush(held, out)
+                    held, n = [], 0
+        self._flush(held, out)
+        return out
+
+    def spans(self, text: str, kind: int) -> list[tuple[int, int, float]]:
+        """(first token, token after the last, score) of the spans of one type that score above plain text."""
+        start, stop, types, score, _ = self._scored([(0, 0, _TOKEN.findall(text))])
+        return [(a - 3, b - 3, s) for a, b, t, s in zip(start.tolist(), stop.tolist(), types.tolist(), score.tolist()) if t == kind]
+
+    def read_spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(first token, token after the last, type) of the best segmentation."""
+        tokens = _TOKEN.findall(text)
+        at = {0: 0}
+        for k, x in enumerate(tokens):
+            at[sum(map(len, tokens[: k + 1]))] = k + 1
+        out = []
+        for a, b, kind in self.read([text])[0]:
+            out.append((at[a], at[b + len(text[b:]) - len(text[b:].lstrip())], TYPES.index(kind)))
+        return out
+
+    def _scored(self, held: list) -> tuple:
+        """Start, end, type and score of all spans that score above plain text, over the tokens of all parts in a row, and where the parts begin."""
+        if len(self.row) > self.MOST_TOKENS:
+            self._forget()
+        get, add = self.row.get, self._add
+        ids: list[int] = [0, 0, 0]
+        begins = []
+        for _, _, tokens in held:
+            begins.append(len(ids))
+            ids += [get(t) or add(t) for t in tokens]
+            ids += (0, 0, 0)
+        at = np.array(ids, dtype=np.int64)
+        n = len(at)
+        scores, facts = self.scores, self.facts
+        kind = facts[at, 0]
+        stops = np.concatenate(([0], np.cumsum(facts[at, 1])))
+        counts = np.concatenate((np.zeros((1, len(COUNTS)), dtype=np.int64), np.cumsum(facts[at, 3:], axis=0)))
+        # bits of the sentence around each token
+        sentence = stops[:-1]
+        around = np.zeros(int(stops[-1]) + 1, dtype=np.int64)
+        flagged = np.flatnonzero(facts[at, 2])
+        np.bitwise_or.at(around, sentence[flagged], facts[at[flagged], 2])
+        around = around[sentence]
+        found: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]] = []
+        before, after = np.roll(kind, 1), np.roll(kind, -1)
+        for t in range(len(TYPES)):
+            of = lambda role: scores[at, role, t]  # noqa: E731, B023
+            bigram = self.pair[2, before, kind, t]
+            total = np.concatenate(([0.0], np.cumsum((of(0) + bigram).astype(np.float64))))
+            first = of(1) + np.roll(of(3), 1) + np.roll(of(4), 2) + np.roll(of(5), 3) + self.pair[0, before, kind, t] - bigram - total[:-1] + self.model.flags[around, t] + self.model.length[0, t] + self.best_counts[t] - MARGIN[t]
+            last = of(2) + np.roll(of(6), -1) + np.roll(of(7), -2) + self.pair[1, kind, after, t] + total[1:]
+            # no span begins or ends at the end of a sentence, or crosses it
+            ending = facts[at, 1] > 0
+            first[ending] = -1e9
+            last[ending] = -1e9
+            for l in range(1, LENGTHS[t] + 1):
+                m = n - l + 1
+                if m < 1:
+                    break
+                i = np.flatnonzero(first[:m] + last[l - 1 :] > -self.model.length[l, t])
+                if not len(i):
+                    continue
+                i = i[stops[i + l] == stops[i]]
+                s = first[i] + last[i + l - 1] + self.model.length[l, t] - self.best_counts[t]
+                c = np.minimum(counts[i + l] - counts[i], COUNT_MOST)
+                for q in range(len(COUNTS)):
+                    s = s + self.model.counts[q, c[:, q], t]
+                good = s > 0
+                if good.any():
+                    found.append((i[good], np.full(int(good.sum()), l), t, s[good]))
+        if not found:
+            return *[np.empty(0, dtype=np.int64)] * 4, begins
+        start, length = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        return start, start + length, np.concatenate([np.full(len(f[0]), f[2]) for f in found]), np.concatenate([f[3] for f in found]), begins
+
+    def _flush(self, held: list, out: list[list]) -> None:
+        if not held:
+            return
+        start, stop, types, score, begins = self._scored(held)
+        order = np.lexsort((types, start, stop))
+        text = np.searchsorted(begins, start, side="right") - 1
+        # the best segmentation: spans by their ends, at each end the best of what was and what a span adds
+        order = order[np.argsort(text[order], kind="stable")]
+        rows = list(zip(text[order].tolist(), start[order].tolist(), stop[order].tolist(), types[order].tolist(), score[order].tolist()))
+        k = 0
+        while k < len(rows):
+            j = k
+            while j < len(rows) and rows[j][0] == rows[k][0]:
+                j += 1
+            self._settle(rows[k:j], held[rows[k][0]], begins[rows[k][0]], out)
+            k = j
 
-# Labelled patterns. {name}, {email}, {phone}, {id}, {address} are filled with values and labelled; other slots are filled and stay outside.
-PATTERNS = (
-    "My name is {name} and I am calling about my plan.", "The joint holder is {name} on that folio.", "Last week I talked to {name} about this.", "The cheque was signed by {name}, not by me.",
-    "You are speaking with {name} today.", "Is that {name} on the line?", "Please ask for {name} when you come in.", "Thanks {name}, let us go on.", "Hello {name}, how are you?", "I spoke with {name} yesterday.",
-    "{name} called me this morning.", "This is {name} from {town}.", "Mein Name ist {name} und ich rufe wegen meines Vertrags an.", "Letzte Woche habe ich mit {name} darüber gesprochen.", "Danke {name}, dann machen wir weiter.",
-    "Je m'appelle {name} et j'appelle pour mon contrat.", "La semaine dernière j'ai parlé avec {name} de ce sujet.", "Merci {name}, nous pouvons continuer.", "Me llamo {name} y llamo por mi contrato.",
-    "La semana pasada hablé con {name} de este tema.", "Gracias {name}, podemos seguir.", "O meu nome é {name} e ligo por causa do contrato.", "Na semana passada falei com {name} sobre isto.", "Obrigado {name}, podemos continuar.",
-    "Mera naam {name} hai aur main apni yojana ke liye baat kar raha hoon.", "Pichhle hafte maine {name} se is baare mein baat ki thi.", "Dhanyavaad {name}, aage badhte hain.", "मेरा नाम {name} है और मैं अपनी योजना के लिए बात कर रहा हूँ।",
-    "पिछले हफ़्ते मैंने {name} से इस बारे में बात की थी।", "धन्यवाद {name}, आगे बढ़ते हैं।",
-    "You can write to me at {email} any time.", "Send the papers to {email} please.", "{email} is the address I use for statements.", "The one on file, {email}, no longer works.", "Schreiben Sie mir bitte an {email} wegen der Unterlagen.",
-    "El correo {email} ya no me sirve.", "Envoyez-moi les papiers à {email} s'il vous plaît.", "Kripya kaagaz {email} par bhej dijiye.", "{email}, c'est là que je lis.",
-    "Call me back on {phone} after work.", "You can text {phone} if I do not pick up.", "My number has changed to {phone} since then.", "After six it is {phone} and before that the old one.", "{phone}, that is the best way to reach me.",
-    "Rufen Sie mich bitte unter {phone} zurück.", "Mujhe kaam ke baad {phone} par phone kijiye.", "Rappelez-moi au {phone} après le travail.", "Llámeme al {phone} por la tarde.", "Ligue-me para {phone} depois do trabalho.", "मुझे काम के बाद {phone} पर फ़ोन कीजिए।",
-    "My identity number is {id} as printed on the card.", "I gave the tax id {id} at the counter.", "For the check you need {id}, that is on my passport.", "It says {id} on my identity card.", "Meine Ausweisnummer ist {id}, so steht es auf der Karte.",
-    "Mi número de identidad es {id}, así está en la tarjeta.", "Mon numéro d'identité est {id}, c'est écrit sur la carte.", "O meu número de identidade é {id}, está no cartão.", "Mera pehchaan number {id} hai, card par yahi likha hai.", "मेरा पहचान नंबर {id} है, कार्ड पर यही लिखा है।",
-    "I moved to {address} in the spring.", "Post it to {address} and not the old place.", "We live at {address} now.", "The cheque should go to {address} by courier.", "Ich wohne jetzt in {address} mit meiner Familie.", "Ahora vivo en {address} con mi familia.",
-    "J'habite maintenant au {address} avec ma famille.", "Agora moro em {address} com a minha família.", "Ab main {address} mein rehta hoon.", "अब मैं {address} में रहता हूँ।",
-)
-OTHERS = (
-    "Will the June statement show the Rose series too?", "Please mark the payment and I hope it clears in May.", "The batch number {batch} is printed on every receipt.", "The order {order} was never placed by me.", "Version {version} of the app shows {plan} in red.",
-    "My code was XXXX-XX-{four} on the letter, all hidden.", "The card ending {four} is the old one, the mail is already [EMAIL].", "The road to maturity is long, block 12 of the table explains it.", "The ratio was 3:1 at 11:59 on the chart.",
-    "I sent the form 22 days ago and the request REQ {order} is still open.", "Let me check the status of folio {folio} for you right away.", "Request {ticket} waits for a signature, the team in {town} will settle it by 2024-03-17.", "The charge of INR {amount} was applied because the mandate had expired.",
-    "Please move {amount} USD from the {plan} into something safer.", "Hello, this is the branch desk of {firm}, how may I help?", "{firm} publishes the gross amounts of the {plan} on 18.03.2023.", "Can I change the nominee without visiting the office in {town}?", "I have raised a request with our office in {town} on 22/07/2023.",
-    "The {plan} has a lock-in of 43 months and an exit charge of 12.2%.", "Welcome back, are we still talking about the {plan}?", "Good morning, thank you for calling the {firm} helpline.", "You need the signed form X-60, the last statement and a cancelled cheque.",
-    "Kann ich den Begünstigten ändern, ohne in das Büro in {town} zu gehen?", "Ich habe am 2023-07-27 eine Anfrage bei unserem Büro in {town} gestellt.", "Ich möchte wissen, wie der {plan} nach 30 Monaten auszahlt.", "Der Antrag REQ {order} ist noch offen.", "Puis-je changer le bénéficiaire sans passer au bureau de {town} ?",
-    "J'ai ouvert une demande auprès de notre bureau de {town} le 19/11/2023.", "¿Puedo cambiar el beneficiario sin ir a la oficina de {town}?", "Por favor, pase {amount} EUR del {plan} a algo más seguro.", "Posso mudar o beneficiário sem ir ao escritório em {town}?", "Kya main {town} ke daftar jaaye bina nominee badal sakta hoon?",
-    "Main jaanna chahta hoon ki {plan} 9 mahine baad paisa kaise deta hai.", "क्या मैं {town} के दफ़्तर जाए बिना नामिती बदल सकता हूँ?", "कृपया {plan} से ₹{amount} किसी सुरक्षित जगह लगा दीजिए।", "Complaints about the folio go to the escalation desk, who reply in 22 working days.", "Our desk in {town} opens at nine and can reissue a surcharge the same day.",
-    "If the rider shows an address change, the trustee has to sign form F-48 again.", "Please release the certificate only after the monthly rider has cleared in {town}.", "I like this plan (the FGF one), but this month I cannot pay {amount} EUR.", "What does it cost to miss a payment in FinRakshak?", "Is the 0.6% return on the {plan} guaranteed?",
-    "Hope is not a plan, and grace ends in May.", "Thanks, that answers my question for now.", "Hello, I will mark it in June.", "Request {ticket} is open since 17.03.2024.", "The trustee and the branch desk in {town} will waive it by 2025-06-27.", "Wissen Sie, welches Bankkonto mit dem Plan verbunden ist?",
-    "For the {plan}, the rider is 9.4% of the claim in the first 9 months.", "Commission on the instalment falls from 3.3% in the first year to half of that later.", "Under scheme BharatBond, each floating claim carries a top-up of 1.9%.", "Action: call again (see FGF).", "Reason: mandate lapsed.",
-    "{email} ist die Adresse, die ich für Auszüge nutze.", "{phone} ist die Nummer, unter der man mich abends erreicht.", "You will receive the statement before the end of the week.", "Die Rendite hängt vom Markt ab, deshalb kann ich nichts versprechen.",
-    "Meine letzte Rate ist geplatzt und niemand hat mir von der Gebühr erzählt.", "Any payout below INR {amount} is rounded and moved to the annual acknowledgement.", "Let me check the status of {ticket} for you right away.",
-    "Danke fürs Warten, der Betrag von {amount} EUR ist bestätigt.", "Der {plan} hat eine Bindung von 45 Monaten und eine Ausstiegsgebühr von 0.4%.", "Mein Mann sagt, der Schutz endet mit dem Kredit, hat er recht?", "Die Rendite lag im letzten Jahr bei 14.3%, versprechen Sie das immer noch?",
-    "Hinweis: Annahmeschluss ist werktags um 18:00, heute zählt also noch.", "Bitte legen Sie {amount} USD aus dem {plan} in etwas Sichereres um.", "Können Sie mir die Steuer auf die Entnahme noch einmal erklären?", "Wenn ich früher aussteige, wie viel von meinem Geld verliere ich dann?",
-    "The escalation desk will confirm every surrender that is older than 19 days.", "The registrar office will approve the reversal and mark the rider.", "The team may hope for grace, so will the desk.", "He called me at 11:05 and said the offer closes at 14:30 today.", "It says on the form that I like it.",
-    "Thank you for waiting, the amount of {amount} EUR is confirmed.", "Alright, I will wait for your message until 2025-07-28.", "Why was INR {amount} taken from my account on 16/12/2023?", "My husband says the cover ends when the loan is paid, is he right?", "Read the folio aloud to the guardian and ask for a clear yes.",
-    "The return was 10.2% last year, is that still what you promise?", "Mujhe yeh yojana (FGF wali) pasand hai, par is mahine main {amount} USD nahin de sakta.", "Munafa bazaar par nirbhar hai, isliye main vaada nahin kar sakta.", "Maine form 16 din pehle bheja tha aur request REQ {order} abhi bhi khula hai.",
-    "Merci d'avoir patienté, le montant de {amount} EUR est confirmé.", "Mon mari dit que la garantie s'arrête avec le prêt, a-t-il raison ?", "Remarque : l'heure limite est 12:15 les jours ouvrés.", "Merci de transférer {amount} USD du {plan} vers quelque chose de plus sûr.", "Le {plan} est bloqué pendant 19 mois avec des frais de sortie de 3.8%.",
-    "Gracias por esperar, el importe de {amount} USD está confirmado.", "El {plan} tiene un bloqueo de 13 meses y un cargo de salida de 13.0%.", "Obrigado pela espera, o valor de {amount} EUR está confirmado.", "O {plan} tem um bloqueio de 43 meses e uma taxa de saída de 12.2%.", "Por que foram retirados {amount} EUR da minha conta?",
-    "A power-of-attorney holder who missed 29 payments can ask for a disputed folio.", "{firm} reserves the right to adjust the certificate once the folio is active.", "It is a long road to maturity, we said.", "Across the street nobody knew the {plan}.", "We took the main road to the office in {town}.", "The drive to save paper goes on.", "This square of the table is empty.", "Auf diesem Weg kommt die Auszahlung.",
-    "Auf keinen Weg kann ich das zusagen.", "La rue est longue, dit mon mari.", "That is the road to the {plan}.", "The whole street asked about the {plan}.", "Form K-40 replaces the older fixed disclosure from 17.01.2025.", "Any trustee in {town} may ask for the {plan} at {firm}.",
-)
-_TENS, _ONES = "twenty thirty forty fifty sixty seventy eighty ninety".split(), "one two three four five six seven eight nine".split()
-NOISE = ("", "", "", "Speaker 2>> ", "[00:01:13] ", "Uhm, ", "Kunde: ", "(02:20) ", "<v Agent> ", "Er ", "You know, ", "[noise] ", "I mean, ", "@1m18s ", "Hmm ", "Uhh, I mean, ", "Äh ", "(SPK_1) ", "(AGENT) ", "[CUSTOMER] ", "Mm-hmm... ", "RM: ")
-
-
-class _Values:
-    """Fills the slots of the patterns."""
-
-    def __init__(self, names: Gazetteer, seed: int) -> None:
-        self.r = random.Random(seed)
-        self.given = sorted(k for k, v in names.kind.items() if v == "given") or ["anna", "peter"]
-        self.family = sorted(k for k, v in names.kind.items() if v == "family") or ["miller", "kramer"]
-
-    def made(self, suffixes: tuple[str, ...]) -> str:
-        r = self.r
-        return ("".join(r.choice("bcdfghjklmnprstvwz") + r.choice(("a", "e", "i", "o", "u", "ai", "ia", "ei")) for _ in range(r.choice((1, 2)))) + r.choice(suffixes)).capitalize()
-
-    def digits(self, n: int) -> str:
-        return "".join(self.r.choice("0123456789") for _ in range(n))
-
-    def town(self) -> str:
-        return self.made(("holm", "ville", "ford", "mere", "by", "pur", "nagar", "stad"))
-
-    def plan(self) -> str:
-        return self.made(("th", "s", "ra", "ma", "r")) + " " + self.r.choice(("Savings Path", "Term Shield", "Bond Ladder", "Growth Plan", "Index Basket", "Liquid Fund", "Pension Bridge", "Cover Plus", "Family Guard", "Gold Saver", "Income Plan"))
-
-    def firm(self) -> str:
-        return self.made(("nia", "m", "nd", "l")) + " " + self.r.choice(("Mutual", "Trust", "Assurance", "Asset Desk"))
-
-    def name(self) -> str:
-        r = self.r
-        family = (r.choice(self.family) if r.random() < 0.5 else self.made(("sen", "mann", "ova", "kar", "ez", "ard", "ik", "wala", "n"))).title()
-        given = (r.choice(self.given) if r.random() < 0.7 else self.made(("a", "n", "o"))).title()
-        return r.choice((f"{given} {family}", f"{given} {family}", f"{given} {family}-{self.made(('n', 'l', 'kar'))}", f"{given[0]}. {family}", f"{family.upper()} {given}", family, given))
-
-    def email(self) -> str:
-        r = self.r
-        local = r.choice((f"{r.choice(self.given)}.{r.choice(self.family)}", f"{r.choice('abcdef')}_{r.choice(self.family)}", f"{r.choice(self.family)}{self.digits(2)}", f"{r.choice(self.given)}-{r.choice(self.family)}+plan"))
-        domain = r.choice(("example.org", "inbox.test", "desk.vellum.example", "postbox.example"))
-        spoken = " at ".join(x.replace(".", " dot ").replace("_", " underscore ").replace("-", " dash ").replace("+", " plus ") for x in (local, domain))
-        return r.choice((f"{local}@{domain}", f"{local} @ {domain}", f"{local}(at){domain}", f"{local}@{domain}".upper(), spoken))
-
-    def phone(self) -> str:
-        d, r = self.digits, self.r
-        plain = r.choice((f"07700 {d(6)}", f"07700{d(6)}", f"+44 7700 {d(6)}", f"0044.7700.{d(3)}.{d(3)}", f"(020) 7946 0{d(3)}", f"030 {d(8)}", f"212-555-0{d(3)}", f"+1 (646) 555 0{d(3)}", f"01 99 00 {d(2)} {d(2)}", f"+91 98{d(3)} {d(5)}", f"+49 30 {d(7)}", f"0{d(9)}"[:11]))
-        if r.random() < 0.2:
-            words = "zero one two three four five six seven eight nine".split()
-            return " ".join(words[int(c)] for c in "077" + d(8)).replace("zero zero", "double oh")
-        return plain
-
-    def id(self) -> str:
-        d, r = self.digits, self.r
-        up = lambda n: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
-        pan = up(5) + d(4) + up(1)
-        return r.choice((f"{d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}", f"666-{d(2)}-{d(4)}", pan, " ".join(pan), up(1) + d(7), f"{up(2)} {d(2)} {d(2)} {d(2)} {up(1)}"))
-
-    def address(self) -> str:
-        r, made, town, d = self.r, self.made, self.town, self.digits
-        n, stem = str(r.randint(1, 190)), lambda: made(("field", "moor", "wick", "n", "s"))
-        return r.choice((
-            f"{n}/{r.randint(1, 9)} {stem()} Street, 2nd floor, {town()}", f"{n} {stem()} Road, {town()}", f"Flat {r.randint(1, 9)}{r.choice('ABC')}, {n} {stem()} Lane, {town()} {d(5)}", f"{stem()}straße {n}, {d(5)} {town()}",
-            f"{stem()} Street, {town()}", f"{stem()} Road", f"{stem()}straße", f"rue {stem()}", f"Calle {stem()}, {town()}", f"{r.choice(_TENS)} {r.choice(_ONES)} {stem()} {r.choice(('Road', 'Street', 'Lane'))}, {town()}",
-            f"{n} rue {stem()}, {d(5)} {town()}", f"Calle {stem()} {n}, {town()}", f"House No. {n}, {stem()} Nagar, near the {stem()} Gate, {town()}", f"rua {stem()} {n}, {town()}", f"{n} {stem()} Avenue",
-        ))
-
-    def slot(self, kind: str) -> str:
-        d = self.digits
-        if kind == "batch":
-            return "-".join((d(5), d(4), d(4)))
-        if kind == "amount":
-            return self.r.choice((f"{self.r.randint(1, 900)},{d(3)}", f"{self.r.randint(100, 900000)}.{d(2)}", str(self.r.randint(100, 900000))))
-        return {"order": d(10), "version": f"10.{d(4)}.2", "four": d(4), "folio": f"{d(6)}/{d(2)}", "ticket": f"{self.r.choice(('TKT', 'CA', 'CR'))}-{d(6)}"}[kind]
-
-
-def training_rows(names: Gazetteer, n: int = TRAINING_SENTENCES, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Labelled sentences from the patterns, a fifth of them in lower case and a tenth of the addresses without commas."""
-    v, out = _Values(names, seed), []
-    kinds = {"id": "id_number"}
-    for k in range(n):
-        pattern = v.r.choice(PATTERNS if k % 5 < 3 else OTHERS)
-        text, gold, at = v.r.choice(NOISE), [], 0
-        for m in re.finditer(r"\{(\w+)\}", pattern):
-            text += pattern[at : m.start()]
-            kind = m[1]
-            value = getattr(v, kind)() if hasattr(v, kind) else v.slot(kind)
-            if kind == "address" and v.r.random() < 0.15:
-                value = value.replace(",", "")
-            if kind == "name" and v.r.random() < 0.3:
-                text += v.r.choice(("Mr. ", "Dr ", "M. ", "Ms "))
-            if kind in ("name", "email", "phone", "id", "address"):
-                gold.append((len(text), len(text) + len(value), kinds.get(kind, kind)))
-            text += value
-            at = m.end()
-        text += pattern[at:]
-        if v.r.random() < 0.2 and len(text) == len(text.lower()):
-            text = text.lower()
-        out.append((text, gold))
+    @staticmethod
+    def _settle(spans: list[tuple], held: tuple, begin: int, out: list[list]) -> None:
+        ends, values, back = [-1], [0.0], [None]
+        for _, a, b, t, s in spans:
+            lo, hi = 0, len(ends)
+            while lo < hi:  # the last end that is not beyond a
+                mid = (lo + hi) // 2
+                if ends[mid] <= a:
+                    lo = mid + 1
+                else:
+                    hi = mid
+            value = values[lo - 1] + s
+            if value > values[-1]:
+                if ends[-1] == b:
+                    values[-1], back[-1] = value, (a, b, t, lo - 1)
+                else:
+                    ends.append(b)
+                    values.append(value)
+                    back.append((a, b, t, lo - 1))
+        chosen, k = [], len(back) - 1
+        while k > 0:
+            a, b, t, before = back[k]
+            chosen.append((a - begin, b - begin, t))
+            k = before
+        if not chosen:
+            return
+        which, offset, tokens = held
+        at, where = [0], 0
+        for x in tokens:
+            where += len(x)
+            at.append(where)
+        for a, b, t in reversed(chosen):
+            out[which].append((offset + at[a], offset + at[b - 1] + len(tokens[b - 1].rstrip()), TYPES[t]))
+
+
+def _parts(text: str) -> list[tuple[int, str]]:
+    """text, or where it is very long its parts, cut after the end of a sentence, else after a blank, else where they are full."""
+    if len(text) <= PART:
+        return [(0, text)]
+    out, at = [], 0
+    while len(text) - at > PART:
+        cut = max(text.rfind(x, at + PART // 2, at + PART) for x in (". ", "\n", "? ", "! ", "। "))
+        if cut < 0:
+            cut = text.rfind(" ", at + PART // 2, at + PART)
+        cut = at + PART if cut < 0 else cut + 1
+        out.append((at, text[at:cut]))
+        at = cut
+    out.append((at, text[at:]))
     return out
 
 
-def gazetteer(known_names: DataFrame) -> Gazetteer:
-    """The names the desk knows, a short fixed list."""
-    return Gazetteer({r["name"]: r["kind"] for r in known_names.select("name", "kind").where("name is not null").orderBy("name_id").collect()})
+def gazetteer(known_names: DataFrame, most: int = 200_000) -> Gazetteer:
+    """The names the desk knows, a short fixed list; most is the bound on what is sent to the executors, beyond which the names that come first by name_id count."""
+    rows = known_names.select("name", "kind").where("name is not null").orderBy("name_id").limit(most).collect()
+    return Gazetteer({r["name"].lower(): r["kind"] for r in rows})
 
 
-def fit_model(names: Gazetteer) -> SemiMarkov:
-    return SemiMarkov().fit(training_rows(names), names)
+def common_words(turns: DataFrame, share: int = COMMON_SHARE) -> frozenset[str]:
+    """The words that stand in lower case at least seven times in ten, counted over both texts of all turns, and make up at least one word in share (thrice at least). So there are at most share of them, whatever the table."""
+    texts = F.concat_ws("\n", *[F.col(f) for f in FIELDS])
+    words = turns.select(F.explode(F.regexp_extract_all(texts, F.lit(r"\p{L}{3,30}"), F.lit(0))).alias("word"))
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).groupBy(F.lower("word").alias("low")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("word") == F.lower("word"), F.col("n")).otherwise(0)).alias("lower"))
+    kept = counted.where("lower * 10 >= n * 7")
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    rows = kept.where(F.col("n") >= 3).select("low", "n", total.alias("total")).where(F.col("n") * share >= F.col("total")).select("low").collect()
+    return frozenset(r[0] for r in rows)
 
 
-def entities(text: str | None, model: SemiMarkov, names: Gazetteer, memo: dict | None = None) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the personal values in text, in order; none for null and empty texts. Whole texts of any length are read, sentence by sentence."""
-    if not text:
-        return []
-    out = []
-    for at, end in sentence_spans(text):
-        part = text[at:end]
-        if _DIGITS.search(part):
-            part = part.translate(_SAME)
-        found = memo.get(part) if memo is not None else None
-        if found is None:
-            if "  " in part:
-                found = _back(part, model.best(re.sub(r"[ \t\u00a0]{2,}", " ", part), names))
-            else:
-                found = model.best(part, names)
-            if memo is not None and len(memo) < 200_000:
-                memo[part] = found
-        if found:
-            out += [(a + at, b + at, k) for a, b, k in found]
-    return out
+def fit_model(names: dict[str, str], common: frozenset[str] = frozenset(), sentences: int = TRAINING_SENTENCES) -> SemiMarkov:
+    """Fits the model to made-up sentences; names are listed ones, which fill half of the slots. common are words that the corpus writes in lower case."""
+    return SemiMarkov(Lexicon(names, common)).fit(examples.rows(names, sentences))
 
 
-def _back(part: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Offsets in the text with its runs of blanks, from those in the text without."""
-    if not found:
-        return found
-    where, previous = [], False
-    for k, ch in enumerate(part):
-        blank = ch in " \t\u00a0"
-        if not (blank and previous):
-            where.append(k)
-        previous = blank
-    return [(where[a], where[b - 1] + 1, kind) for a, b, kind in found]
+def entities(texts: list[str | None], reader: Reader) -> list[list[tuple[int, int, str]]]:
+    """(start, end, type) of the personal values of each text, in order; none for null and empty texts. Whole texts of any length are read."""
+    once = dict.fromkeys(t or "" for t in texts)
+    found = dict(zip(once, reader.read(list(once))))
+    return [found[t or ""] for t in texts]
 
 
 def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
@@ -601,41 +544,29 @@ def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
     return "".join(out) + text[at:]
 
 
-FIELDS = ("raw_text", "translated_text")
-
-
-def redacted(turns: DataFrame, model: SemiMarkov, names: Gazetteer) -> DataFrame:
+def redacted(turns: DataFrame, model: SemiMarkov) -> DataFrame:
     """turns' id with both texts redacted and, for each, the sorted types that it held. Nulls stay null."""
 
     @F.pandas_udf("struct<text:string,types:array<string>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memo: dict = {}
+        reader = Reader(model)
         for texts in batches:
-            rows = [(t, entities(t, model, names, memo)) for t in texts]
-            yield pd.DataFrame({"text": [redact(t, e) for t, e in rows], "types": [sorted({k for _, _, k in e}) for _, e in rows]})
+            found = entities(list(texts), reader)
+            yield pd.DataFrame({"text": [redact(t, e) for t, e in zip(texts, found)], "types": [sorted({k for _, _, k in e}) for e in found]})
 
     done = turns.select("id", *[run(F.col(f)).alias(f"__{f}") for f in FIELDS])
     return done.select("id", *[c for f in FIELDS for c in (F.col(f"__{f}.text").alias(f), F.col(f"__{f}.types").alias(f"{f}_types"))])
 
 
-def found(turns: DataFrame, model: SemiMarkov, names: Gazetteer) -> DataFrame:
+def found(turns: DataFrame, model: SemiMarkov) -> DataFrame:
     """(id, field, pii_type) for every text and type of which it holds a value."""
 
     @F.pandas_udf("int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict = {}
-        whole: dict = {}
+        reader = Reader(model)
         bit = {t: 1 << k for k, t in enumerate(TYPES)}
         for texts in batches:
-            out = []
-            for t in texts:
-                bits = whole.get(t)
-                if bits is None:
-                    bits = sum({bit[k] for _, _, k in entities(t, model, names, memo)})
-                    if len(whole) < 100_000:
-                        whole[t] = bits
-                out.append(bits)
-            yield pd.Series(out, dtype="int32")
+            yield pd.Series([sum({bit[k] for _, _, k in e}) for e in entities(list(texts), reader)], dtype="int32")
 
     both = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])
     long = turns.select("id", F.explode(both).alias("f")).select("id", "f.field", "f.text").where(F.length("text") > 0)

@@ -24,14 +24,17 @@ def _budget(spark: SparkSession, sf_dir: str, budget_id: int) -> tuple[int, int]
     return row["max_tokens"], row["overlap_tokens"]
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, personal.SemiMarkov]:
+    turns = table(spark, sf_dir, "transcript_turns")
+    return turns, personal.fit_model(personal.gazetteer(table(spark, sf_dir, "known_names")), personal.common_words(turns))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = personal.gazetteer(table(spark, sf_dir, "known_names"))
-    return personal.found(table(spark, sf_dir, "transcript_turns"), personal.fit_model(names), names)
+    return personal.found(*_personal(spark, sf_dir))
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = personal.gazetteer(table(spark, sf_dir, "known_names"))
-    return personal.redacted(table(spark, sf_dir, "transcript_turns"), personal.fit_model(names), names)
+    return personal.redacted(*_personal(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

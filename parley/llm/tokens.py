@@ -30,6 +30,19 @@ def encoding(path: str):
     return tiktoken.Encoding("public", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> frozenset[str]:
+    """The pieces of the byte-level vocabulary at path that are texts by themselves."""
+    out = set()
+    with open(path, "rb") as lines:
+        for a, _ in map(bytes.split, lines):
+            try:
+                out.add(base64.b64decode(a).decode())
+            except UnicodeDecodeError:
+                continue
+    return frozenset(out)
+
+
 def default_path() -> str:
     return os.path.join(TOKENIZER_DIR, VOCABULARY)
 

@@ -44,6 +44,7 @@ _MARKS = re.compile(r"[\[\](){}<>*@♪♫♬]|--|>>|:| [-–] ")
 #: Sounds of hesitation look like this: one vowel drawn out, breath and hum, nothing else.
 _SOUND = r"u+h+m*|u+m+|e+h+m*|e+r+m*|e+m+|a+h+m*|aa+h*|ä+h+m*|ö+h+m*|ü+h+m*|ã+h+|h+ã+|h+m+|h+u+m+|mm+|m+[- ]?h+m+|h*eu+h*|h+e+u+|h+e+i+n+|ह+म्+म+|उम्+म?्?म?|अं+|अह+म*"
 _VOICED = re.compile(rf"(?:^|(?<=\s))[^\w\s]*(?P<form>{_SOUND})[^\w\s]*(?=\s|$)", re.I)
+HESITATION = re.compile(_SOUND, re.I)
 _SPOKEN = re.compile(r"[^\W_]")
 _SENTENCE = re.compile(r"[.!?।]+(?=\s)")
 _WORDS = re.compile(r"[^\W\d_]+")
