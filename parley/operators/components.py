@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from parley.session import cut
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df cut, without its estimated size: a checkpoint keeps the estimate of its plan, which each self-join squares, so that after some thirty of them the planner would multiply numbers of millions of digits."""
-    spark, done = df.sparkSession, cut(df)
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the least node of its component. Loops, repeated and reversed edges do no harm; null ends are dropped.
 
@@ -22,21 +16,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     the rounds are at most the binary logarithm of the nodes, and the jumps of a round that of its longest chain; both go on until nothing is left. Parents and edges are written to the shared folder.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
-    links = _written(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    links = cut(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     labels = links.select(F.col("x").alias("node"), F.col("x").alias("label")).distinct()
     links = links.where("x <> y")
     while not links.isEmpty():
         picks = links.groupBy("x").agg(F.min("y").alias("up"))
         mutual = picks.select(F.col("x").alias("up"), F.col("up").alias("over"))
-        parents = _written(picks.join(mutual, "up").select("x", F.when((F.col("over") == F.col("x")) & (F.col("x") < F.col("up")), F.col("x")).otherwise(F.col("up")).alias("up")))
+        parents = cut(picks.join(mutual, "up").select("x", F.when((F.col("over") == F.col("x")) & (F.col("x") < F.col("up")), F.col("x")).otherwise(F.col("up")).alias("up")))
         changed = True
         while changed:
             above = parents.select(F.col("x").alias("up"), F.col("up").alias("top"))
-            new = _written(parents.join(above, "up").select("x", F.col("up").alias("old"), F.col("top").alias("up")))
+            new = cut(parents.join(above, "up").select("x", F.col("up").alias("old"), F.col("top").alias("up")))
             changed = not new.where("old <> up").isEmpty()
             parents = new.select("x", "up")
-        labels = _written(labels.join(parents.withColumnRenamed("x", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        labels = cut(labels.join(parents.withColumnRenamed("x", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
         ends = links.join(parents.withColumnRenamed("up", "p"), "x").select("p", "y").join(parents.select(F.col("x").alias("y"), F.col("up").alias("q")), "y")
-        links = _written(ends.where("p <> q").select(F.col("p").alias("x"), F.col("q").alias("y")).distinct())
+        links = cut(ends.where("p <> q").select(F.col("p").alias("x"), F.col("q").alias("y")).distinct())
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
     return labels.join(least, "label").select("node", "component")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark; a cluster brings its own."""
     spark = (
@@ -24,16 +28,25 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Only a session on one machine may do without, as in tests: it gets a folder of its own, once. A cluster without a shared folder is an error."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or _OWN.get(context.applicationId)
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise RuntimeError("steps are written to a folder that all executors reach: set spark.checkpoint.dir")
+    return _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where none is set, as in tests on one machine, a temporary one is made.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df as a table to the shared folder and reads it from there, which cuts the lineage, keeps columns apart and tells the planner how large the step is. The table is deleted when the application ends."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    where = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(where)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
