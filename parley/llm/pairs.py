@@ -17,14 +17,14 @@ REFUSALS = (
     r"(?:desculpe|lamento|sinto muito),? (?:mas )?não posso", r"não (?:estou autorizad|posso (?:ajudar|responder))", r"tenho (?:de|que) recusar", r"como assistente",
     r"माफ़ कीजिए,? (?:मैं|लेकिन)", r"मुझे इस विषय पर", r"मैं इस (?:सवाल|विषय|अनुरोध).*(?:नहीं|अस्वीकार)", r"क्षमा करें,? मैं",
 )
-# Frequent function words of each language, and its words for yes and no.
+# The articles, pronouns, prepositions, conjunctions, auxiliaries and question words of each language; of Hindi in both scripts.
 FUNCTION_WORDS = {
-    "en": "the is are was of and to my this that with for have has not you it i in on when a be by yes no your or any which what how does do will can from as at under without where only after why when is are it",
-    "de": "der die das und ist ich nicht mir wie den dem auf mit von hat noch sich für wenn sie vom am zu ein eine einen ja nein oder wer aus nach bei bis kann im es des keine ohne wird was zum zur wie warum wann welche kostet ändere meines mein meine",
-    "fr": "le la les est que vous mon une pas pour sur avec je du des au en de et cette un oui non il faut par ou ne sont dans quand qui vers après puis ont entre l d comment combien pourquoi quels quelle ma mes manqué coûte argent",
-    "es": "el los que del mi con por una lo y las se para no sin de en un la si cuando sí usted al cada es hasta su está qué desde tras puede van queda cómo cuánto cuándo mis cuesta sigue antes después abierta",
-    "pt": "o os que do da meu com por uma não para em um no na e de se ao dos quando sim está até você pode cada qual após são sem a é quanto quais meus minha depois antes custa aberto",
-    "hi": "में का की के को से क्या मैं आप नहीं और यह पर है हैं हो हाँ इस ही तक था थे लिए कर ने जो कोई हर",
+    "en": "the a an and or but if of to in on at by for with from as into about after before under over than then so not no nor is are was were be been being am do does did have has had will would can could shall should may might must i you he she it we they me him her us them my your his its our their this that these those what which who whom when where why how all any each few more most other some such only own same too very there here yes please up down out",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder aber wenn als wie zu in im an am auf für mit von vom bei nach aus über unter vor zwischen durch ohne gegen um nicht kein keine keinen ist sind war waren sein bin bist wird werden wurde würde hat haben habe hatte kann können soll sollen muss müssen darf ich du er sie es wir ihr mich mir dich dir ihm ihn uns mein meine meinen meiner meines meinem dein ihre ihrer ihren unser dieser diese dieses was wer wo wann warum welche welcher welches alle mehr sehr nur noch schon auch so da dann hier ja nein bitte zum zur bis seit",
+    "fr": "le la les l un une des du de d et ou mais si que qui quoi dont où quand comment pourquoi quel quelle quels quelles à au aux en dans sur sous avec sans pour par entre vers chez après avant depuis pendant ne pas plus non oui est sont était être suis es êtes a ont avez avons ai avait aura peut peux pouvez doit dois faut fait je tu il elle on nous vous ils elles me te se lui leur mon ma mes ton ta tes son sa ses notre nos votre vos ce cet cette ces tout tous toute toutes même aussi très bien y c n s j qu m combien",
+    "es": "el la los las un una unos unas de del al y e o u pero si que qué quien quién cual cuál cuando cuándo donde dónde como cómo por para con sin sobre entre hasta desde en a no ni sí más menos muy ya es son era ser está están estoy estaba fue ha han he hay tiene tengo puede puedo pueden debe yo tú él ella usted nosotros ellos ustedes me te se le les lo nos mi mis tu tus su sus este esta estos estas ese esa eso todo toda todos cada también porque cuánto cuánta",
+    "pt": "o a os as um uma uns umas de do da dos das no na nos nas ao aos à às e ou mas se que quê quem qual quais quando onde como por para com sem sobre entre até desde em não nem sim mais menos muito já é são era ser está estão estou estava foi tem têm tenho há pode posso podem deve eu tu ele ela você nós eles vocês me te lhe meu minha meus minhas seu sua seus suas este esta esse essa isso isto todo toda todos cada também porque pelo pela quanto quanta",
+    "hi": "में का की के को से क्या मैं आप नहीं और यह पर है हैं हो हाँ इस ही तक था थे थी लिए कर ने जो कोई हर मेरा मेरी मेरे अपना कब कहाँ कैसे क्यों कितना कौन वह hai hain hoon tha thi ka ki ke ko mein aur ya agar nahin nahi kya kab kahan kaise kyon kitna kitni kaun jo yeh ye woh wo un mera meri mere aap aapka aapki aapke hum humein mujhe unka unki kar karna karte karta raha rahi liye bhi hi tak sakta sakte sakti hota hoti gaya gayi",
 }
 ORDER = ("empty", "copy", "refusal", "truncated", "wrong_language")
 
@@ -64,28 +64,36 @@ def is_copy(q: Column, a: Column) -> Column:
 LETTERS = {"de": "[äöüß]", "fr": "[èêëîïôûœçà]", "es": "[¿¡ñ]", "pt": "[ãõ]"}
 
 
-def languages(words: Column, text: Column) -> Column:
-    """The languages that speak loudest for a text with these words, by script, function words and letters; several on a tie, none where nothing speaks."""
-    low = F.lower(text)
-    hits = {lang: F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in sorted(set(ws.split()))]))) + (F.when(low.rlike(LETTERS[lang]), 1).otherwise(0) if lang in LETTERS else 0) for lang, ws in FUNCTION_WORDS.items()}
-    scores = F.array(*[F.struct(n.alias("n"), F.lit(lang).alias("lang")) for lang, n in hits.items()])
-    top = F.array_max(F.transform(scores, lambda s: s["n"]))
-    loud = F.transform(F.filter(scores, lambda s: (s["n"] > 0) & (s["n"] == top)), lambda s: s["lang"])
-    return F.when(F.regexp_count(text, F.lit(r"[\x{0900}-\x{097F}]")) * 3 > F.length(text), F.array(F.lit("hi"))).otherwise(loud)
+def votes(words: Column, text: Column) -> Column:
+    """How many function words and letters of each language a text with these words has: array<struct<n, lang>>. A text mostly in Devanagari speaks for Hindi alone."""
+    words, low = F.array_distinct(words), F.lower(text)
+    of = lambda lang, known: F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in sorted(set(known.split()))]))) + (F.when(low.rlike(LETTERS[lang]), 1).otherwise(0) if lang in LETTERS else 0)
+    counted = F.array(*[F.struct(of(lang, known).alias("n"), F.lit(lang).alias("lang")) for lang, known in FUNCTION_WORDS.items()])
+    return F.when(F.regexp_count(text, F.lit(r"[\x{0900}-\x{097F}]")) * 3 > F.length(text), F.array(F.struct(F.lit(1).alias("n"), F.lit("hi").alias("lang")))).otherwise(counted)
+
+
+def loudest(ordered: Column) -> Column:
+    """The languages with the most votes, of votes in descending order; several on a tie, none where nothing speaks."""
+    return F.transform(F.filter(ordered, lambda s: (s["n"] > 0) & (s["n"] == F.get(ordered, 0)["n"])), lambda s: s["lang"])
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later steps may read, or filter by, any number of times: a generated row is made before them, where a mere projection would be written into every use."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__made")).select("*", *[F.col(f"__made.{n}") for n in columns]).drop("__made")
 
 
 def with_defects(states: DataFrame, question: str = "question", answer: str = "answer", route: str = "route") -> DataFrame:
     """Adds defects, every triggered type in the order of the rules: empty, copy, refusal, truncated, wrong_language.
 
     Only rows of the route rag_answer are judged; others, and those of a null route, get an empty array. A null question can be neither copied nor of another language.
-    Answers of any length are read whole. No row is shuffled.
+    Answers of any length are read whole. No row is shuffled; words, languages and defects are made once a row, and for judged rows only.
     """
     a = F.col(answer)
-    text = F.coalesce(a, F.lit(""))
+    text, asked = F.coalesce(a, F.lit("")), F.coalesce(F.col(question), F.lit(""))
     judged = F.coalesce(F.col(route) == "rag_answer", F.lit(False))
-    # words and languages are made once, and for judged rows only
-    worded = states.withColumn("__qw", F.when(judged, _words(F.coalesce(F.col(question), F.lit(""))))).withColumn("__aw", F.when(judged, _words(text)))
-    spoken = worded.withColumn("__ql", languages(F.col("__qw"), F.coalesce(F.col(question), F.lit("")))).withColumn("__al", languages(F.col("__aw"), text))
+    worded = _once(states, __qw=F.when(judged, _words(asked)), __aw=F.when(judged, _words(text)))
+    voted = _once(worded, __qv=F.when(judged, F.sort_array(votes(F.col("__qw"), asked), asc=False)), __av=F.when(judged, F.sort_array(votes(F.col("__aw"), text), asc=False)))
+    spoken = _once(voted, __ql=loudest(F.col("__qv")), __al=loudest(F.col("__av")))
     tests = {
         "copy": is_copy(F.col("__qw"), F.col("__aw")),
         "refusal": is_refusal(text),
@@ -93,9 +101,10 @@ def with_defects(states: DataFrame, question: str = "question", answer: str = "a
         "wrong_language": (F.size("__ql") > 0) & (F.size("__al") > 0) & ~F.arrays_overlap("__ql", "__al"),
     }
     found = F.when(is_empty(a), F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*[F.when(F.coalesce(tests[k], F.lit(False)), F.lit(k)) for k in ORDER[1:]])))
-    return spoken.withColumn("defects", F.when(judged, found).otherwise(F.array().cast("array<string>"))).drop("__qw", "__aw", "__ql", "__al")
+    return _once(spoken, defects=F.when(judged, found).otherwise(F.array().cast("array<string>"))).drop("__qw", "__aw", "__qv", "__av", "__ql", "__al")
 
 
 def found(states: DataFrame) -> DataFrame:
     """(state_id, defect): the first defect of each defective row."""
-    return with_defects(states).where(F.size("defects") > 0).select("state_id", F.element_at("defects", 1).alias("defect"))
+    judged = states.where(F.col("route") == "rag_answer").select("state_id", "question", "answer", "route")
+    return with_defects(judged).where(F.size("defects") > 0).select("state_id", F.element_at("defects", 1).alias("defect"))

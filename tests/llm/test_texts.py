@@ -147,6 +147,13 @@ def scans(spark):
     return spark.createDataFrame(rows, "chunk_id string, doc_id string, text string, page_start int, page_end int")
 
 
+def test_defects_are_made_once(spark):
+    """The plan tests each answer once, in generated rows that no filter is pushed below."""
+    df = spark.createDataFrame([(1, "rag_answer", "What is it?", "It is so.")], "state_id long, route string, question string, answer string")
+    plan = pairs.found(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(") <= 2 * len(pairs.FUNCTION_WORDS) + 2
+
+
 def test_scanned(spark):
     done = S.repair(scans(spark), lambda df: df.cache())
     got = {(r.chunk_id, r.kind) for r in S.found(done).collect()}
@@ -158,6 +165,16 @@ def test_scanned(spark):
     assert text["c5"].startswith("The service centre will archive every rebate of every fjord that is older.") and HEAD not in text["c5"]
 
 
+def test_misread_words_are_put_right_once_and_by_context(spark):
+    """A form that what comes out for another word looks like is left alone; of two frequent forms of one skeleton the one that follows the word before is chosen."""
+    rows = [(f"c{k}", "d", f"we met the clerk in the room and saw a modem device on page {k}.", 0, 0) for k in range(12)] + [(f"d{k}", "d", f"this is the modern house of number {k}.", 0, 0) for k in range(12)]
+    rows += [("x", "d", "this is the m0dem house. we saw a m0dem device.", 0, 0), ("y", "d", None, 0, 0)]
+    done = S.repair(spark.createDataFrame(rows, "chunk_id string, doc_id string, text string, page_start int, page_end int"), lambda df: df.cache())
+    fixed = {r.chunk_id: r.text for r in S.repaired_text(done).collect()}
+    assert fixed["c3"] == "we met the clerk in the room and saw a modem device on page 3." and fixed["d4"] == "this is the modern house of number 4."
+    assert fixed["x"].count("m0dem") == 0 and "y" not in fixed
+
+
 def test_scanned_empty(spark):
     done = S.repair(scans(spark).limit(0))
     assert S.found(done).count() == 0 and S.repaired_text(done).count() == 0
@@ -167,5 +184,5 @@ def test_scanned_many_headers(spark):
     names = "Amber Birch Cedar Delta Ember Fjord Grove Heron".split()
     rows = [(f"c{k:02d}", "d", None, f"Chapter Of {names[k // 5]} Matters\n\nThe service centre number {k} is open.", k + 1, k + 1) for k in range(40)]
     rows += [(f"n{k}", None, "m" if k < 2 else f"m{k}", f"{'Minor Plan Notes' if k < 2 else 'Text'}\n\nThe offer number {k} ends.", k + 1, k + 1) for k in range(20)]
-    lines = S.mark_furniture(S.read_lines(spark.createDataFrame(rows, "chunk_id string, doc_id string, document_id string, text string, page_start int, page_end int")))
-    assert {r.chunk_id for r in lines.where("header").collect()} == {f"c{k:02d}" for k in range(40)} | {"n0", "n1"}
+    done = S.repair(spark.createDataFrame(rows, "chunk_id string, doc_id string, document_id string, text string, page_start int, page_end int"), lambda df: df.cache())
+    assert {r.chunk_id for r in S.found(done).where("kind = 'header'").collect()} == {f"c{k:02d}" for k in range(40)} | {"n0", "n1"}
