@@ -1,9 +1,10 @@
-"""Problem 3: near-duplicate records with small edits, by signature trees over prefix groups; exact, without comparing all pairs."""
+"""Problem 3: near-duplicate records with small edits, by dual traversal of signature trees; exact, without comparing all pairs."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -20,12 +21,10 @@ THRESHOLD = "0.82"
 COUNT_BUCKETS = 1 << 17
 #: A signature has a column of 64 bits for so many words of a record of mean size.
 WORDS_PER_COLUMN = 48
-#: Leaves of the trees hold so many records, inner nodes so many leaves. Groups of at most SMALL records are one leaf.
-LEAF, FAN, SMALL = 2, 32, 24
+#: A node of the trees has so many children; so many pairs of nodes are looked at in one step.
+FAN, PAIRS_AT_ONCE = 8, 40_000
 #: A prefix group that may hold more records is cut into blocks, of which every two meet in a task of their own.
 BLOCK = 8192
-#: At most so many keys are broadcast.
-BROADCAST_KEYS = 100_000
 _WORD = re.compile(r"\w+")
 
 
@@ -143,82 +142,87 @@ def prefix_rows(docs: DataFrame, text: str, counts: np.ndarray, columns: int, t:
     return docs.where(F.col(text).isNotNull()).select(text).mapInPandas(rows, "token long, pair long, h1 long, h2 long, meta int, " + ", ".join(f"{c} long" for c in sig))
 
 
-def _leaves(size: np.ndarray, sig: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of runs of width rows, and of each run the combined bitmap and the range of sizes."""
-    starts = np.arange(0, len(size), width)
-    return starts, np.bitwise_or.reduceat(sig, starts, axis=0), np.minimum.reduceat(size, starts), np.maximum.reduceat(size, starts)
+@dataclass
+class Level:
+    """Nodes of one level of the trees of many groups, group by group: the OR of the bitmaps below, the range of sizes, and the most words that a record below has beyond the bits of its bitmap. Level 0 holds the records."""
+
+    union: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    slack: np.ndarray
+    first_child: np.ndarray
+    children: np.ndarray
+
+
+def trees(group: np.ndarray, size: np.ndarray, sig: np.ndarray) -> list[Level]:
+    """The levels from the records up to one root for each group; rows are in the order of group, size and signature, and every FAN neighbours of a group have a parent."""
+    none = np.empty(0, np.int64)
+    levels = [Level(sig, size, size, size - np.bitwise_count(sig).sum(axis=1, dtype=np.int64), none, none)]
+    while True:
+        below = levels[-1]
+        begins = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        if len(begins) == len(group) and len(levels) > 1:
+            return levels
+        place = np.arange(len(group)) - np.repeat(begins, np.diff(np.append(begins, len(group))))
+        starts = np.flatnonzero(place % FAN == 0)
+        levels.append(
+            Level(np.bitwise_or.reduceat(below.union, starts, axis=0), np.minimum.reduceat(below.low, starts), np.maximum.reduceat(below.high, starts), np.maximum.reduceat(below.slack, starts), starts, np.diff(np.append(starts, len(group))))
+        )
+        group = group[starts]
+
+
+def _may_meet(level: Level, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+    """Which pairs of nodes may hold a similar pair. The sizes must allow it, and the overlap that is possible at most must reach the one that is needed at least: words that two records share set bits of both bitmaps, so there are no more of them than common bits and words beyond the bits of the record."""
+    keep = (level.high[i] > level.low[j] * t) & (level.high[j] > level.low[i] * t)
+    possible = np.minimum(level.slack[i], level.slack[j])
+    for w in range(level.union.shape[1]):
+        possible += np.bitwise_count(level.union[i, w] & level.union[j, w])
+    return keep & (possible > (level.low[i] + level.low[j]) * (t / (1 + t)))
+
+
+def _children(level: Level, i: np.ndarray, j: np.ndarray, records: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of children of pairs of nodes, each unordered pair once; of records none with itself."""
+    n = level.children[i] * level.children[j]
+    of = np.repeat(np.arange(len(i)), n)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    a, b = level.first_child[i[of]] + k // level.children[j[of]], level.first_child[j[of]] + k % level.children[j[of]]
+    keep = (a < b) if records else (a <= b)
+    keep |= (i != j)[of]
+    return a[keep], b[keep]
 
 
-def tree_pairs(size: np.ndarray, sig: np.ndarray, first: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (smaller, larger) of the pairs of one group whose overlap may exceed t, by dual traversal of its signature tree.
+def tree_pairs(group: np.ndarray, size: np.ndarray, sig: np.ndarray, first: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (smaller, larger) of the pairs of rows of one group whose similarity may exceed t, by dual traversal of the signature trees of all groups at once.
 
-    Records are ordered by size and signature. Nodes combine FAN leaves of LEAF records by OR and keep their range of sizes. A pair of nodes is cut off where the sizes
-    rule the similarity out; a record and a leaf, where the record has more bits outside of the leaf's bitmap than words it may lack; what remains is decided by the bits in which two records differ.
+    From each root paired with itself the traversal goes down to pairs of children, and leaves out every pair of nodes whose sizes or bitmaps rule a similar pair out. Of the records that are left, the bits in which two
+    differ must be few enough; the smaller one must show the word of the group among its rarest (first).
     """
-    order = np.lexsort((*sig.T[::-1], size))
-    size, sig, first = size[order].astype(np.int64), sig[order], first[order]
-    small = np.flatnonzero(first)
-    t_lack = (1 - t) / (1 + t)
-    if not len(small) or len(size) < 2:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    starts, union, low, high = _leaves(size, sig, LEAF)
-    node_starts, _, node_low, node_high = _leaves(size, sig, LEAF * FAN)
-    out_a, out_b = [], []
-    for at in range(0, len(small), LEAF * FAN):
-        mine = small[at : at + LEAF * FAN]
-        a_low, a_high = size[mine].min(), size[mine].max()
-        # larger members: at least as large, and not beyond size / t
-        nodes = np.flatnonzero((node_high >= a_low) & (node_low * t < a_high))
-        if not len(nodes):
-            continue
-        leaves = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
-        leaves = leaves[leaves < len(starts)]
-        # words of the smaller one that the other may lack: |A| - overlap, overlap > t / (1 + t) (|A| + |B|), |B| >= |A|
-        lack = np.floor(size[mine] * t_lack).astype(np.int64)
-        outside = np.zeros((len(mine), len(leaves)), dtype=np.int64)
-        for w in range(sig.shape[1]):
-            outside += np.bitwise_count(sig[mine, w][:, None] & ~union[leaves, w][None, :])
-        fits = (outside <= lack[:, None]) & (high[leaves][None, :] >= size[mine][:, None]) & (low[leaves][None, :] * t < size[mine][:, None])
-        i, j = np.nonzero(fits)
-        if not len(i):
+    size = size.astype(np.int64)
+    order = np.lexsort((*sig.T[::-1], size, group))
+    size, sig, first = size[order], sig[order], first[order]
+    levels = trees(group[order], size, sig)
+    roots = np.arange(len(levels[-1].low))
+    todo = [(len(levels) - 1, roots[at : at + PAIRS_AT_ONCE], roots[at : at + PAIRS_AT_ONCE]) for at in range(0, len(roots), PAIRS_AT_ONCE)]
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while todo:
+        depth, i, j = todo.pop()
+        keep = _may_meet(levels[depth], i, j, t)
+        i, j = i[keep], j[keep]
+        if depth:
+            a, b = _children(levels[depth], i, j, depth == 1)
+            todo += [(depth - 1, a[at : at + PAIRS_AT_ONCE], b[at : at + PAIRS_AT_ONCE]) for at in range(0, len(a), PAIRS_AT_ONCE)]
             continue
-        a = np.repeat(mine[i], LEAF)
-        b = (starts[leaves[j]][:, None] + np.arange(LEAF)).ravel()
-        keep = b < len(size)
-        a, b = a[keep], b[keep]
-        keep = (a != b) & (size[b] >= size[a]) & (size[b] * t < size[a])
-        a, b = a[keep], b[keep]
-        differ = np.zeros(len(a), dtype=np.int64)
+        keep = first[i] | (first[j] & (size[i] == size[j]))  # by their order i is the smaller one
+        i, j = i[keep], j[keep]
+        differ = np.zeros(len(i), dtype=np.int64)
         for w in range(sig.shape[1]):
-            differ += np.bitwise_count(sig[a, w] ^ sig[b, w])
-        keep = differ <= (size[a] + size[b]) * t_lack
-        out_a.append(order[a[keep]])
-        out_b.append(order[b[keep]])
-    if not out_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+            differ += np.bitwise_count(sig[i, w] ^ sig[j, w])
+        keep = differ <= (size[i] + size[j]) * (1 - t) / (1 + t)
+        out_a.append(order[i[keep]])
+        out_b.append(order[j[keep]])
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def small_pairs(starts: np.ndarray, ends: np.ndarray, size: np.ndarray, sig: np.ndarray, first: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """As tree_pairs, for many groups of at most SMALL records at once: each is a single leaf."""
-    if not len(starts):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    n = ends - starts
-    row = np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    left = np.repeat(ends, n) - row - 1
-    a = np.repeat(row, left)
-    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
-    swap = size[a] > size[b]
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    keep = (size[b] * t < size[a]) & (first[a] | (first[b] & (size[a] == size[b])))
-    a, b = a[keep], b[keep]
-    differ = np.zeros(len(a), dtype=np.int64)
-    for w in range(sig.shape[1]):
-        differ += np.bitwise_count(sig[a, w] ^ sig[b, w])
-    keep = differ <= (size[a] + size[b]) * (1 - t) / (1 + t)
-    return a[keep], b[keep]
-
-
 def candidate_pairs(rows: DataFrame, t: Fraction) -> DataFrame:
     """Pairs of digests (a1, a2, b1, b2) that the trees of the prefix groups leave, smaller one first, each once.
 
@@ -238,15 +242,13 @@ def candidate_pairs(rows: DataFrame, t: Fraction) -> DataFrame:
             size, first = (meta // 2).astype(np.int64), meta % 2 == 1
             h1, h2 = frame["h1"].to_numpy(), frame["h2"].to_numpy()
             sig = np.column_stack([frame[c].to_numpy().view(np.uint64) for c in sig_names])
+            # a word of one set alone brings nobody together
             n = ends - starts
-            few = (n > 1) & (n <= SMALL)
-            i, j = small_pairs(starts[few], ends[few], size, sig, first, limit)
-            a, b = [i], [j]
-            for x, y in zip(starts[n > SMALL], ends[n > SMALL]):
-                i, j = tree_pairs(size[x:y], sig[x:y], first[x:y], limit)
-                a.append(x + i)
-                b.append(x + j)
-            i, j = np.concatenate(a), np.concatenate(b)
+            rows = np.flatnonzero(np.repeat(n > 1, n))
+            if not len(rows):
+                return pd.DataFrame({"a1": h1[:0], "a2": h2[:0], "b1": h1[:0], "b2": h2[:0]})
+            i, j = tree_pairs(np.repeat(np.arange(len(n)), n)[rows], size[rows], sig[rows], first[rows], limit)
+            i, j = rows[i], rows[j]
             other = (h1[i] != h1[j]) | (h2[i] != h2[j])
             i, j = i[other], j[other]
             turned = (h1[i] > h1[j]) | ((h1[i] == h1[j]) & (h2[i] > h2[j]))
@@ -285,9 +287,8 @@ def similar_pairs(docs: DataFrame, key: str = "chunk_id", text: str = "text", th
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     )
     ends = cut(named).select("a", "b", F.explode(F.array("a", "b")).alias("key"))
-    keys = ends.select("key").distinct()
-    # few candidates are sent to the texts, many make both sides meet by key
-    near = base.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= BROADCAST_KEYS else base
+    # the written keys have a known size in bytes, by which Spark decides whether they are sent to the texts or both sides meet by key
+    near = base.join(cut(ends.select("key").distinct()), "key", "left_semi")
     texts = ends.join(near, "key").groupBy("a", "b").agg(F.min("text").alias("x"), F.max("text").alias("y"))
 
     @F.pandas_udf("double")

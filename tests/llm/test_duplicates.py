@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from parley.llm import duplicates as D
@@ -42,17 +43,41 @@ def test_all_pairs_as_brute_force(spark, monkeypatch, seed, block):
     assert sorted((r.chunk_id_a, r.chunk_id_b) for r in got) == brute(rows)
 
 
-def test_large_groups_use_the_tree(spark, monkeypatch):
-    monkeypatch.setattr(D, "SMALL", 1)
+@pytest.mark.parametrize("fan, step", [(2, 7), (3, 40_000), (64, 5)])
+def test_trees_of_any_shape(spark, monkeypatch, fan, step):
+    monkeypatch.setattr(D, "FAN", fan)
+    monkeypatch.setattr(D, "PAIRS_AT_ONCE", step)
     rows = make(9, 120)
     got = D.found(spark.createDataFrame(rows, "chunk_id string, text string")).collect()
     assert sorted((r.chunk_id_a, r.chunk_id_b) for r in got) == brute(rows)
 
 
-def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_KEYS", 0)
-    rows = make(4, 100)
-    got = D.found(spark.createDataFrame(rows, "chunk_id string, text string")).collect()
+def test_traversal_loses_no_pair_and_prunes():
+    """One group with all records: what the dual traversal leaves holds all similar pairs, and is a small part of all."""
+    r = np.random.default_rng(5)
+    base = [set(r.choice(5000, 60, replace=False).tolist()) for _ in range(120)]
+    sets = [s if k % 2 else (s - set(list(s)[:3])) | set(r.choice(5000, 2).tolist()) for s in base for k in range(2)]
+    size = np.array([len(s) for s in sets])
+    sig = np.zeros((len(sets), 3), dtype=np.uint64)
+    for k, s in enumerate(sets):
+        for w in s:
+            bit = w * 2654435761 % 192
+            sig[k, bit // 64] |= np.uint64(1) << np.uint64(bit % 64)
+    a, b = D.tree_pairs(np.zeros(len(sets), dtype=np.int64), size, sig, np.ones(len(sets), dtype=bool), 0.82)
+    left = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
+    true = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) > 0.82 * len(sets[i] | sets[j])}
+    assert true and true <= left and len(left) < 0.05 * len(sets) ** 2 / 2
+    assert len(D.trees(np.zeros(len(sets), dtype=np.int64), size, sig)[-1].low) == 1
+
+
+def test_without_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = make(4, 100)
+        got = D.found(spark.createDataFrame(rows, "chunk_id string, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted((r.chunk_id_a, r.chunk_id_b) for r in got) == brute(rows)
 
 
