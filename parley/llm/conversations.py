@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.speakers import clean_speaker_role, epoch_seconds, session_key
-from parley.llm.transcripts import BLOCK_SECONDS, FillerModel, with_bits
+from parley.llm.transcripts import BLOCK_SECONDS, Models, with_bits
 from parley.operators.ordered import blocked_running_sum
 
 SPOKEN_BIT = 16
@@ -33,7 +33,7 @@ def final_turns(turns: DataFrame) -> DataFrame:
     return folded.select("session", "created.id", "created.speaker", "created.ts", "created.turn_id", text.alias("raw_text"), event.alias("event"))
 
 
-def _judged(turns: DataFrame, model: FillerModel) -> DataFrame:
+def _judged(turns: DataFrame, model: Models) -> DataFrame:
     spoken = F.col("bits").bitwiseAND(F.lit(SPOKEN_BIT)) != 0
     return with_bits(final_turns(turns), model).withColumn("spoken", spoken).withColumn("role", clean_speaker_role(F.col("speaker"))).drop("bits")
 
@@ -51,7 +51,7 @@ def _by_session(judged: DataFrame) -> DataFrame:
     )
 
 
-def found(turns: DataFrame, model: FillerModel) -> DataFrame:
+def found(turns: DataFrame, model: Models) -> DataFrame:
     """(session_id, defect) of every session: empty; else no_reply, no_customer; and broken. Null ids form the session of the empty string; sessions without turn numbers are not broken."""
     broken = (F.col("n") > 0) & ((F.col("low") != 1) | (F.col("high") != F.col("n")))
     defects = F.array_compact(
@@ -65,7 +65,7 @@ def found(turns: DataFrame, model: FillerModel) -> DataFrame:
     return _by_session(_judged(turns, model)).select(F.col("session").alias("session_id"), F.explode(defects).alias("defect"))
 
 
-def conversations(turns: DataFrame, model: FillerModel) -> DataFrame:
+def conversations(turns: DataFrame, model: Models) -> DataFrame:
     """The turns of the sessions without defect, in order of time, then id: (session_id, seq, role, id, ts, text, event). Turns without a spoken word are left out."""
     judged = _judged(turns, model).withColumn("time", F.coalesce(epoch_seconds(F.col("ts")), F.lit(0.0)))
     good = _by_session(judged).where("any and reply and customer and (n = 0 or (low = 1 and high = n))").select("session")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from parley.llm import conversations, duplicates, languages, mixing, packing, pairs, personal, scanned, splitting, tokens, transcripts
 from parley.session import cut, table
 
+#: Domains of the project's sources.
+DOMAINS = {"dialogue": ("call_transcript", "chat_log", "email_thread", "complaint_letter"), "reference": ("kb_article", "faq", "sop", "product_note", "rate_card")}
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -39,12 +41,12 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "transcript_turns")
-    return transcripts.found(turns, transcripts.fit_fillers(turns))
+    return transcripts.found(turns, transcripts.fit_models(turns))
 
 
 def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "transcript_turns")
-    segments = cut(transcripts.segments_in_order(turns, transcripts.fit_fillers(turns)))
+    segments = transcripts.segments_in_order(turns, transcripts.fit_models(turns))
     return transcripts.clean_turns(segments, transcripts.fit_boundaries(segments))
 
 
@@ -69,12 +71,12 @@ def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "transcript_turns")
-    return conversations.found(turns, transcripts.fit_fillers(turns))
+    return conversations.found(turns, transcripts.fit_models(turns))
 
 
 def p5_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "transcript_turns")
-    return conversations.conversations(turns, transcripts.fit_fillers(turns))
+    return conversations.conversations(turns, transcripts.fit_models(turns))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,17 +97,16 @@ def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_sizes(spark, sf_dir), table(spark, sf_dir, "token_budgets").where("purpose = 'container'"))
+    return packing.pack(_sizes(spark, sf_dir), table(spark, sf_dir, "token_budgets").where("purpose = 'container'"), targets=table(spark, sf_dir, "mix_targets"))
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    budgets = table(spark, sf_dir, "token_budgets").where("purpose = 'container'")
-    return packing.containers(packing.pack(_sizes(spark, sf_dir), budgets), budgets)
+    return packing.containers(p8_packing(spark, sf_dir), table(spark, sf_dir, "token_budgets").where("purpose = 'container'"))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = table(spark, sf_dir, "token_budgets").where("purpose = 'mix_total'").first()["max_tokens"]
-    return mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"), total)
+    return mixing.mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"), total, DOMAINS)
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,16 +120,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every piece budget, in tokens of the public tokenizer."""
-    docs = table(spark, sf_dir, "documents")
     budgets = table(spark, sf_dir, "token_budgets").where("purpose = 'piece'").orderBy("budget_id").collect()
-    made = [
-        splitting.split_oversized(docs, b["max_tokens"], b["overlap_tokens"], tokenizer=tokens.default_path()).select(F.lit(b["budget_id"]).alias("budget_id"), "doc_id", "piece_no", "n_pieces", "char_start", "char_end", "n_tokens", "piece_text")
-        for b in budgets
-    ]
-    out = made[0]
-    for more in made[1:]:
-        out = out.unionByName(more)
-    return out
+    return splitting.split_oversized(table(spark, sf_dir, "documents"), [(b["budget_id"], b["max_tokens"], b["overlap_tokens"]) for b in budgets], tokenizer=tokens.default_path())
 
 
 QUERIES: dict[str, Query] = {

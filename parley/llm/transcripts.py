@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.speakers import ASSISTANT_NAMES, CUSTOMER_ALSO, CUSTOMER_NAMES, FOUR_NAMES, WORKER_ALSO, WORKER_NAMES, clean_speaker_role, epoch_seconds, session_key
@@ -33,13 +33,17 @@ _LABEL = re.compile(
     rf"\[\s*(?P<a>{_ROLE})\s*:?\s*\]:?|\(\s*(?P<b>{_ROLE})\s*:?\s*\):?|<\s*v\s+(?P<c>[^<>]{{1,40}})>|\{{\s*(?P<d>{_ROLE})\s*\}}|(?<![\w@.-])(?P<e>{_ROLE})\s*(?:>>|:(?=\s|$))|(?:^|(?<=[.!?।]\s))\s*(?P<f>[^\W\d_][\w'-]*(?: [^\W\d_][\w'-]*){{0,2}})\s*>>|(?:^|(?<=[.!?।]\s))\s*(?P<g>{_ROLE})\s+[-–]\s|</v>",
     re.I,
 )
+#: Names of no known role that may mark who talks: up to three words with capitals before a colon, arrow or dash, or in brackets; the model of marks decides.
+_MAYBE = re.compile(
+    r"(?:^|(?<=[.!?।…]\s)|(?<=[.!?।…]\s\s))\s*(?:[\[(<{]\s*(?P<p>[^\W\d_][\w.'’-]{0,19}(?: [^\W_][\w.'’-]{0,19}){0,2})\s*:?\s*[\])>}]:?|(?P<q>[^\W\d_][\w.'’-]{0,19}(?: [^\W_][\w.'’-]{0,19}){0,2})\s*(?::(?=\s|$)|>>|[-–](?=\s)))"
+)
 #: Words of which a bracketed note on what was heard is made.
 _HEARD = (
     r"nois|geräusch|bruit|ru[ií]do|rausch|music|musik|musique|música|laugh|lach|lacht|rire|risa|riso|sigh|seufz|soupir|suspir|cough|hust|tous|tos|silen|stille|pau[sz]|inaudi|unclear|unverständlich|incompr|beep|piep|breath|atm|crosstalk|static|"
-    r"bark|bell|ring|applau|click|clears? throat|throat|sniff|typing|hold|phone|door|background|शोर|हँसी|खाँसी|संगीत|मौन|चुप्पी"
+    r"bark|bell|ring|applau|click|chuckl|giggl|snort|groan|gasp|whisper|yawn|sob|cries|crying|cheer|hum(?:s|ming)|kicher|stöhn|flüster|gähn|ricane|sanglot|murmure|susurr|bostez|chora|llora|clears? throat|throat|sniff|typing|hold|phone|door|background|शोर|हँसी|खाँसी|संगीत|मौन|चुप्पी"
 )
 _NOTE = re.compile(rf"\(\([^()]*\)\)|\[(?:[^\[\]]*?(?:{_HEARD})[^\[\]]*)\]|\((?:[^()]{{0,18}}?(?:{_HEARD})[^()]{{0,18}})\)|<(?:[^<>]*?(?:{_HEARD})[^<>]*)>|\*[^*\n]{{2,30}}\*|\{{[^{{}}]*?(?:{_HEARD})[^{{}}]*\}}|--\s*(?:{_HEARD})\w*\s*--|[♪♫♬]+", re.I)
-_PHRASE = re.compile(r"(?:^\s*|(?<=[.!?।…]\s)\s*|(?<=,\s))(?:you\s+know|i\s+mean|o\s+sea|weißt\s+du|tu\s+sais|tu\s+vois|quer\s+dizer|sag\s+ich\s+mal)\s*(?:,|\.{3}|…)\s*", re.I)
+_PHRASE = re.compile(r"(?:^\s*|(?<=[.!?।…]\s)\s*|(?<=,\s))(?:you\s+know|i\s+mean|o\s+sea|weißt\s+du|tu\s+sais|tu\s+vois|quer\s+dizer|sag\s+ich\s+mal)\s*(?:,|\.{3}|…)\s*|,\s*(?:you\s+know|i\s+mean|o\s+sea|weißt\s+du|tu\s+sais|tu\s+vois|quer\s+dizer)\s*(?=[.!?।]|$)", re.I)
 _MARKS = re.compile(r"[\[\](){}<>*@♪♫♬]|--|>>|:| [-–] ")
 #: Sounds of hesitation look like this: one vowel drawn out, breath and hum, nothing else.
 _SOUND = r"u+h+m*|u+m+|e+h+m*|e+r+m*|e+m+|a+h+m*|aa+h*|ä+h+m*|ö+h+m*|ü+h+m*|ã+h+|h+ã+|h+m+|h+u+m+|mm+|m+[- ]?h+m+|h*eu+h*|h+e+u+|h+e+i+n+|ह+म्+म+|उम्+म?्?म?|अं+|अह+म*"
@@ -69,8 +73,11 @@ def sentence_language(words: list[str]) -> str:
     return votes.most_common(1)[0][0] if votes else ""
 
 
+_DRAWN = re.compile(r"(.)\1+")
+
+
 def _occurrences(text: str) -> list[tuple[str, str, bool, int, int]]:
-    """Candidate hesitations of text: (form, language around it, marked off, start, end). Marked off: between dots, before a comma, or alone in its sentence."""
+    """Candidate hesitations of text: (form without drawn-out letters, language around it, marked off, start, end). Marked off: between dots, before a comma, or alone in its sentence."""
     found = list(_VOICED.finditer(text))
     if not found:
         return []
@@ -84,26 +91,23 @@ def _occurrences(text: str) -> list[tuple[str, str, bool, int, int]]:
         if (a, form) not in languages:
             languages[a, form] = sentence_language([w for w in _WORDS.findall(around.lower()) if w != form])
         marked = "..." in m[0] or "…" in m[0] or m[0].endswith(",") or not _WORDS.search(around)
-        out.append((form, languages[a, form], marked, m.start(), m.end()))
+        out.append((_DRAWN.sub(r"\1", form), languages[a, form], marked, m.start(), m.end()))
     return out
 
 
 class FillerModel:
     """Token-level decision between a hesitation and a word of the same form, for each form and language.
 
-    Every (form, language) is a mixture: hesitations are marked off by dots or commas at one rate, words at another. Expectation-maximisation over the counts of a bounded
-    sample gives both rates and the share of hesitations of each form, with one prior for all; a form unseen in the sample gets the prior.
+    Every (form, language) is a mixture: hesitations are marked off by dots or commas at one rate, words at another. Expectation-maximisation over the counts of all turns
+    gives both rates and the share of hesitations of each form, with one prior for all. A form unseen, as a new one may be, gets the prior.
     """
 
     def __init__(self) -> None:
         self.share: dict[tuple[str, str], float] = {}
         self.marked, self.plain, self.prior = 0.6, 0.03, 0.8
 
-    def fit(self, texts: list[str]) -> FillerModel:
-        seen: dict[tuple[str, str], list[int]] = {}
-        for text in texts:
-            for form, lang, marked, _, _ in _occurrences(_strip_marks(text)[0]):
-                seen.setdefault((form, lang), [0, 0])[marked] += 1
+    def fit(self, seen: dict[tuple[str, str], list[int]]) -> FillerModel:
+        """seen has, for each form and language, how often it stands unmarked and marked off."""
         share = dict.fromkeys(seen, 0.5)
         for _ in range(25):
             hes = [1e-3, 1e-3]
@@ -129,38 +133,63 @@ class FillerModel:
         return odds > 1
 
 
-def _strip_marks(text: str) -> tuple[str, bool, bool, list[tuple[int, str]]]:
-    """Text without time marks, notes and labels; whether it had time marks, notes; and the labels with their places in the new text."""
+def _strip_marks(text: str, marks: MarkModel | None = None) -> tuple[str, bool, bool, list[tuple[int, str]]]:
+    """Text without time marks, notes and labels; whether it had time marks, notes; and the labels with their places in the new text. Names of no known role are labels where the model of marks says so."""
     if not _MARKS.search(text):
         return text, False, False, []
     plain, n_time = _TIME.subn(" ", text)
     plain, n_note = _NOTE.subn(" ", plain)
+    found = [(m.start(), m.end(), next((g for g in m.groups() if g), "")) for m in _LABEL.finditer(plain)]
+    if marks is not None:
+        found = sorted(found + [(m.start(), m.end(), m["p"] or m["q"]) for m in marks.accepted(plain, found)])
     labels: list[tuple[int, str]] = []
     out, at, size = [], 0, 0
-    for m in _LABEL.finditer(plain):
-        name = next((g for g in m.groups() if g), "")
-        out.append(plain[at : m.start()])
-        size += m.start() - at
+    for a, b, name in found:
+        out.append(plain[at:a])
+        size += a - at
         labels.append((size, name))
-        at = m.end()
+        at = b
     if labels:
         plain = "".join(out) + plain[at:]
     return plain, n_time > 0, n_note > 0, labels
 
 
+def _mark_features(text: str, a: int, b: int, name: str, others: int) -> list[float]:
+    """How a mark looks and stands, without what the name says: kind of mark, place, case, length, gap to the text after it, what follows, and how many more marks the text has."""
+    mark, after = text[a:b], text[b:].lstrip()
+    return [
+        "[" in mark or "(" in mark or "<" in mark or "{" in mark, ":" in mark, ">>" in mark, mark.rstrip().endswith(("-", "–")), not text[:a].strip(), name.isupper(), name.istitle(), name.count(" "), len(name), any(c.isdigit() for c in name),
+        after[:1].isupper(), after[:1].islower(), after[:1].isdigit(), min(others, 4), after.find(".") if "." in after[:80] else 80, len(text) - len(after) < 4,
+    ]
+
+
+class MarkModel:
+    """Whether a new segment, with another one talking, begins at a mark: boosted trees over how the mark looks and stands. What it is trained on are marks whose names are known roles against those whose names are common words of the corpus in lower case; the names themselves are hidden from it."""
+
+    def __init__(self, boosted: Boosted, threshold: float = 0.5) -> None:
+        self.boosted, self.threshold = boosted, threshold
+
+    def accepted(self, text: str, known: list[tuple[int, int, str]]) -> list[re.Match]:
+        maybe = [m for m in _MAYBE.finditer(text) if not any(m.start() < y and x < m.end() for x, y, _ in known)]
+        if not maybe:
+            return []
+        rows = [_mark_features(text, m.start(), m.end(), m["p"] or m["q"], len(maybe) + len(known) - 1) for m in maybe]
+        return [m for m, p in zip(maybe, self.boosted.predict(np.array(rows, dtype=float))) if p >= self.threshold]
+
+
 def _tidy(text: str) -> str:
     text = re.sub(r"\s+", " ", text).strip()
     return re.sub(r"^[,;.…\s]+(?=\w)|\s+([,.!?;।])", r"\1", text)
 
 
-def analyse(text: str | None, model: FillerModel, want_segments: bool = True) -> tuple[int, list[tuple[str, str]], bool]:
+def analyse(text: str | None, model: Models, want_segments: bool = True) -> tuple[int, list[tuple[str, str]], bool]:
     """Bits of the kinds found (timestamp 1, filler 2, sound 4, label 8), the labelled segments of clean text, and whether a word is spoken. Nothing for null."""
     if not text:
         return 0, [], False
-    plain, time, note, labels = _strip_marks(text)
+    plain, time, note, labels = _strip_marks(text, model.marks)
     bits = time + 4 * note + 8 * bool(labels)
     drop = [m.span() for m in _PHRASE.finditer(plain)] if "," in plain or ".." in plain or "…" in plain else []
-    drop += [(a, b) for form, lang, marked, a, b in _occurrences(plain) if model.is_filler(form, lang, marked)]
+    drop += [(a, b) for form, lang, marked, a, b in _occurrences(plain) if model.fillers.is_filler(form, lang, marked)]
     bits += 2 * bool(drop)
     if not want_segments and not drop:
         return bits, [], bool(_SPOKEN.search(plain))
@@ -180,18 +209,59 @@ def analyse(text: str | None, model: FillerModel, want_segments: bool = True) ->
     return bits, segments, bool(segments)
 
 
-def sample_texts(turns: DataFrame, column: str, rows: int = SAMPLE_ROWS) -> list[str]:
-    """At most rows texts of a hash sample of the ids; the bound is the parameter, whatever the table holds."""
-    share = max(1, -(-turns.count() // rows))
-    picked = turns.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select(column).limit(2 * rows)
-    return [r[0] for r in picked.collect() if r[0]]
+@dataclass
+class Models:
+    """What is fitted before texts are read."""
+
+    fillers: FillerModel
+    marks: MarkModel | None = None
 
 
-def fit_fillers(turns: DataFrame) -> FillerModel:
-    return FillerModel().fit(sample_texts(turns, "raw_text"))
+#: Texts with a candidate hesitation, told on the JVM.
+_MAY_HESITATE = "(?iU)" + _VOICED.pattern.replace("(?P<form>", "(?:")
 
 
-def with_analysis(turns: DataFrame, model: FillerModel, text: str = "raw_text") -> DataFrame:
+def fit_fillers(turns: DataFrame, text: str = "raw_text") -> FillerModel:
+    """Fits the filler model to counts over all turns; one row for each form and language comes to the driver, and forms have no drawn-out letters, so that they are few."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for frame in frames:
+            for t in frame["__text"]:
+                seen.update(x[:3] for x in _occurrences(_strip_marks(t)[0]))
+        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["form", "lang", "marked", "n"])
+
+    texts = turns.select(F.col(text).alias("__text")).where(F.col("__text").rlike(_MAY_HESITATE))
+    rows = texts.mapInPandas(count, "form string, lang string, marked boolean, n long").groupBy("form", "lang", "marked").agg(F.sum("n").alias("n")).collect()
+    seen: dict[tuple[str, str], list[int]] = {}
+    for r in sorted(rows, key=lambda r: (r["form"], r["lang"], r["marked"])):
+        seen.setdefault((r["form"], r["lang"]), [0, 0])[r["marked"]] += r["n"]
+    return FillerModel().fit(seen)
+
+
+def fit_marks(turns: DataFrame, text: str = "raw_text", rows: int = SAMPLE_ROWS) -> MarkModel:
+    """Trains the model of marks on a hash sample of at most rows texts with a mark. A name counts as a label if it is a known role, as none if it is a word that the sampled texts also write in lower case; other names teach nothing."""
+    marked = turns.select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).where(F.col("t").rlike(r"[:>\]\)\}]|\s[-–]\s"))
+    share = max(1, -(-marked.count() // rows))
+    texts = [r[0] for r in marked.where(F.pmod("h", F.lit(share)) == 0).orderBy("h", "t").limit(2 * rows).collect()]
+    plain = [_NOTE.sub(" ", _TIME.sub(" ", t)) for t in texts]
+    lower = {w for t in plain for w in _WORDS.findall(t) if w.islower()}
+    x, y = [], []
+    for t in plain:
+        known = [(m.start(), m.end(), next((g for g in m.groups() if g), "")) for m in _LABEL.finditer(t)]
+        maybe = [(m.start(), m.end(), m["p"] or m["q"]) for m in _MAYBE.finditer(t) if not any(m.start() < b and a < m.end() for a, b, _ in known)]
+        for target, found in ((1, known), (0, [m for m in maybe if m[2].split()[0].lower() in lower])):
+            for a, b, name in found:
+                x.append(_mark_features(t, a, b, name, len(known) + len(maybe) - 1))
+                y.append(target)
+    return MarkModel(Boosted().fit(np.array(x, dtype=float).reshape(len(x), 16), np.array(y, dtype=float)))
+
+
+def fit_models(turns: DataFrame) -> Models:
+    return Models(fit_fillers(turns), fit_marks(turns))
+
+
+def with_analysis(turns: DataFrame, model: Models, text: str = "raw_text") -> DataFrame:
     """Adds bits, segments and spoken, as analyse gives them."""
 
     @F.pandas_udf("struct<bits:int,segments:array<struct<label:string,text:string>>,spoken:boolean>")
@@ -203,7 +273,7 @@ def with_analysis(turns: DataFrame, model: FillerModel, text: str = "raw_text")
     return turns.withColumn("__found", run(F.col(text))).select(*[F.col(f"`{c}`") for c in turns.columns], "__found.bits", "__found.segments", "__found.spoken")
 
 
-def with_bits(turns: DataFrame, model: FillerModel, text: str = "raw_text") -> DataFrame:
+def with_bits(turns: DataFrame, model: Models, text: str = "raw_text") -> DataFrame:
     """Adds bits alone, plus 16 where a word is spoken."""
 
     @F.pandas_udf("int")
@@ -224,8 +294,8 @@ def with_bits(turns: DataFrame, model: FillerModel, text: str = "raw_text") -> D
     return turns.withColumn("bits", run(F.col(text)))
 
 
-def found(turns: DataFrame, model: FillerModel) -> DataFrame:
-    """(id, kind) for every turn and kind of dirt that the operator meets; null and empty texts have none, except that of their speaker."""
+def found(turns: DataFrame, model: Models) -> DataFrame:
+    """(id, kind) for every turn and kind of dirt that the operator meets; null and empty texts have none, except that of their speaker. Labels are the marks at which the segments of a text begin: known roles, and other names where the boosted model puts a boundary."""
     flagged = with_bits(turns.select("id", "speaker", "raw_text"), model)
     bit = F.col("bits")
     kinds = F.array_compact(
@@ -237,83 +307,73 @@ def found(turns: DataFrame, model: FillerModel) -> DataFrame:
     return flagged.select("id", F.explode(kinds).alias("kind"))
 
 
-def _boundary_features(frame: pd.DataFrame) -> np.ndarray:
-    """Of each segment and the one before: what the labels say (1 equal, -1 other, 0 unknown), the gap, and how the two texts meet."""
-    text = frame["text"].fillna("")
-    before = frame["prev_text"].fillna("")
-    known = (frame["role"] != "Unknown") & (frame["prev_role"] != "Unknown")
-    same = np.where(known, np.where(frame["role"] == frame["prev_role"], 1, -1), 0)
-    gap = np.log1p(np.clip(frame["gap"].fillna(0).to_numpy(dtype=float), 0, 1e6))
-    return np.column_stack(
-        [
-            same,
-            gap,
-            frame["within"].astype(int),
-            frame["marked"].astype(int),
-            text.str.len(),
-            before.str.len(),
-            before.str.rstrip().str.endswith("?").astype(int),
-            text.str.rstrip().str.endswith("?").astype(int),
-            before.str.rstrip().str[-1:].isin(list(".!?।")).astype(int),
-            text.str[:1].str.islower().astype(int),
-        ]
-    ).astype(float)
+#: What the boundary model sees of each segment and the one before.
+FEATURES = ("same", "gap", "within", "size", "prev_size", "prev_asks", "asks", "prev_ends", "small_first")
 
 
 def fit_boundaries(pairs: DataFrame, rows: int = SAMPLE_ROWS) -> Boosted:
-    """Trains on pairs of segments whose speakers are both known: the speaker changes, or the gap is long. In a third of them the labels are hidden, so that gap and context must decide."""
-    share = max(1, -(-pairs.count() // rows))
-    frame = pairs.where(F.pmod(F.xxhash64("id", "part"), F.lit(share)) == 0).where("role <> 'Unknown' and prev_role <> 'Unknown'").limit(2 * rows).toPandas()
-    frame = frame.sort_values(["id", "part"], kind="stable").reset_index(drop=True)
-    target = ((frame["role"] != frame["prev_role"]) | (frame["gap"].fillna(0) > 600)).to_numpy(dtype=float)
-    hidden = np.arange(len(frame)) % 3 == 0
-    frame.loc[hidden, "role"] = "Unknown"
-    return Boosted().fit(_boundary_features(frame), target)
+    """Trains on a hash sample of at most rows pairs of adjacent segments, both with a label marked in their texts. The target is whether these labels name different roles; they are hidden from the features, which see the speakers that the rows record, the gap and the context."""
+    known = pairs.where("has_prev and marked_role <> 'Unknown' and prev_marked_role <> 'Unknown'").select("id", "part", *FEATURES, (F.col("marked_role") != F.col("prev_marked_role")).cast("double").alias("target"))
+    known = cut(known)
+    share = max(1, -(-known.count() // rows))
+    frame = known.where(F.pmod(F.xxhash64("id", "part"), F.lit(share)) == 0).limit(2 * rows).toPandas().sort_values(["id", "part"], kind="stable")
+    return Boosted().fit(frame[list(FEATURES)].to_numpy(dtype=float).reshape(len(frame), len(FEATURES)), frame["target"].to_numpy(dtype=float))
 
 
-def segments_in_order(turns: DataFrame, model: FillerModel) -> DataFrame:
-    """Clean segments with session, role, time and, of the segment before in the session, role, text and gap.
+def segments_in_order(turns: DataFrame, model: Models) -> DataFrame:
+    """Clean segments (session, block, time, id, part, role, marked_role, text) with FEATURES over each and the segment before it in the session, and has_prev.
 
-    A turn sent again under a new id (same trace_id, else none) counts once, under its lowest id. Null times sort first. Segments without a word are dropped.
+    A turn sent again under a new id (same trace_id, else none) counts once, under its lowest id. Null times sort first. Segments without a word are dropped. Of the segment before only a few numbers are carried, never its text.
     """
     trace = F.coalesce(F.nullif(F.col("metadata")["trace_id"], F.lit("")), F.concat(F.lit("id:"), F.col("id").cast("string")))
     first = turns.select("id", "session_id", "speaker", "raw_text", "ts", trace.alias("__trace"))
     # a trace is one record; its copies are few
     first = first.withColumn("__session", session_key(F.col("session_id"))).groupBy("__session", "__trace").agg(F.min_by(F.struct("id", "speaker", "raw_text", "ts"), "id").alias("r")).select(F.col("__session").alias("session"), "r.*")
     cleaned = with_analysis(first, model)
-    label_role = clean_speaker_role(F.col("s.label"))
-    parts = (
-        cleaned.select("session", "id", F.coalesce(epoch_seconds(F.col("ts")), F.lit(0.0)).alias("time"), clean_speaker_role(F.col("speaker")).alias("row_role"), F.posexplode("segments").alias("part", "s"))
-        .select("session", "id", "part", "time", F.when((F.col("s.label") != "") & (label_role != "Unknown"), label_role).otherwise(F.col("row_role")).alias("role"), (F.col("s.label") != "").alias("marked"), F.col("s.text").alias("text"))
-        .withColumn("block", F.floor(F.col("time") / BLOCK_SECONDS))
-    )
-    # both sides of the lag read the segments
+    label_role = F.when(F.col("s.label") != "", clean_speaker_role(F.col("s.label"))).otherwise("Unknown")
+    time = F.coalesce(epoch_seconds(F.col("ts")), F.lit(0.0))
+    parts = cleaned.select("session", "id", time.alias("time"), F.floor(time / BLOCK_SECONDS).alias("block"), clean_speaker_role(F.col("speaker")).alias("row_role"), F.posexplode("segments").alias("part", "s"))
+    ends, first_char = F.substring(F.rtrim("s.text"), -1, 1), F.substring("s.text", 1, 1)
+    parts = parts.select(
+        "session", "block", "time", "id", "part", "row_role", label_role.alias("marked_role"), F.col("s.text").alias("text"), F.length("s.text").alias("size"), ends.isin("?").cast("int").alias("asks"), ends.isin(".", "!", "?", "।").cast("int").alias("ends"),
+        ((first_char == F.lower(first_char)) & (first_char != F.upper(first_char))).cast("int").alias("small_first"),
+    )
+    # both sides of the lag, training and scoring read the segments
     parts = cut(parts)
-    seen = blocked_lag(parts, ["session"], "block", ["time", "id", "part"], F.struct("id", "role", "time", "text"), "prev")
-    return seen.withColumns({"prev_role": F.col("prev.role"), "prev_text": F.col("prev.text"), "gap": F.col("time") - F.col("prev.time"), "within": F.coalesce(F.col("prev.id") == F.col("id"), F.lit(False)), "has_prev": F.col("prev").isNotNull()}).drop("prev")
+    seen = blocked_lag(parts, ["session"], "block", ["time", "id", "part"], F.struct("id", "time", "row_role", "marked_role", "size", "asks", "ends"), "prev")
+    known = (F.col("row_role") != "Unknown") & (F.col("prev.row_role") != "Unknown")
+    return seen.withColumns(
+        {
+            "has_prev": F.col("prev").isNotNull(), "prev_marked_role": F.coalesce("prev.marked_role", F.lit("Unknown")), "same": F.when(known, F.when(F.col("row_role") == F.col("prev.row_role"), 1).otherwise(-1)).otherwise(0),
+            "gap": F.log1p(F.least(F.greatest(F.coalesce(F.col("time") - F.col("prev.time"), F.lit(0.0)), F.lit(0.0)), F.lit(1e6))), "within": F.coalesce(F.col("prev.id") == F.col("id"), F.lit(False)).cast("int"),
+            "prev_size": F.coalesce("prev.size", F.lit(0)), "prev_asks": F.coalesce("prev.asks", F.lit(0)), "prev_ends": F.coalesce("prev.ends", F.lit(0)),
+            "role": F.when(F.col("marked_role") != "Unknown", F.col("marked_role")).otherwise(F.col("row_role")), "prev_role": F.coalesce(F.nullif("prev.marked_role", F.lit("Unknown")), "prev.row_role", F.lit("Unknown")),
+        }
+    ).drop("prev")
 
 
 def clean_turns(segments: DataFrame, boundaries: Boosted, threshold: float = 0.5) -> DataFrame:
-    """(session, turn_no, speaker, text, started_at, ended_at, n_segments, first_id): adjacent segments without a boundary between them make one turn, in order of time.
+    """(session, turn_no, part_no, speaker, text, started_at, ended_at, n_segments, first_id): adjacent segments without a boundary between them make one turn, in order of time.
 
-    Its speaker is the first known one among its segments, else Unknown.
+    A boundary lies where two known roles differ, and elsewhere where the boosted trees say so. The speaker of a turn is the first known one among its segments, else Unknown. A turn that runs through several
+    blocks of time comes out as so many ordered parts (part_no from 0), so that no row and no task holds more than the segments of one block.
     """
 
     @F.pandas_udf("double")
-    def score(role: pd.Series, prev_role: pd.Series, text: pd.Series, prev_text: pd.Series, gap: pd.Series, within: pd.Series, marked: pd.Series) -> pd.Series:
-        frame = pd.DataFrame({"role": role, "prev_role": prev_role.fillna("Unknown"), "text": text, "prev_text": prev_text, "gap": gap, "within": within, "marked": marked})
-        return pd.Series(boundaries.predict(_boundary_features(frame)))
+    def score(*columns: pd.Series) -> pd.Series:
+        return pd.Series(boundaries.predict(np.column_stack([c.to_numpy(dtype=float) for c in columns])))
 
-    starts = segments.withColumn("p", score("role", "prev_role", "text", "prev_text", "gap", "within", "marked"))
-    starts = starts.withColumn("start", F.when(~F.col("has_prev") | (F.col("p") >= threshold), 1).otherwise(0)).select("session", "block", "time", "id", "part", "role", "text", "start")
+    differ = (F.col("role") != "Unknown") & (F.col("prev_role") != "Unknown") & (F.col("role") != F.col("prev_role"))
+    starts = segments.withColumn("start", F.when(~F.col("has_prev") | differ | (score(*FEATURES) >= threshold), 1).otherwise(0)).select("session", "block", "time", "id", "part", "role", "text", "start")
     numbered = blocked_running_sum(starts, ["session"], "block", ["time", "id", "part"], F.col("start"), "turn_no")
     known = F.when(F.col("role") != "Unknown", F.col("role"))
     place = F.struct("time", "id", "part")
-    return numbered.groupBy("session", "turn_no").agg(
-        F.coalesce(F.min_by(known, F.when(known.isNotNull(), place)), F.lit("Unknown")).alias("speaker"),
+    parts = numbered.groupBy("session", "block", "turn_no").agg(
+        F.min(F.when(known.isNotNull(), F.struct("time", "id", "part", "role"))).alias("first_known"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("time", "id", "part", "text"))), lambda x: x["text"]), " ").alias("text"),
-        F.min("time").alias("started_at"),
-        F.max("time").alias("ended_at"),
-        F.count(F.lit(1)).alias("n_segments"),
-        F.min("id").alias("first_id"),
-    )
+        F.min("time").alias("started_at"), F.max("time").alias("ended_at"), F.count(F.lit(1)).alias("n_segments"), F.min("id").alias("first_id"),
+    )
+    # most turns lie in one block: of the others one small row for each block meets
+    speakers = parts.groupBy("session", "turn_no").agg(F.min("first_known").alias("speaker"), F.array_sort(F.collect_list("block")).alias("blocks"))
+    joined = parts.join(speakers, ["session", "turn_no"])
+    return joined.select("session", "turn_no", (F.array_position("blocks", F.col("block")) - 1).cast("int").alias("part_no"), F.coalesce("speaker.role", F.lit("Unknown")).alias("speaker"), "text", "started_at", "ended_at", "n_segments", "first_id")

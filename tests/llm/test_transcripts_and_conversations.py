@@ -1,9 +1,16 @@
+import random
+
 import pytest
 
 from parley.llm import conversations, transcripts as T
 
 SCHEMA = "id long, session_id string, speaker string, raw_text string, ts double, metadata map<string,string>"
-MODEL = T.FillerModel().fit(["The charge ...um... was applied.", "He called um, me today."] * 20 + ["O plano tem um bloqueio de meses com a taxa."] * 40 + ["Mein Mann sagt, hat er recht mit der Rate und dem Kredit?"] * 40)
+TEXTS = ["The charge ...um... was applied.", "He called um, me today."] * 20 + ["O plano tem um bloqueio de meses com a taxa."] * 40 + ["Mein Mann sagt, hat er recht mit der Rate und dem Kredit?"] * 40
+SEEN = {}
+for _t in TEXTS:
+    for _form, _lang, _marked, _, _ in T._occurrences(_t):
+        SEEN.setdefault((_form, _lang), [0, 0])[_marked] += 1
+MODEL = T.Models(T.FillerModel().fit(SEEN))
 
 
 @pytest.mark.parametrize(
@@ -11,7 +18,7 @@ MODEL = T.FillerModel().fit(["The charge ...um... was applied.", "He called um,
     [
         ("[00:01:13] He called me.", {"timestamp"}), ("00:00:40.282 --> Yes, it is.", {"timestamp"}), ("@1m18s Why?", {"timestamp"}), ("<t=64.1> Why?", {"timestamp"}), ("(02:20) Why?", {"timestamp"}), ("00:01:55, Since then.", {"timestamp"}),
         ("He called me at 11:05 and said 14:30.", set()), ("The ratio was 3:1 at 11:59 on the chart [see page 4].", set()), ("Action: call again (see FGF).", set()), ("Note: the cut-off is 12:10.", set()),
-        ("[Rauschen]", {"sound"}), ("*coughs* Why?", {"sound"}), ("((unclear)) Why?", {"sound"}), ("{crosstalk}", {"sound"}), ("--static-- Why?", {"sound"}), ("♪", {"sound"}), ("(long pause) x", {"sound"}),
+        ("[Rauschen]", {"sound"}), ("*coughs* Why?", {"sound"}), ("((unclear)) Why?", {"sound"}), ("{crosstalk}", {"sound"}), ("--static-- Why?", {"sound"}), ("♪", {"sound"}), ("(long pause) x", {"sound"}), ("(chuckles) x", {"sound"}), ("It is late, you know.", {"filler"}),
         ("Kunde: Ja.", {"label"}), ("(Speaker 2) Yes.", {"label"}), ("<v Advisor> Yes.", {"label"}), ("Caller>> Yes.", {"label"}), ("SPK_1 - Yes.", {"label"}), ("Yes. RM: No.", {"label"}),
         ("Um.", {"filler"}), ("I mean, yes.", {"filler"}), ("the plan ...um... is good", {"filler"}), ("O plano tem um bloqueio de meses.", set()), ("Mein Mann sagt, hat er recht mit der Rate?", set()), ("Do you know which bank?", set()), (None, set()), ("", set()), ("   ", set()),
     ],
@@ -36,10 +43,63 @@ def test_turns_in_order(spark):
         (4, "s", "cust.", "Hello there.", 1010.0, {"trace_id": "a"}), (5, "s", "Customer", "[noise]", 1040.0, None), (6, "s", None, None, None, None), (7, "s", "Worker", "Um.", 1031.0, {}),
     ]
     segments = T.segments_in_order(turns(spark, rows), MODEL)
-    model = T.Boosted().fit(T._boundary_features(segments.toPandas().assign(prev_role=lambda d: d["prev_role"].fillna("Unknown"))), (segments.toPandas()["role"] != segments.toPandas()["prev_role"]).to_numpy(float))
-    got = [(r.speaker, r.text) for r in T.clean_turns(segments, model).orderBy("turn_no").collect()]
+    got = [(r.speaker, r.text) for r in T.clean_turns(segments, T.fit_boundaries(segments)).orderBy("turn_no", "part_no").collect()]
     assert " ".join(t for _, t in got) == "Hello there. Are you in? Fine."
-    assert got[0][0] == "Customer"
+    assert got[0][0] == "Customer" and got[-1][0] == "Worker"
+
+
+def test_fillers_are_counted_over_all_turns(spark):
+    rows = [(k, "s", "Customer", t, float(k), None) for k, t in enumerate([*TEXTS, None, "", "Nothing here."])]
+    assert T.fit_fillers(turns(spark, rows)).share == MODEL.fillers.share
+
+
+def test_marks_of_unknown_names(spark):
+    """Names of no known role are labels where their marks look like those of roles do; words that the corpus writes small are none. The names are hidden from the model."""
+    r = random.Random(4)
+    says = ["I agree with that.", "No, it is not done.", "We can do it in May.", "Thanks for the call.", "Please note the cut-off is at noon, for a reason."]
+    rows = []
+    for k in range(400):
+        a, b = r.choice(("CUSTOMER", "AGENT", "CALLER")), r.choice(("ADVISOR", "CLIENT", "MANAGER"))
+        text = f"{a}: {r.choice(says)} {b}: {r.choice(says)}" if k % 2 else f"{r.choice(('Note', 'Reason', 'Thanks', 'Please'))}: the cut-off is {k % 12}:10 today."
+        rows.append((k, "s", "Customer", text, float(k), None))
+    marks = T.fit_marks(turns(spark, rows))
+    model = T.Models(MODEL.fillers, marks)
+    bits, segments, _ = T.analyse("JOHN: I agree. MARY: I do not.", model)
+    assert bits & 8 and [tuple(s) for s in segments] == [("JOHN", "I agree."), ("MARY", "I do not.")]
+    assert not T.analyse("Deadline: the cut-off is 12:10.", model)[0] & 8 and not T.analyse("He left at 11:05.", model)[0] & 8
+
+
+def test_boundaries_agree_with_hidden_labels(spark):
+    """Marked labels are the target and hidden from the features; on other sessions the trees agree with nine in ten of them."""
+    r = random.Random(8)
+
+    def rows(sessions, offset):
+        out, n = [], offset
+        for s in range(sessions):
+            at, who = 1000.0, "Customer"
+            for _ in range(25):
+                change = r.random() < 0.6
+                who = {"Customer": "Worker", "Worker": "Customer"}[who] if change else who
+                at += r.uniform(5, 60) if change else r.uniform(0.2, 3)
+                n += 1
+                recorded = who if r.random() < 0.5 else "spk"
+                text = ("Do you have it now?" if who == "Customer" else "Yes, we do.") if change else "and that is all of it."
+                out.append((n, f"s{offset}-{s}", recorded, f"{who}: {text}", at, {"trace_id": str(n)}))
+        return out
+
+    boundaries = T.fit_boundaries(T.segments_in_order(turns(spark, rows(40, 0)), MODEL))
+    other = T.segments_in_order(turns(spark, rows(20, 10_000)), MODEL).where("has_prev").toPandas()
+    p = boundaries.predict(other[list(T.FEATURES)].to_numpy(dtype=float))
+    assert ((p >= 0.5) == (other["marked_role"] != other["prev_marked_role"])).mean() > 0.9
+
+
+def test_long_turns_come_in_parts(spark):
+    rows = [(k, "s", None, f"word{k}", 3600.0 * k, None) for k in range(24)]
+    segments = T.segments_in_order(turns(spark, rows), MODEL)
+    never = T.Boosted()
+    never.base = -9.0
+    parts = T.clean_turns(segments, never).orderBy("part_no").collect()
+    assert [r.part_no for r in parts] == [0, 1, 2, 3] and {r.turn_no for r in parts} == {1} and " ".join(r.text for r in parts) == " ".join(f"word{k}" for k in range(24))
 
 
 def test_empty_tables(spark):
