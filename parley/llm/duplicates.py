@@ -22,7 +22,9 @@ COUNT_BUCKETS = 1 << 17
 #: A signature has a column of 64 bits for so many words of a record of mean size.
 WORDS_PER_COLUMN = 48
 #: A node of the trees has so many children; so many pairs of nodes are looked at in one step.
-FAN, PAIRS_AT_ONCE = 8, 40_000
+FAN, PAIRS_AT_ONCE = 8, 10_000
+#: Sizes of one band differ by a fifth at most.
+SIZE_BAND = 0.2
 #: A prefix group that may hold more records is cut into blocks, of which every two meet in a task of their own.
 BLOCK = 8192
 _WORD = re.compile(r"\w+")
@@ -154,21 +156,28 @@ class Level:
     children: np.ndarray
 
 
-def trees(group: np.ndarray, size: np.ndarray, sig: np.ndarray) -> list[Level]:
-    """The levels from the records up to one root for each group; rows are in the order of group, size and signature, and every FAN neighbours of a group have a parent."""
+def trees(group: np.ndarray, size: np.ndarray, sig: np.ndarray) -> tuple[list[Level], list[np.ndarray]]:
+    """The levels from the records up, and for each level the nodes that are roots; rows are in the order of groups. Every FAN neighbours of a group have a parent until the group has one node, its root, which stands at the level where that comes about."""
     none = np.empty(0, np.int64)
-    levels = [Level(sig, size, size, size - np.bitwise_count(sig).sum(axis=1, dtype=np.int64), none, none)]
-    while True:
-        below = levels[-1]
+    levels, roots = [Level(sig, size, size, size - np.bitwise_count(sig).sum(axis=1, dtype=np.int64), none, none)], [none]
+    open_ = np.arange(len(group))  # nodes of the last level whose group has more than one
+    while len(open_):
+        below, group = levels[-1], group[open_]
+        place = np.arange(len(group))
         begins = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        if len(begins) == len(group) and len(levels) > 1:
-            return levels
-        place = np.arange(len(group)) - np.repeat(begins, np.diff(np.append(begins, len(group))))
+        place -= np.repeat(begins, np.diff(np.append(begins, len(group))))
         starts = np.flatnonzero(place % FAN == 0)
         levels.append(
-            Level(np.bitwise_or.reduceat(below.union, starts, axis=0), np.minimum.reduceat(below.low, starts), np.maximum.reduceat(below.high, starts), np.maximum.reduceat(below.slack, starts), starts, np.diff(np.append(starts, len(group))))
-        )
+            Level(
+                np.bitwise_or.reduceat(below.union[open_], starts, axis=0), np.minimum.reduceat(below.low[open_], starts), np.maximum.reduceat(below.high[open_], starts), np.maximum.reduceat(below.slack[open_], starts), open_[starts],
+                np.diff(np.append(starts, len(group))),
+            )
+        )
         group = group[starts]
+        alone = np.concatenate(([True], group[1:] != group[:-1])) & np.concatenate((group[1:] != group[:-1], [True]))
+        roots.append(np.flatnonzero(alone))
+        open_ = np.flatnonzero(~alone)
+    return levels, roots
 
 
 def _may_meet(level: Level, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
@@ -180,17 +189,42 @@ def _may_meet(level: Level, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarra
     return keep & (possible > (level.low[i] + level.low[j]) * (t / (1 + t)))
 
 
-def _children(level: Level, i: np.ndarray, j: np.ndarray, records: bool) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of children of pairs of nodes, each unordered pair once; of records none with itself."""
+def _children(level: Level, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of children of pairs of nodes, each unordered pair once."""
     n = level.children[i] * level.children[j]
     of = np.repeat(np.arange(len(i)), n)
     k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     a, b = level.first_child[i[of]] + k // level.children[j[of]], level.first_child[j[of]] + k % level.children[j[of]]
-    keep = (a < b) if records else (a <= b)
-    keep |= (i != j)[of]
+    keep = (a <= b) | (i != j)[of]
     return a[keep], b[keep]
 
 
+class _Records:
+    """The records of the lowest nodes, as blocks of FAN that are compared whole."""
+
+    def __init__(self, lowest: Level, size: np.ndarray, sig: np.ndarray, t: float) -> None:
+        slot = lowest.first_child[:, None] + np.arange(FAN)[None, :]
+        self.there = np.arange(FAN)[None, :] < lowest.children[:, None]
+        self.slot = np.where(self.there, slot, 0)
+        self.size = np.where(self.there, size[self.slot], -1).astype(np.float32)
+        self.sig = [np.where(self.there, sig[self.slot, w], np.uint64(0)) for w in range(sig.shape[1])]
+        self.t = np.float32(t)
+        # rounding must lose no pair
+        self.share = np.float32((1 - t) / (1 + t) * (1 + 1e-6))
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Records of two nodes whose sizes fit and whose bitmaps differ in few enough bits; each unordered pair once."""
+        differ = np.zeros((len(i), FAN, FAN), dtype=np.uint16)
+        for sig in self.sig:
+            differ += np.bitwise_count(sig[i][:, :, None] ^ sig[j][:, None, :])
+        a, b = self.size[i][:, :, None], self.size[j][:, None, :]
+        keep = (differ <= (a + b) * self.share) & (np.maximum(a, b) * self.t < np.minimum(a, b) * np.float32(1 + 1e-6))
+        p, x, y = np.nonzero(keep)
+        x, y = self.slot[i[p], x], self.slot[j[p], y]
+        once = (x < y) | (i != j)[p]
+        return x[once], y[once]
+
+
 def tree_pairs(group: np.ndarray, size: np.ndarray, sig: np.ndarray, first: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions (smaller, larger) of the pairs of rows of one group whose similarity may exceed t, by dual traversal of the signature trees of all groups at once.
 
@@ -198,26 +232,26 @@ def tree_pairs(group: np.ndarray, size: np.ndarray, sig: np.ndarray, first: np.n
     differ must be few enough; the smaller one must show the word of the group among its rarest (first).
     """
     size = size.astype(np.int64)
-    order = np.lexsort((*sig.T[::-1], size, group))
+    # records of like size that share their first bits are neighbours, so that nodes have tight bitmaps
+    order = np.lexsort((sig[:, 0], np.log(size) // SIZE_BAND, group))
     size, sig, first = size[order], sig[order], first[order]
-    levels = trees(group[order], size, sig)
-    roots = np.arange(len(levels[-1].low))
-    todo = [(len(levels) - 1, roots[at : at + PAIRS_AT_ONCE], roots[at : at + PAIRS_AT_ONCE]) for at in range(0, len(roots), PAIRS_AT_ONCE)]
+    levels, roots = trees(group[order], size, sig)
+    # a root and itself always may meet
+    todo = [(depth, r[at : at + PAIRS_AT_ONCE], r[at : at + PAIRS_AT_ONCE], True) for depth, r in enumerate(roots) for at in range(0, len(r), PAIRS_AT_ONCE)]
     out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    records = _Records(levels[1], size, sig, t) if len(levels) > 1 else None
     while todo:
-        depth, i, j = todo.pop()
-        keep = _may_meet(levels[depth], i, j, t)
-        i, j = i[keep], j[keep]
-        if depth:
-            a, b = _children(levels[depth], i, j, depth == 1)
-            todo += [(depth - 1, a[at : at + PAIRS_AT_ONCE], b[at : at + PAIRS_AT_ONCE]) for at in range(0, len(a), PAIRS_AT_ONCE)]
+        depth, i, j, sure = todo.pop()
+        if not sure:
+            keep = _may_meet(levels[depth], i, j, t)
+            i, j = i[keep], j[keep]
+        if depth > 1:
+            a, b = _children(levels[depth], i, j)
+            todo += [(depth - 1, a[at : at + PAIRS_AT_ONCE], b[at : at + PAIRS_AT_ONCE], False) for at in range(0, len(a), PAIRS_AT_ONCE)]
             continue
-        keep = first[i] | (first[j] & (size[i] == size[j]))  # by their order i is the smaller one
-        i, j = i[keep], j[keep]
-        differ = np.zeros(len(i), dtype=np.int64)
-        for w in range(sig.shape[1]):
-            differ += np.bitwise_count(sig[i, w] ^ sig[j, w])
-        keep = differ <= (size[i] + size[j]) * (1 - t) / (1 + t)
+        i, j = records.pairs(i, j)
+        i, j = np.where(size[i] <= size[j], i, j), np.where(size[i] <= size[j], j, i)
+        keep = (size[j] * t < size[i]) & (first[i] | (first[j] & (size[i] == size[j])))
         out_a.append(order[i[keep]])
         out_b.append(order[j[keep]])
     return np.concatenate(out_a), np.concatenate(out_b)

@@ -67,7 +67,8 @@ def test_traversal_loses_no_pair_and_prunes():
     left = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
     true = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) > 0.82 * len(sets[i] | sets[j])}
     assert true and true <= left and len(left) < 0.05 * len(sets) ** 2 / 2
-    assert len(D.trees(np.zeros(len(sets), dtype=np.int64), size, sig)[-1].low) == 1
+    levels, roots = D.trees(np.repeat([0, 1], [len(sets) - 3, 3]), size, sig)
+    assert len(levels[-1].low) == 1 and [len(r) for r in roots] == [0, 1, 0, 1]
 
 
 def test_without_broadcast(spark):
