@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import os
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +18,8 @@ from parley.llm.tokens import TOKENIZER_DIR
 from parley.llm.transcripts import _VOICED, _strip_marks
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "hi")
+#: Stands for all languages but these.
+OTHER = "other"
 #: The fixed public vocabulary; only its pieces are used, the probabilities are estimated here.
 PIECES = "piece_bpe_32k.model"
 #: At most so many labelled rows are read to estimate the piece probabilities, whatever the table holds.
@@ -46,6 +48,11 @@ def pieces(path: str) -> frozenset[str]:
     return frozenset(p.lower() for p in (model.id_to_piece(i) for i in range(model.get_piece_size())) if not (p.startswith("<") and p.endswith(">")))
 
 
+@lru_cache(maxsize=2)
+def longest_piece(path: str) -> int:
+    return max(map(len, pieces(path)))
+
+
 def default_path() -> str:
     return os.path.join(TOKENIZER_DIR, PIECES)
 
@@ -78,6 +85,7 @@ class PieceModel:
         self.path, self.languages = path, languages
         self.table: dict[str, np.ndarray] = {}
         self.floor = np.full(len(languages), 1e-7)
+        self.background: dict[tuple[int, bool], float] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -91,10 +99,10 @@ class PieceModel:
         """For each end position the (start, piece) that reach it."""
         vocabulary = pieces(self.path)
         marked = "▁" + word
-        n = len(marked)
+        n, longest = len(marked), longest_piece(self.path)
         out: list[list[tuple[int, str]]] = [[] for _ in range(n + 1)]
         for b in range(1, n + 1):
-            for a in range(max(0, b - 14), b):
+            for a in range(max(0, b - longest), b):
                 piece = marked[a:b]
                 if piece in vocabulary or b - a == 1:
                     out[b].append((a, piece))
@@ -139,14 +147,23 @@ class PieceModel:
         self.floor = smoothing / total
 
     def word(self, word: str) -> np.ndarray:
-        """Log probability of a word in each language: forward algorithm over its segmentations."""
-        edges = self._edges(word[:40])
-        f = np.zeros((len(edges), len(self.languages)))
-        f[0] = 1
-        for b in range(1, len(edges)):
-            for a, p in edges[b]:
-                f[b] += f[a] * self.table.get(p, self.floor)
-        return np.log(np.maximum(f[-1], 1e-300))
+        """Log probability of a word in each language: forward algorithm over its segmentations. Sums are scaled on the way, so that words of any length are read whole; of a long one only the sums within the reach of the longest piece are kept."""
+        vocabulary, reach = pieces(self.path), longest_piece(self.path)
+        marked = "▁" + word
+        f = deque([np.ones(len(self.languages))], maxlen=reach)
+        log = np.zeros(len(self.languages))
+        for b in range(1, len(marked) + 1):
+            total = np.zeros(len(self.languages))
+            for k, before in enumerate(reversed(f)):
+                piece = marked[b - 1 - k : b]
+                if k == 0 or piece in vocabulary:
+                    total += before * self.table.get(piece, self.floor)
+            f.append(total)
+            if b % 8 == 0:
+                size = np.maximum(total, 1e-280)
+                log += np.log(size)
+                f = deque((x / size for x in f), maxlen=reach)
+        return log + np.log(np.maximum(f[-1], 1e-300))
 
     def score(self, words: list[str]) -> list[float]:
         at = []
@@ -163,12 +180,32 @@ class PieceModel:
             at.append(row)
         return self.rows[at].sum(axis=0).tolist()
 
+    def calibrate(self, labelled: list[list[str]], share: float = 0.99, slack: float = 0.8) -> PieceModel:
+        """Sets the background language, in which every character costs the same, for each language and script: what the characters of all but the oddest of the labelled sentences cost in their best language, and slack more."""
+        costs: dict[tuple[int, bool], list[float]] = defaultdict(list)
+        for words in labelled:
+            n = sum(map(len, words))
+            if n >= 20:
+                s = self.score(words)
+                costs[s.index(max(s)), latin(words)].append(-max(s) / n)
+        self.background = {key: float(np.quantile(c, share)) + slack for key, c in costs.items() if len(c) >= 20}
+        return self
+
     def best(self, words: list[str]) -> tuple[str, float]:
-        """Language of the words and its posterior, tempered by their number, as words of one sentence are not independent."""
+        """Language of the words and its posterior, tempered by their number, as words of one sentence are not independent. Where the background of the best language and script speaks louder it is OTHER; a script that the labelled sentences of that language are not written in has the least background of all."""
         s = self.score(words)
         top = max(s)
+        k = s.index(top)
+        cost = self.background.get((k, latin(words)), min(self.background.values(), default=math.inf))
+        other = -cost * sum(map(len, words))
         cool = max(1.0, math.sqrt(len(words)))
-        return self.languages[s.index(top)], 1 / sum(math.exp((x - top) / cool) for x in s)
+        if other > top:
+            return OTHER, 1 / (1 + sum(math.exp((x - other) / cool) for x in s))
+        return self.languages[k], 1 / (sum(math.exp((x - top) / cool) for x in s) + math.exp((other - top) / cool))
+
+
+def latin(words: list[str]) -> bool:
+    return words[0][0] < "\u0250"
 
 
 #: Which digits a text holds does not matter here; texts that differ in them alone are judged once.
@@ -217,11 +254,11 @@ def fit_model(turns: DataFrame, rows: int = SAMPLE_ROWS, path: str | None = None
         model = PieceModel(model.path).fit(kept)
         if step == 0:
             labelled = [(int(np.argmax([x + LABEL_BONUS * (k == lang) for k, x in enumerate(model.score(words))])), words) for lang, words in labelled]
-    return model
+    return model.calibrate([words for _, words in labelled])
 
 
 def segments(text: str | None, model: PieceModel, memo: dict | None = None) -> list[tuple[str, float, int]]:
-    """(language, confidence, sentences) of each run of sentences in one language, in order; none for null and blank texts, hesitations and notes."""
+    """(language or OTHER, confidence, sentences) of each run of sentences in one language, in order; none for null and blank texts, hesitations and notes."""
     if not text:
         return []
     scored = []
@@ -281,7 +318,7 @@ def with_languages(turns: DataFrame, model: PieceModel) -> DataFrame:
 
 
 def found(turns: DataFrame, model: PieceModel) -> DataFrame:
-    """(id, field, lang): every language of the fields whose label is absent, blank, another than the text's, or one while the text has several. Texts without a sentence have no rows."""
-    lang = with_languages(turns, model).withColumn("langs", F.array_distinct(F.transform("segments", lambda s: s["lang"])))
+    """(id, field, lang): every language of the fields whose label is absent, blank, another than the text's, or one while the text has several. Texts without a sentence in one of LANGUAGES have no rows."""
+    lang = with_languages(turns, model).withColumn("langs", F.array_remove(F.array_distinct(F.transform("segments", lambda s: s["lang"])), OTHER))
     wrong = (F.size("langs") > 1) | (normal_label(F.col("label")) != F.element_at("langs", 1))
     return lang.where(F.size("langs") > 0).where(wrong).select("id", "field", F.explode("langs").alias("lang"))

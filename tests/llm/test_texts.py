@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,7 +97,41 @@ def language_model(spark, small):
     return L.fit_model(spark.read.parquet(f"{small}/transcript_turns.parquet"))
 
 
+def test_words_are_read_whole(language_model):
+    word = "x" * 45
+    assert (language_model.word(word + "y" * 10) < language_model.word(word + "y") - 1).all()
+    assert (language_model.word(word + "the") != language_model.word(word + "und")).any()
+    assert np.isfinite(language_model.word("donaudampfschiff" * 400)).all()
+
+
+def test_scaled_sums_are_those_of_all_segmentations(language_model):
+    def brute(marked, k):
+        if not marked:
+            return 1.0
+        return sum(brute(marked[n:], k) * language_model.table.get(marked[:n], language_model.floor)[k] for n in range(1, len(marked) + 1) if n == 1 or marked[:n] in L.pieces(language_model.path))
+
+    for word in ("the", "konto", "banco", "wxyzzt", "contrato"):
+        assert np.allclose(language_model.word(word), [math.log(brute("▁" + word, k)) for k in range(6)])
+    assert L.longest_piece(language_model.path) == max(map(len, L.pieces(language_model.path)))
+
+
+@pytest.mark.parametrize("text", ["Sziasztok, szeretném tudni, mikor érkezik meg a pénzem.", "Добрый день, я хочу узнать о моём счёте.", "こんにちは、口座について知りたいです。", "Dzień dobry, chciałbym wiedzieć kiedy przyjdzie przelew."])
+def test_other_languages(language_model, text):
+    assert [s[0] for s in L.segments(text, language_model)] == ["other"]
+
+
+def test_confidence_means_something(spark, small, language_model):
+    """Of the sentences of texts with a label, those given with more confidence agree with it at least as often."""
+    rows = [(r.lang, s) for r in spark.read.parquet(f"{small}/transcript_turns.parquet").selectExpr("lower(substr(metadata['lang'], 1, 2)) AS lang", "raw_text").where("lang in ('en', 'de', 'fr', 'es', 'pt', 'hi')").collect() for s in L.segments(r.raw_text, language_model)]
+    sure = [lang == s[0] for lang, s in rows if s[1] >= 0.99]
+    unsure = [lang == s[0] for lang, s in rows if s[1] < 0.99]
+    assert len(sure) > 100 and sum(sure) / len(sure) > 0.8
+    assert not unsure or sum(sure) / len(sure) >= sum(unsure) / len(unsure) - 0.05
+
+
 @pytest.mark.parametrize("text, langs", [("Könnten Sie mir das noch einmal erklären?", ["de"]), ("Kya aap mujhe yeh samjha sakte hain?", ["hi"]), ("क्या आप मुझे बता सकते हैं?", ["hi"]), ("The charge was applied because the mandate had expired. Mein Mann sagt, der Schutz endet mit dem Kredit.", ["en", "de"]), ("[noise] Um.", []), ("", []), (None, [])])
+
+
 def test_languages(language_model, text, langs):
     got = L.segments(text, language_model)
     assert [g[0] for g in got] == langs and all(0 < g[1] <= 1 for g in got)
