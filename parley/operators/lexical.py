@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import keyword_tokens
+from parley.operators.blocks import against
+from parley.session import cut
 
 # Fixed values of the scoring formula.
 K1, B = 1.5, 0.75
+#: Terms of all queries together that one block holds, some 32 MB; pairs of postings and queries that are added up in one step.
+QUERY_TERMS, PAIRS_AT_ONCE = 1_000_000, 4_000_000
 
 
 def tokenized(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -34,22 +42,93 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query: str = "query") -> DataFrame:
-    """(query_key, key, score) of every document that shares a token with the query.
+@dataclass
+class Index:
+    """What the scoring of one corpus needs: the hashed tokens of its records, written once, and the two numbers of the corpus."""
+
+    terms: DataFrame  # key, terms array<bigint>
+    n_docs: int
+    avg_len: float
+
+
+def index(docs: DataFrame, key: str, text: str) -> Index:
+    """Tokenizes all records once; tokens are 64-bit hashes from here on. Records without tokens count in both numbers."""
+    terms = cut(docs.select(key, F.transform(keyword_tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("terms")))
+    stats = terms.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avg_len")).first()
+    return Index(terms, stats["n"], stats["avg_len"] or 1.0)
+
+
+def weighted_terms(made: Index, queries: DataFrame, query_key: str, query: str) -> DataFrame:
+    """(query_key, term, times, idf) of the query terms that the corpus holds. Frequencies are counted in each task first, so that a frequent term is no single task."""
+    wanted = queries.select(query_key, F.explode(F.transform(keyword_tokens(F.col(query)), lambda t: F.xxhash64(t))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
+    df = made.terms.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return wanted.join(df, "term").select(query_key, "term", "times", idf(F.lit(made.n_docs), F.col("df")).alias("idf"))
+
+
+def bm25_best(made: Index, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "query_id", query: str = "query", among: DataFrame | None = None, digits: int = 6) -> DataFrame:
+    """(query_key, key, score, rank): the k best records of each query by score, then key. A token that a query holds twice counts twice. Statistics are those of all records; with among, only records of its keys are scored. Null and empty queries match nothing.
 
-    A token that a query holds twice counts twice. Statistics are those of all docs. Only postings of query terms are joined; the terms of all queries are reduced to distinct ones before.
-    Null and empty queries match nothing.
+    The terms of the queries go to the records, not the postings to the terms: each batch of records adds up its scores for all queries in arrays and keeps k of them a query, so that no frequent term is a key of any shuffle and no row is made for a pair.
+    Up to QUERY_TERMS terms are broadcast; more meet the records in blocks.
     """
-    tokens = tokenized(docs, key, text)
-    stats = corpus_statistics(tokens).first()
-    n_docs, avg_len = stats["n_docs"], stats["avg_len"] or 1.0
-    wanted = queries.select(query_key, F.explode(keyword_tokens(F.col(query))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
-    posted = postings(tokens, key).join(wanted.select("term").distinct(), "term", "left_semi")
-    df = document_frequency(posted)
+    kind, qkind = made.terms.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
+    terms = cut(weighted_terms(made, queries, query_key, query))
+    n_blocks = max(1, -(-terms.count() // QUERY_TERMS))
+    avg_len = made.avg_len
+
+    def prepare(rows: pd.DataFrame) -> tuple:
+        ids, q = np.unique(rows[query_key].to_numpy(), return_inverse=True)
+        order = np.argsort(rows["term"].to_numpy(), kind="stable")
+        term, first = np.unique(rows["term"].to_numpy()[order], return_index=True)
+        return ids, term, rows["idf"].to_numpy()[order][first], np.append(first, len(order)), q[order], rows["times"].to_numpy()[order].astype(np.float64)
+
+    def best(block: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        ids, term, weight, at, q, times = block
+        keys = frame[key].to_numpy()
+        order = np.argsort(keys, kind="stable")
+        lists = frame["terms"].to_numpy()[order]
+        keys = keys[order]
+        length = np.array([0 if x is None else len(x) for x in lists], dtype=np.int64)
+        out: list[tuple] = []
+        if len(term) and length.sum():
+            flat = np.concatenate([x for x in lists if x is not None and len(x)])
+            doc = np.repeat(np.arange(len(lists)), length)
+            place = np.minimum(np.searchsorted(term, flat), len(term) - 1)
+            hit = term[place] == flat
+            code, tf = np.unique(doc[hit] * len(term) + place[hit], return_counts=True)
+            doc, t = np.divmod(code, len(term))
+            value = weight[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / avg_len))
+            n = at[t + 1] - at[t]
+            # so many records at a time that their pairs with queries fit
+            step = np.cumsum(n) // PAIRS_AT_ONCE
+            first_of = np.flatnonzero(np.concatenate((np.ones(min(1, len(doc)), dtype=bool), doc[1:] != doc[:-1])))
+            cuts = first_of[np.concatenate((np.ones(min(1, len(first_of)), dtype=bool), step[first_of[1:]] != step[first_of[:-1]]))]
+            for a, b in zip(cuts, np.append(cuts[1:], len(doc))):
+                low, size = doc[a], doc[b - 1] - doc[a] + 1
+                rep = np.repeat(np.arange(a, b), n[a:b])
+                within = np.arange(len(rep)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+                pair = at[t[rep]] + within
+                score = np.bincount(q[pair] * size + (doc[rep] - low), value[rep] * times[pair], len(ids) * size).reshape(len(ids), size).round(digits)
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                got = np.take_along_axis(score, top, axis=1)
+                keep = got.ravel() > 0
+                out.append((np.repeat(ids, top.shape[1])[keep], keys[low + top].ravel()[keep], got.ravel()[keep]))
+        columns = [np.concatenate([o[c] for o in out]) if out else [] for c in range(3)]
+        return pd.DataFrame({query_key: columns[0], key: columns[1], "score": columns[2]})
+
+    scored = made.terms if among is None else made.terms.join(among.select(key).distinct(), key, "left_semi")
+    found = against(scored, key, terms, query_key, n_blocks, prepare, best, f"{query_key} {qkind}, {key} {kind}, score double")
+    w = Window.partitionBy(query_key).orderBy(F.desc("score"), F.col(key))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(k, 1))
+
+
+def bm25_of_pairs(made: Index, queries: DataFrame, pairs: DataFrame, key: str = "doc_id", query_key: str = "query_id", query: str = "query") -> DataFrame:
+    """(query_key, key, score) of the given pairs that share a token; only their records' tokens are looked at."""
+    terms = weighted_terms(made, queries, query_key, query)
+    held = pairs.select(query_key, key).distinct().join(made.terms, key).select(query_key, key, F.size("terms").alias("len"), F.explode("terms").alias("term"))
     tf = F.col("tf")
-    weight = idf(F.lit(n_docs), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.lit(avg_len)))
-    weighted = posted.join(df, "term").select("term", key, weight.alias("weight"))
-    return wanted.join(weighted, "term").groupBy(query_key, key).agg(F.sum(F.col("times") * F.col("weight")).alias("score")).where("score > 0")
+    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(made.avg_len)))
+    return held.join(terms, [query_key, "term"]).groupBy(query_key, key, "term", "len", "times", "idf").agg(F.count(F.lit(1)).alias("tf")).groupBy(query_key, key).agg(F.sum(F.col("times") * weight).alias("score")).where("score > 0")
 
 
 def top_k(scored: DataFrame, k: int, query_key: str = "query_id", key: str = "doc_id", score: str = "score", digits: int = 6) -> DataFrame:

@@ -34,17 +34,18 @@ def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("term", "df", F.round(lexical.idf(F.lit(n), F.col("df")), 6).alias("idf"))
 
 
+def _chunk_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    return lexical.index(_chunks(spark, sf_dir), "chunk_id", "text")
+
+
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lexical.bm25_scores(_chunks(spark, sf_dir), _questions(spark, sf_dir), key="chunk_id")
-    return lexical.top_k(scored, 10, key="chunk_id").select("query_id", "chunk_id", "score", "rank")
+    return lexical.bm25_best(_chunk_index(spark, sf_dir), _questions(spark, sf_dir), 10, key="chunk_id").select("query_id", "chunk_id", "score", "rank")
 
 
 def bm25_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As bm25_search, over pages 2 to 10 of chunks with an owner; statistics stay those of all chunks."""
-    docs = _chunks(spark, sf_dir)
-    scored = lexical.bm25_scores(docs, _questions(spark, sf_dir), key="chunk_id")
-    allowed = docs.where("page_end >= 2 and page_start <= 10 and coalesce(user_id, '') <> ''").select("chunk_id")
-    return lexical.top_k(scored.join(allowed, "chunk_id", "left_semi"), 10, key="chunk_id").select("query_id", "chunk_id", "score", "rank")
+    allowed = _chunks(spark, sf_dir).where("page_end >= 2 and page_start <= 10 and coalesce(user_id, '') <> ''")
+    return lexical.bm25_best(_chunk_index(spark, sf_dir), _questions(spark, sf_dir), 10, key="chunk_id", among=allowed).select("query_id", "chunk_id", "score", "rank")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -54,12 +55,12 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, q = _vectors(spark, sf_dir)
-    return nearest.nearest(v, q, 10).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "rank")
+    return nearest.nearest(v, q, 10).select("query_id", "vec_id", "similarity", "rank")
 
 
 def knn_prefiltered_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, q = _vectors(spark, sf_dir)
-    return nearest.nearest(v, q, 5, same="label").select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "rank")
+    return nearest.nearest(v, q, 5, same="label").select("query_id", "vec_id", "similarity", "rank")
 
 
 def distance_to_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,7 @@ def redundancy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, q = _vectors(spark, sf_dir)
     other = nearest.nearest(v, q, 2).where("query_id <> vec_id")
     best = other.groupBy("query_id").agg(F.min_by(F.struct("vec_id", "similarity"), "rank").alias("b"))
-    return best.select("query_id", F.col("b.vec_id").alias("most_similar"), F.round("b.similarity", 5).alias("redundancy_max"), (F.col("b.similarity") > 0.85).alias("near_duplicate"))
+    return best.select("query_id", F.col("b.vec_id").alias("most_similar"), F.col("b.similarity").alias("redundancy_max"), (F.col("b.similarity") > 0.85).alias("near_duplicate"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +88,7 @@ def _ranked_lists(spark: SparkSession, sf_dir: str, pool: int = 20) -> dict[str,
     """Vector and keyword rankings of the documents whose vector has the same id, for every id divisible by 50."""
     v, q = _vectors(spark, sf_dir)
     semantic = nearest.nearest(v, q, pool).select("query_id", F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score"), "rank")
-    keyword = lexical.top_k(lexical.bm25_scores(_documents(spark, sf_dir), _document_questions(spark, sf_dir)), pool)
-    return {"semantic": semantic, "keyword": cut(keyword)}
+    return {"semantic": semantic, "keyword": lexical.bm25_best(lexical.index(_documents(spark, sf_dir), "doc_id", "text"), _document_questions(spark, sf_dir), pool)}
 
 
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +107,11 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def legacy_alpha_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0.7 x vector similarity + 0.3 x keyword score over the best of the 20 vector candidates of each query, the five best."""
-    lists = _ranked_lists(spark, sf_dir)
-    scores = lexical.bm25_scores(_documents(spark, sf_dir), _document_questions(spark, sf_dir)).withColumnRenamed("score", "keyword")
-    both = lists["semantic"].withColumnRenamed("score", "similarity").join(scores, ["query_id", "doc_id"], "left").withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
+    v, q = _vectors(spark, sf_dir)
+    near = cut(nearest.nearest(v, q, 20).select("query_id", F.col("vec_id").alias("doc_id"), "similarity"))
+    made = lexical.index(_documents(spark, sf_dir), "doc_id", "text")
+    scores = lexical.bm25_of_pairs(made, _document_questions(spark, sf_dir), near).withColumnRenamed("score", "keyword")
+    both = near.join(scores, ["query_id", "doc_id"], "left").withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
     best = F.max("keyword").over(Window.partitionBy("query_id"))
     blended = both.withColumn("score", F.round(0.7 * F.col("similarity") + 0.3 * F.when(best > 0, F.col("keyword") / best).otherwise(0.0), 5))
     return lexical.top_k(blended, 5, digits=5).select("query_id", "doc_id", "score", "rank")
@@ -119,7 +121,7 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 keyword candidates of each question re-scored by the share of its tokens that they hold, the five best; ties keep their order."""
     questions = _questions(spark, sf_dir)
     docs = _chunks(spark, sf_dir)
-    candidates = lexical.top_k(lexical.bm25_scores(docs, questions, key="chunk_id"), 20, key="chunk_id")
+    candidates = lexical.bm25_best(_chunk_index(spark, sf_dir), questions, 20, key="chunk_id")
     scored = candidates.join(questions, "query_id").join(docs.select("chunk_id", "text"), "chunk_id").withColumn("rerank_score", F.round(fusion.coverage_score(F.col("query"), F.col("text")), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     return scored.withColumn("rerank_rank", F.row_number().over(w)).where("rerank_rank <= 5").select("query_id", "chunk_id", "rerank_score", "rerank_rank")
@@ -128,7 +130,7 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context of each question: the keyword candidates, near duplicates left out, as far as they fit the budget."""
     docs = _chunks(spark, sf_dir)
-    candidates = lexical.top_k(lexical.bm25_scores(docs, _questions(spark, sf_dir), key="chunk_id"), 20, key="chunk_id").select("query_id", "chunk_id", "score")
+    candidates = lexical.bm25_best(_chunk_index(spark, sf_dir), _questions(spark, sf_dir), 20, key="chunk_id").select("query_id", "chunk_id", "score")
     return fusion.budgeted_context(candidates.join(docs, "chunk_id"))
 
 
@@ -208,11 +210,11 @@ SQL = {
     "bm25_search_filtered": f"""WITH {_bm25_sql('bm25_docs', 'chunk_id', _Q)},
         ok AS (SELECT chunk_id FROM bm25_docs WHERE page_end >= 2 AND page_start <= 10 AND coalesce(user_id, '') <> '')
         SELECT query_id, k AS chunk_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, {_TOP} AS rank FROM scored WHERE k IN (SELECT chunk_id FROM ok)) WHERE rank <= 10""",
-    "knn_cosine": f"WITH {_knn_sql(10)} SELECT query_id, vec_id, round(similarity, 5) AS similarity, rank::INT AS rank FROM nn",
-    "knn_prefiltered_label": f"WITH {_knn_sql(5, 'AND a.label = b.label')} SELECT query_id, vec_id, round(similarity, 5) AS similarity, rank::INT AS rank FROM nn",
+    "knn_cosine": f"WITH {_knn_sql(10)} SELECT query_id, vec_id, similarity, rank::INT AS rank FROM nn",
+    "knn_prefiltered_label": f"WITH {_knn_sql(5, 'AND a.label = b.label')} SELECT query_id, vec_id, similarity, rank::INT AS rank FROM nn",
     "distance_to_similarity": f"WITH {_knn_sql(3)} SELECT query_id, vec_id, round(1 / (1 + (1 - similarity)), 5) AS score FROM nn",
     "redundancy_metrics": f"""WITH {_knn_sql(2)}, b AS (SELECT query_id, arg_min(vec_id, rank) AS most_similar, arg_min(similarity, rank) AS s FROM nn WHERE query_id <> vec_id GROUP BY query_id)
-        SELECT query_id, most_similar, round(s, 5) AS redundancy_max, s > 0.85 AS near_duplicate FROM b""",
+        SELECT query_id, most_similar, s AS redundancy_max, s > 0.85 AS near_duplicate FROM b""",
     "rrf_fuse": f"WITH {_FUSED} SELECT query_id, doc_id, round(score, 6) AS score, semantic_rank::INT AS semantic_rank, keyword_rank::INT AS keyword_rank FROM fused",
     "hybrid_search": f"""WITH {_FUSED}, r AS (SELECT doc_id, {_REFERENCE} AS is_reference FROM documents),
         p AS (SELECT f.*, coalesce(is_reference, false) AS is_reference, round(CASE WHEN is_reference THEN score * 0.45 ELSE score END, 6) AS adjusted FROM fused f LEFT JOIN r USING (doc_id))

@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -67,10 +69,41 @@ def test_context_budget_skips_and_drops_duplicates(spark):
 def test_bm25_nulls_and_empty(spark):
     docs = spark.createDataFrame([(1, "red house red"), (2, None), (3, ""), (4, "blue house")], "doc_id int, text string")
     queries = spark.createDataFrame([(1, "red"), (2, None), (3, "nothing"), (4, "house house")], "query_id int, query string")
-    got = {(x.query_id, x.doc_id): x.score for x in lexical.bm25_scores(docs, queries).collect()}
+    made = lexical.index(docs, "doc_id", "text")
+    got = {(x.query_id, x.doc_id): x.score for x in lexical.bm25_best(made, queries, 10).collect()}
     assert set(got) == {(1, 1), (4, 1), (4, 4)}
-    single = lexical.bm25_scores(docs, spark.createDataFrame([(9, "house")], "query_id int, query string")).where("doc_id = 4").first().score
-    assert abs(got[4, 4] - 2 * single) < 1e-9
+    single = lexical.bm25_best(made, spark.createDataFrame([(9, "house")], "query_id int, query string"), 10).where("doc_id = 4").first().score
+    assert abs(got[4, 4] - 2 * single) < 2e-6
+    of_pairs = {(x.query_id, x.doc_id): x.score for x in lexical.bm25_of_pairs(made, queries, spark.createDataFrame([(4, 4), (1, 4), (1, 1)], "query_id int, doc_id int")).collect()}
+    assert set(of_pairs) == {(4, 4), (1, 1)} and all(abs(of_pairs[k] - got[k]) < 1e-6 for k in of_pairs)
+    assert lexical.bm25_best(made, queries.limit(0), 3).count() == 0 and lexical.bm25_best(lexical.index(docs.limit(0), "doc_id", "text"), queries, 3).count() == 0
+
+
+@pytest.mark.parametrize("terms, pairs", [(1_000_000, 4_000_000), (3, 2)])
+def test_bm25_in_blocks_equals_brute_force(spark, monkeypatch, terms, pairs):
+    monkeypatch.setattr(lexical, "QUERY_TERMS", terms)
+    monkeypatch.setattr(lexical, "PAIRS_AT_ONCE", pairs)
+    r = random.Random(6)
+    words = [f"w{chr(97 + k)}" for k in range(20)]
+    texts = [" ".join(r.choice(words[: r.choice((3, 20))]) for _ in range(r.randint(0, 15))) for _ in range(60)]
+    asked = [" ".join(r.choice(words) for _ in range(r.randint(0, 5))) for _ in range(7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    tokens = [t.split() for t in texts]
+    avg = sum(map(len, tokens)) / len(tokens)
+    want = []
+    for q, query in enumerate(asked):
+        scored = []
+        for d, ts in enumerate(tokens):
+            s = 0.0
+            for t in query.split():
+                df, tf = sum(t in x for x in tokens), ts.count(t)
+                s += math.log(1 + (60 - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / avg))
+            if s > 0:
+                scored.append((-round(s, 6), d))
+        want += [(q, d, -s, k + 1) for k, (s, d) in enumerate(sorted(scored)[:5])]
+    got = sorted((x.query_id, x.doc_id, x.score, x["rank"]) for x in lexical.bm25_best(lexical.index(docs, "doc_id", "text"), queries, 5).collect())
+    assert [g[:2] + g[3:] for g in sorted(got, key=lambda g: (g[0], g[3]))] == [w[:2] + w[3:] for w in want] and all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(sorted(got, key=lambda g: (g[0], g[3])), want))
 
 
 def test_nearest_equals_brute_force(spark):
