@@ -185,7 +185,8 @@ def corrections(reflowed: DataFrame, stage=lambda df: df) -> DataFrame:
     # each token with the one before it, within the row
     placed = reflowed.select("chunk_id", tokens.alias("k")).select("chunk_id", F.explode(F.transform("k", lambda x, i: F.struct(x.alias("form"), F.lower(x).alias("word"), F.when(i > 0, F.lower(F.get("k", i - 1))).otherwise("").alias("before")))).alias("p")).select("chunk_id", "p.*")
     hits = stage(placed.join(pairs, placed["word"] == pairs["bad"]).groupBy("chunk_id", "form", "before", "good", "good_n", "mixed").agg(F.count(F.lit(1)).alias("c")))
-    asked = hits.select("before", "good").distinct()
+    # written, so that its bytes are known where the tokens of the corpus meet it
+    asked = stage(hits.select("before", "good").distinct())
     support = placed.join(asked, (placed["word"] == asked["good"]) & (placed["before"] == asked["before"]), "left_semi").groupBy("before", F.col("word").alias("good")).agg(F.count(F.lit(1)).alias("times"))
     rated = hits.join(support, ["before", "good"], "left").where(F.col("mixed") | F.col("times").isNotNull())
     chosen = rated.groupBy("chunk_id", "form").agg(F.max_by("good", F.struct(F.coalesce("times", F.lit(0)), "good_n", "good")).alias("good"))
