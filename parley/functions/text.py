@@ -67,7 +67,7 @@ def sentences(text: Column) -> Column:
 def refine_sentences(text: Column) -> Column:
     """Sentences line by line; headings and bullets stay whole."""
     whole = r"^(?:#|[-*•]\s|\d+[.)]\s)"
-    lines = F.filter(F.transform(F.split(_text(text), "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(_text(text), "\n"), lambda s: F.trim(s)), lambda s: s != "")
     return F.filter(F.flatten(F.transform(lines, lambda s: F.when(s.rlike(whole), F.array(s)).otherwise(F.split(s, r"(?<=[.!?])\s+")))), lambda s: s != "")
 
 

@@ -89,6 +89,39 @@ def table_markdown(rows: Column) -> Column:
 
 def markdown_table(text: Column) -> Column:
     """The first block of at least two pipe lines, code fences left out; null where there is none."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda s: ~s.startswith("```"))
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: F.trim(s)), lambda s: ~s.startswith("```"))
     found = F.regexp_extract(F.concat(F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n")), r"\n((?:\|[^\n]*\n){2,})", 1)
     return F.nullif(F.regexp_replace(found, r"\n$", ""), F.lit(""))
+
+
+def section_tree(chunks: DataFrame, path: str = "section_path") -> DataFrame:
+    """(doc_id, path, page_start, page_end, chunks): every section with the pages of all that lies below it. A chunk counts once for each of its sections; partial sums are made before the shuffle."""
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(path)), lambda n: F.slice(F.col(path), F.lit(1), n))
+    own = chunks.where(F.size(path) > 0).select("doc_id", "page_start", "page_end", F.explode(prefixes).alias("path"))
+    return own.groupBy("doc_id", "path").agg(F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.count(F.lit(1)).alias("chunks"))
+
+
+def equation_label(text: Column) -> Column:
+    """The number in brackets at the end of an equation, as 12 or 12a; null where there is none."""
+    return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"\((\d+[a-z]?)\)\s*$", 1), F.lit(""))
+
+
+def equation_marks(text: Column) -> Column:
+    """What equation_quality looks at, one by one: glyph names, replacement signs, operators, mathematical signs."""
+    t = F.coalesce(text, F.lit(""))
+    return F.struct(t.rlike(r"/[A-Z][a-z]+").alias("glyph_names"), t.contains("�").alias("replaced"), t.rlike(r"[=+\-/*<>]").alias("operators"), t.rlike(r"[\x{0370}-\x{03FF}∑∫√∞≤≥≠±×÷∂∇]").alias("mathematical"))
+
+
+def repaired_equation(first: Column, second: Column, margin: int = 5) -> Column:
+    """(text, source) of the better reading of an equation: the second only if its quality is more than margin higher."""
+    better = equation_quality(second) > equation_quality(first) + margin
+    return F.when(better, F.struct(second.alias("text"), F.lit("second").alias("source"))).otherwise(F.struct(first.alias("text"), F.lit("first").alias("source")))
+
+
+def figure_class(annotations: Column) -> Column:
+    """The first class among the annotations (kind, class) of a figure; null for none."""
+    return F.get(F.filter(annotations, lambda a: a["kind"] == "classification"), 0)["class"]
+
+
+def is_logo(annotations: Column) -> Column:
+    return F.coalesce(F.exists(annotations, lambda a: (a["kind"] == "classification") & F.lower(a["class"]).isin("logo", "icon")), F.lit(False))

@@ -76,3 +76,20 @@ def echoes(worker: DataFrame, customer: DataFrame, key: str = "session", time: s
     best = scored.groupBy("id").agg(F.max_by(F.struct("other", "similarity"), F.struct("similarity", (-F.col("other")).alias("o"))).alias("b"))
     s = F.col("b.similarity")
     return best.select("id", s.alias("similarity"), F.col("b.other").alias("matched_id"), F.when(s >= ECHO_STRONG, "strong").when(s >= ECHO_WEAK, "weak").otherwise("none").alias("kind"))
+
+
+def paired_in_order(left: DataFrame, right: DataFrame, key: str, order: list[str], block: str) -> DataFrame:
+    """(key, n, l, r): the n-th row of left of each key with the n-th of right, as structs; rows without a partner stay out. Both are numbered in blocks of block, which must not decrease along the order."""
+    number = lambda df, name: blocked_running_sum(df, [key], block, order, F.lit(1), "n").select(key, "n", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+    return number(left, "l").join(number(right, "r"), [key, "n"])
+
+
+def mixed(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, left, right): both channels by packet; where one has no packet it counts as zero."""
+    a, b = left.select(*keys, F.col(value).alias("left")), right.select(*keys, F.col(value).alias("right"))
+    return a.join(b, keys, "full_outer").fillna(0, ["left", "right"])
+
+
+def packet_bytes(chunk_size: Column | int, buffers: Column | int) -> Column:
+    """Bytes of a packet of so many buffers of 16-bit samples."""
+    return F.lit(chunk_size) * F.lit(buffers) * 2

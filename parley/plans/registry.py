@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parley.plans import records, retrieval, talk
+from parley.plans import pages, records, retrieval, talk
 
-QUERIES = retrieval.QUERIES | records.QUERIES | talk.QUERIES
-SQL: dict[str, str] = retrieval.SQL | records.SQL | talk.SQL
+QUERIES = retrieval.QUERIES | records.QUERIES | talk.QUERIES | pages.QUERIES
+SQL: dict[str, str] = retrieval.SQL | records.SQL | talk.SQL | pages.SQL
