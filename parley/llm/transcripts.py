@@ -261,16 +261,23 @@ def fit_models(turns: DataFrame) -> Models:
     return Models(fit_fillers(turns), fit_marks(turns))
 
 
-def with_analysis(turns: DataFrame, model: Models, text: str = "raw_text") -> DataFrame:
-    """Adds bits, segments and spoken, as analyse gives them."""
+def segmented(rows: DataFrame, model: Models, text: str) -> DataFrame:
+    """The columns of rows without text, once for every clean segment of it, with part (from 0), label and segment. Texts without a word have none."""
+    kept = [f for f in rows.schema.fields if f.name != text]
 
-    @F.pandas_udf("struct<bits:int,segments:array<struct<label:string,text:string>>,spoken:boolean>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = [analyse(t, model) for t in texts]
-            yield pd.DataFrame({"bits": [r[0] for r in rows], "segments": [[{"label": a, "text": b} for a, b in r[1]] for r in rows], "spoken": [r[2] for r in rows]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            where, part, label, clean = [], [], [], []
+            for k, t in enumerate(frame[text]):
+                for n, (name, piece) in enumerate(analyse(t, model)[1]):
+                    where.append(k)
+                    part.append(n)
+                    label.append(name)
+                    clean.append(piece)
+            out = frame[[f.name for f in kept]].iloc[where].reset_index(drop=True)
+            yield out.assign(part=np.array(part, dtype=np.int32), label=pd.Series(label, dtype=object), segment=pd.Series(clean, dtype=object))
 
-    return turns.withColumn("__found", run(F.col(text))).select(*[F.col(f"`{c}`") for c in turns.columns], "__found.bits", "__found.segments", "__found.spoken")
+    return rows.mapInPandas(run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept], "part int", "label string", "segment string"]))
 
 
 def with_bits(turns: DataFrame, model: Models, text: str = "raw_text") -> DataFrame:
@@ -329,13 +336,13 @@ def segments_in_order(turns: DataFrame, model: Models) -> DataFrame:
     first = turns.select("id", "session_id", "speaker", "raw_text", "ts", trace.alias("__trace"))
     # a trace is one record; its copies are few
     first = first.withColumn("__session", session_key(F.col("session_id"))).groupBy("__session", "__trace").agg(F.min_by(F.struct("id", "speaker", "raw_text", "ts"), "id").alias("r")).select(F.col("__session").alias("session"), "r.*")
-    cleaned = with_analysis(first, model)
-    label_role = F.when(F.col("s.label") != "", clean_speaker_role(F.col("s.label"))).otherwise("Unknown")
     time = F.coalesce(epoch_seconds(F.col("ts")), F.lit(0.0))
-    parts = cleaned.select("session", "id", time.alias("time"), F.floor(time / BLOCK_SECONDS).alias("block"), clean_speaker_role(F.col("speaker")).alias("row_role"), F.posexplode("segments").alias("part", "s"))
-    ends, first_char = F.substring(F.rtrim("s.text"), -1, 1), F.substring("s.text", 1, 1)
+    rows = first.select("session", F.floor(time / BLOCK_SECONDS).alias("block"), time.alias("time"), "id", clean_speaker_role(F.col("speaker")).alias("row_role"), "raw_text")
+    label_role = F.when(F.col("label") != "", clean_speaker_role(F.col("label"))).otherwise("Unknown")
+    parts = segmented(rows, model, "raw_text")
+    ends, first_char = F.substring(F.rtrim("segment"), -1, 1), F.substring("segment", 1, 1)
     parts = parts.select(
-        "session", "block", "time", "id", "part", "row_role", label_role.alias("marked_role"), F.col("s.text").alias("text"), F.length("s.text").alias("size"), ends.isin("?").cast("int").alias("asks"), ends.isin(".", "!", "?", "।").cast("int").alias("ends"),
+        "session", "block", "time", "id", "part", "row_role", label_role.alias("marked_role"), F.col("segment").alias("text"), F.length("segment").alias("size"), ends.isin("?").cast("int").alias("asks"), ends.isin(".", "!", "?", "।").cast("int").alias("ends"),
         ((first_char == F.lower(first_char)) & (first_char != F.upper(first_char))).cast("int").alias("small_first"),
     )
     # both sides of the lag, training and scoring read the segments
@@ -373,7 +380,8 @@ def clean_turns(segments: DataFrame, boundaries: Boosted, threshold: float = 0.5
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("time", "id", "part", "text"))), lambda x: x["text"]), " ").alias("text"),
         F.min("time").alias("started_at"), F.max("time").alias("ended_at"), F.count(F.lit(1)).alias("n_segments"), F.min("id").alias("first_id"),
     )
-    # most turns lie in one block: of the others one small row for each block meets
-    speakers = parts.groupBy("session", "turn_no").agg(F.min("first_known").alias("speaker"), F.array_sort(F.collect_list("block")).alias("blocks"))
-    joined = parts.join(speakers, ["session", "turn_no"])
-    return joined.select("session", "turn_no", (F.array_position("blocks", F.col("block")) - 1).cast("int").alias("part_no"), F.coalesce("speaker.role", F.lit("Unknown")).alias("speaker"), "text", "started_at", "ended_at", "n_segments", "first_id")
+    # few turns lie in several blocks: only their small rows meet
+    several = cut(parts.select("session", "turn_no", "block", "first_known").groupBy("session", "turn_no").agg(F.min("first_known").alias("known"), F.array_sort(F.collect_list("block")).alias("blocks")).where(F.size("blocks") > 1))
+    joined = parts.join(several, ["session", "turn_no"], "left")
+    part_no = F.coalesce(F.array_position("blocks", F.col("block")) - 1, F.lit(0)).cast("int")
+    return joined.select("session", "turn_no", part_no.alias("part_no"), F.coalesce("known.role", "first_known.role", F.lit("Unknown")).alias("speaker"), "text", "started_at", "ended_at", "n_segments", "first_id")
