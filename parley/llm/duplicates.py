@@ -23,8 +23,6 @@ COUNT_BUCKETS = 1 << 17
 WORDS_PER_COLUMN = 48
 #: A node of the trees has so many children; so many pairs of nodes are looked at in one step.
 FAN, PAIRS_AT_ONCE = 8, 10_000
-#: Sizes of one band differ by a fifth at most.
-SIZE_BAND = 0.2
 #: A prefix group that may hold more records is cut into blocks, of which every two meet in a task of their own.
 BLOCK = 8192
 _WORD = re.compile(r"\w+")
@@ -208,20 +206,23 @@ class _Records:
         self.slot = np.where(self.there, slot, 0)
         self.size = np.where(self.there, size[self.slot], -1).astype(np.float32)
         self.sig = [np.where(self.there, sig[self.slot, w], np.uint64(0)) for w in range(sig.shape[1])]
+        self.high = self.size.max(axis=1)
         self.t = np.float32(t)
         # rounding must lose no pair
         self.share = np.float32((1 - t) / (1 + t) * (1 + 1e-6))
 
     def pairs(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Records of two nodes whose sizes fit and whose bitmaps differ in few enough bits; each unordered pair once."""
-        differ = np.zeros((len(i), FAN, FAN), dtype=np.uint16)
+        """Records of two nodes whose sizes fit and whose bitmaps differ in few enough bits; each unordered pair once. The first column of bits rules out nearly all; the others are looked at for what it leaves."""
+        most = np.minimum((self.high[i] + self.high[j]) * self.share, 64).astype(np.uint8)
+        p, x, y = np.nonzero(np.bitwise_count(self.sig[0][i][:, :, None] ^ self.sig[0][j][:, None, :]) <= most[:, None, None])
+        x, y, same = (i[p], x), (j[p], y), (i == j)[p]
+        differ = np.zeros(len(p), dtype=np.int64)
         for sig in self.sig:
-            differ += np.bitwise_count(sig[i][:, :, None] ^ sig[j][:, None, :])
-        a, b = self.size[i][:, :, None], self.size[j][:, None, :]
+            differ += np.bitwise_count(sig[x] ^ sig[y])
+        a, b = self.size[x], self.size[y]
         keep = (differ <= (a + b) * self.share) & (np.maximum(a, b) * self.t < np.minimum(a, b) * np.float32(1 + 1e-6))
-        p, x, y = np.nonzero(keep)
-        x, y = self.slot[i[p], x], self.slot[j[p], y]
-        once = (x < y) | (i != j)[p]
+        x, y = self.slot[x][keep], self.slot[y][keep]
+        once = (x < y) | ~same[keep]
         return x[once], y[once]
 
 
@@ -232,8 +233,8 @@ def tree_pairs(group: np.ndarray, size: np.ndarray, sig: np.ndarray, first: np.n
     differ must be few enough; the smaller one must show the word of the group among its rarest (first).
     """
     size = size.astype(np.int64)
-    # records of like size that share their first bits are neighbours, so that nodes have tight bitmaps
-    order = np.lexsort((sig[:, 0], np.log(size) // SIZE_BAND, group))
+    # records of one size that share their first bits are neighbours
+    order = np.lexsort((sig[:, 0], size, group))
     size, sig, first = size[order], sig[order], first[order]
     levels, roots = trees(group[order], size, sig)
     # a root and itself always may meet
