@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.operators.ordered import made_once
+
 # What stands in for an answer.
 STAND_INS = ("n/a", "na", "null", "none", "nil", "nan", "no_match", "no match", "no answer", "tbd", "todo", "undefined", "not available", "keine antwort", "sin respuesta", "sem resposta", "pas de réponse", "कोई जवाब नहीं")
 # How an answer is declined, by language; a sentence that begins so is a refusal.
@@ -77,11 +79,6 @@ def loudest(ordered: Column) -> Column:
     return F.transform(F.filter(ordered, lambda s: (s["n"] > 0) & (s["n"] == F.get(ordered, 0)["n"])), lambda s: s["lang"])
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that later steps may read, or filter by, any number of times: a generated row is made before them, where a mere projection would be written into every use."""
-    return df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__made")).select("*", *[F.col(f"__made.{n}") for n in columns]).drop("__made")
-
-
 def with_defects(states: DataFrame, question: str = "question", answer: str = "answer", route: str = "route") -> DataFrame:
     """Adds defects, every triggered type in the order of the rules: empty, copy, refusal, truncated, wrong_language.
 
@@ -91,9 +88,9 @@ def with_defects(states: DataFrame, question: str = "question", answer: str = "a
     a = F.col(answer)
     text, asked = F.coalesce(a, F.lit("")), F.coalesce(F.col(question), F.lit(""))
     judged = F.coalesce(F.col(route) == "rag_answer", F.lit(False))
-    worded = _once(states, __qw=F.when(judged, _words(asked)), __aw=F.when(judged, _words(text)))
-    voted = _once(worded, __qv=F.when(judged, F.sort_array(votes(F.col("__qw"), asked), asc=False)), __av=F.when(judged, F.sort_array(votes(F.col("__aw"), text), asc=False)))
-    spoken = _once(voted, __ql=loudest(F.col("__qv")), __al=loudest(F.col("__av")))
+    worded = made_once(states, __qw=F.when(judged, _words(asked)), __aw=F.when(judged, _words(text)))
+    voted = made_once(worded, __qv=F.when(judged, F.sort_array(votes(F.col("__qw"), asked), asc=False)), __av=F.when(judged, F.sort_array(votes(F.col("__aw"), text), asc=False)))
+    spoken = made_once(voted, __ql=loudest(F.col("__qv")), __al=loudest(F.col("__av")))
     tests = {
         "copy": is_copy(F.col("__qw"), F.col("__aw")),
         "refusal": is_refusal(text),
@@ -101,7 +98,7 @@ def with_defects(states: DataFrame, question: str = "question", answer: str = "a
         "wrong_language": (F.size("__ql") > 0) & (F.size("__al") > 0) & ~F.arrays_overlap("__ql", "__al"),
     }
     found = F.when(is_empty(a), F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*[F.when(F.coalesce(tests[k], F.lit(False)), F.lit(k)) for k in ORDER[1:]])))
-    return _once(spoken, defects=F.when(judged, found).otherwise(F.array().cast("array<string>"))).drop("__qw", "__aw", "__qv", "__av", "__ql", "__al")
+    return made_once(spoken, defects=F.when(judged, found).otherwise(F.array().cast("array<string>"))).drop("__qw", "__aw", "__qv", "__av", "__ql", "__al")
 
 
 def found(states: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.operators.ordered import made_once
+
 KINDS = ("hyphen", "chars", "header", "page_number")
 # Glyphs that scanners take for one another, each brought to one form; longer ones first.
 CONFUSED_RUNS = (("rn", "m"), ("vv", "w"), ("cl", "d"), ("li", "h"), ("ii", "u"))
@@ -40,7 +42,7 @@ def skeleton(word: Column, runs=CONFUSED_RUNS) -> Column:
 class Scanned:
     """What the steps over one table of chunks come to."""
 
-    reflowed: DataFrame  # chunk_id, text, hyphens, header, page_number
+    reflowed: DataFrame  # chunk_id, text, hyphens, header, page_number, tokens
     fixes: DataFrame  # chunk_id, bad, good
 
 
@@ -153,12 +155,13 @@ def compounds(bodies: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def reflow(bodies: DataFrame, kept: DataFrame) -> DataFrame:
-    """(chunk_id, text, hyphens, header, page_number): the chunk's text in paragraphs, without furniture, with divided words made whole and the number of these."""
+    """(chunk_id, text, hyphens, header, page_number, tokens): the chunk's text in paragraphs, without furniture, with divided words made whole and the number of these, and its words in order."""
     joined = bodies.join(kept, "chunk_id", "left").withColumn("compounds", F.coalesce("compounds", F.array().cast("array<string>")))
     whole = lambda x, c: x["left"].isNotNull() & (x["soft"] | ~F.array_contains(c, _dashed(x)))
     piece = lambda x, c: F.concat(F.when(whole(x, c), F.regexp_replace(x["t"], r"[-\x{00AD}]$", "")).otherwise(x["t"]), F.when(x["left"].isNotNull(), "").otherwise(x["separator"]))
     c = F.col("compounds")
-    return joined.select("chunk_id", F.array_join(F.transform("pieces", lambda x: piece(x, c)), "").alias("text"), F.size(F.filter("pieces", lambda x: whole(x, c))).alias("hyphens"), "header", "page_number")
+    made = joined.select("chunk_id", F.array_join(F.transform("pieces", lambda x: piece(x, c)), "").alias("text"), F.size(F.filter("pieces", lambda x: whole(x, c))).alias("hyphens"), "header", "page_number")
+    return made_once(made, tokens=F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)))
 
 
 def corrections(reflowed: DataFrame, stage=lambda df: df) -> DataFrame:
@@ -167,7 +170,7 @@ def corrections(reflowed: DataFrame, stage=lambda df: df) -> DataFrame:
     Words are grouped by skeleton over the whole corpus. A form of a group may stand for another if it is RARER times as frequent, or RARER_MIXED times for forms that mix letters with digits or signs. In its
     place the form is chosen that follows the word before most often elsewhere in the corpus, then the most frequent; forms that are not mixed need such support, as they may be words of their own.
     """
-    tokens = F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))
+    tokens = F.col("tokens")
     counted = reflowed.select(F.explode(tokens).alias("form")).groupBy(F.lower("form").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     has_letter = F.col("word").rlike(r"\p{L}{2}")
     # codes and numbers are no words: letters must prevail
@@ -206,7 +209,7 @@ def repair(chunks: DataFrame, stage=lambda df: df) -> Scanned:
 def repaired_text(done: Scanned) -> DataFrame:
     """(chunk_id, text, n_fixed): continuous paragraphs with misread words put right, each word once, whatever comes out for it."""
     per = done.fixes.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("bad", "good"))).alias("fixes"))
-    tokens, between = F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)), F.split("text", _TOKEN, -1)
+    tokens, between = F.col("tokens"), F.split("text", _TOKEN, -1)
     put = F.transform(tokens, lambda x: F.coalesce(F.element_at("fixes", x), x))
     fixed = F.array_join(F.zip_with(between, put, lambda b, x: F.concat(b, F.coalesce(x, F.lit("")))), "")
     joined = done.reflowed.join(per, "chunk_id", "left")
