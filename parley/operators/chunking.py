@@ -25,25 +25,45 @@ def formatted_block(kind: Column, text: Column) -> Column:
     )
 
 
-def sections(blocks: DataFrame) -> DataFrame:
+def sections(blocks: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Adds section_no to blocks (doc_id, ord, type, ...): one more at each heading; what stands before the first heading is section 0. Long documents are numbered in stretches."""
-    marked = blocks.withColumn("__stretch", F.floor(F.col("ord") / STRETCH))
+    marked = blocks.withColumn("__stretch", F.floor(F.col("ord") / stretch))
     return blocked_running_sum(marked, ["doc_id"], "__stretch", ["ord"], F.when(F.col("type") == "section_heading", 1).otherwise(0), "section_no").drop("__stretch")
 
 
-def section_chunks(blocks: DataFrame) -> DataFrame:
-    """One row per section of blocks with section_no: text, pages, block count, histogram of types, ids in order."""
+def section_chunks(blocks: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """One row per section of blocks with section_no: text, pages, block count, histogram of types, ids in order. A section that runs through several stretches of a document, as one without headings may, comes out as so many ordered parts (part_no from 0), so that no row holds more than a stretch."""
     item = F.struct("ord", formatted_block(F.col("type"), F.col("text")).alias("t"), F.col("block_id").alias("id"), "type")
-    grouped = blocks.groupBy("doc_id", "section_no").agg(F.array_sort(F.collect_list(item)).alias("items"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.count(F.lit(1)).alias("block_count"))
+    grouped = blocks.groupBy("doc_id", "section_no", F.floor(F.col("ord") / stretch).alias("__stretch")).agg(F.array_sort(F.collect_list(item)).alias("items"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.count(F.lit(1)).alias("block_count"))
+    first = blocks.groupBy("doc_id", "section_no").agg(F.min(F.floor(F.col("ord") / stretch)).alias("__first"))
     kinds = F.array_distinct(F.transform("items", lambda x: x["type"]))
-    return grouped.select(
-        "doc_id", "section_no", "page_start", "page_end", "block_count",
+    return grouped.join(first, ["doc_id", "section_no"]).select(
+        "doc_id", "section_no", (F.col("__stretch") - F.col("__first")).cast("int").alias("part_no"), "page_start", "page_end", "block_count",
         F.array_join(F.filter(F.transform("items", lambda x: x["t"]), lambda t: t != ""), "\n\n").alias("text"),
         F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter("items", lambda x: x["type"] == k)))).alias("block_types"),
         F.transform("items", lambda x: x["id"]).alias("source_block_ids"),
     )
 
 
+def section_extracts(chunks: DataFrame, most: int = 12000, stretch: int = STRETCH) -> DataFrame:
+    """(doc_id, section, extract): the text of each section, or where it is longer than most characters its head and its tail.
+
+    Lengths are summed in stretches of order first; only chunks that reach into the head or the tail are brought together, so that a section with most of the rows is no large value.
+    """
+    half = most // 2
+    text = F.coalesce("text", F.lit(""))
+    sized = chunks.select("doc_id", "section", "ord", "chunk_id", text.alias("t"), (F.length(text) + 2).alias("__n"), F.floor(F.coalesce("ord", F.lit(0)) / stretch).alias("__stretch"))
+    summed = blocked_running_sum(sized, ["doc_id", "section"], "__stretch", ["ord", "chunk_id"], F.col("__n"), "__end")
+    totals = sized.groupBy("doc_id", "section").agg((F.sum("__n") - 2).alias("__total"))
+    near = summed.join(totals, ["doc_id", "section"]).withColumn("__begin", F.col("__end") - F.col("__n"))
+    head, tail = F.col("__begin") < half + 2, F.col("__end") > F.col("__total") - half - 2
+    item = F.struct("ord", "chunk_id", "t")
+    kept = near.where(head | tail).groupBy("doc_id", "section").agg(F.first("__total").alias("total"), F.array_sort(F.collect_list(F.when(head, item))).alias("heads"), F.array_sort(F.collect_list(F.when(tail, item))).alias("tails"), F.array_sort(F.collect_list(item)).alias("all"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x["t"]), "\n\n")
+    extract = F.when(F.col("total") <= most, joined("all")).otherwise(F.concat(F.substring(joined("heads"), 1, half), F.lit("\n[...]\n"), F.right(joined("tails"), F.lit(half))))
+    return kept.select("doc_id", "section", extract.alias("extract"))
+
+
 def floor_groups(chunks: DataFrame, doc: str = "doc_id", ord_: str = "ord", tokens: str = "token_count", floor: int = FLOOR) -> DataFrame:
     """Adds group_no: a chunk below the floor joins the group before it, the first of a document stays. Null sizes count as 0."""
     size = F.coalesce(F.col(tokens), F.lit(0))
@@ -60,13 +80,24 @@ def merged_groups(grouped: DataFrame, doc: str = "doc_id", ord_: str = "ord") ->
     return g.select(doc, "group_no", F.element_at("items", 1)["chunk_id"].alias("chunk_id"), F.element_at("items", 1)["page_start"].alias("page_start"), "page_end", text.alias("text"), size_estimate(text).alias("token_count"), F.transform("items", lambda x: x["chunk_id"]).alias("merged_from"))
 
 
-def linked(chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
+def linked(chunks: DataFrame, doc: str = "doc_id", stretch: int = STRETCH) -> DataFrame:
     """Adds prev_id and next_id by ord, then chunk_id, within the document."""
-    marked = chunks.withColumn("__stretch", F.floor(F.coalesce("ord", F.lit(0)) / STRETCH))
+    marked = chunks.withColumn("__stretch", F.floor(F.coalesce("ord", F.lit(0)) / stretch))
     back = blocked_lag(marked, [doc], "__stretch", ["ord", "chunk_id"], F.col("chunk_id"), "prev_id")
     return blocked_lag(back, [doc], "__stretch", ["ord", "chunk_id"], F.col("chunk_id"), "next_id", ahead=True).drop("__stretch")
 
 
+def refined_pieces(folds: DataFrame, budget: int = OVERLAP) -> DataFrame:
+    """(chunk_id, source_chunk_id, doc_id, ord, part, text, overlap_sentences): the pieces of chunks with sentences, sizes and cuts (each after so many sentences). A piece repeats the sentences before its cut that fit the budget; a chunk without cuts stays as it is."""
+    bounds = F.concat(F.array(F.lit(0)), F.col("cuts"), F.array(F.size("sentences")))
+    parts = folds.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda k: F.struct(F.get(bounds, k).alias("a"), F.get(bounds, k + 1).alias("b")))).alias("part", "x"))
+    back = F.when(F.col("part") > 0, trailing_overlap(F.col("sizes"), F.col("x.a"), budget)).otherwise(0).cast("int")
+    told = parts.withColumn("overlap_sentences", back)
+    text = F.array_join(F.slice("sentences", F.col("x.a") - F.col("overlap_sentences") + 1, F.col("x.b") - F.col("x.a") + F.col("overlap_sentences")), " ")
+    name = F.when(F.size("cuts") > 0, F.concat_ws("#", "chunk_id", F.col("part").cast("string"))).otherwise(F.col("chunk_id"))
+    return told.select(name.alias("chunk_id"), F.col("chunk_id").alias("source_chunk_id"), "doc_id", "ord", "part", text.alias("text"), "overlap_sentences")
+
+
 def greedy_groups(sims: Column, tokens: Column, least: int = SEMANTIC_MIN, most: int = SEMANTIC_MAX, weak: float = BREAK, strong: float = STRONG_BREAK, strong_least: int = STRONG_MIN) -> Column:
     """Number of the group of each sentence, from the similarities of neighbours and the sentence sizes of one section.
 

@@ -28,25 +28,38 @@ def recent_turns(turns: DataFrame, n: int) -> DataFrame:
 
 
 def speaker_runs(turns: DataFrame) -> DataFrame:
-    """(session, run_no, role, text, n_turns, first_id): consecutive turns of one role make one, their texts joined by blanks."""
+    """(session, run_no, part_no, role, text, n_turns, first_id): consecutive turns of one role make one, their texts joined by blanks. A run that goes on through several blocks of time comes out as so many ordered parts (part_no from 0), so that no row holds more than a block."""
     seen = blocked_lag(turns, ["session"], "block", ["time", "id"], F.col("role"), "before")
     starts = seen.withColumn("start", F.when(F.col("before").isNull() | (F.col("before") != F.col("role")), 1).otherwise(0))
     numbered = blocked_running_sum(starts, ["session"], "block", ["time", "id"], F.col("start"), "run_no")
     items = F.array_sort(F.collect_list(F.struct("time", "id", "text")))
-    return numbered.groupBy("session", "run_no", "role").agg(F.array_join(F.transform(items, lambda x: x["text"]), " ").alias("text"), F.count(F.lit(1)).alias("n_turns"), F.min_by("id", F.struct("time", "id")).alias("first_id"))
+    parts = numbered.groupBy("session", "block", "run_no", "role").agg(F.array_join(F.transform(items, lambda x: x["text"]), " ").alias("text"), F.count(F.lit(1)).alias("n_turns"), F.min_by("id", F.struct("time", "id")).alias("first_id"))
+    return _in_parts(parts, numbered, "run_no").select("session", "run_no", "part_no", "role", "text", "n_turns", "first_id")
+
+
+def _in_parts(parts: DataFrame, rows: DataFrame, number: str) -> DataFrame:
+    """Adds part_no: the place of each part's block among those of its run. Blocks of runs with several are small rows; most runs have one."""
+    several = rows.groupBy("session", number).agg(F.min("block").alias("__low"), F.max("block").alias("__high")).where("__low < __high").select("session", number)
+    blocks = parts.select("session", number, "block").join(several, ["session", number], "left_semi")
+    placed = blocks.withColumn("__part", F.row_number().over(Window.partitionBy("session", number).orderBy("block")) - 1)
+    return parts.join(placed, ["session", number, "block"], "left").withColumn("part_no", F.coalesce("__part", F.lit(0)))
 
 
 def question_turns(turns: DataFrame) -> DataFrame:
-    """(session, turn_no, customer, assistant, worker): a customer's turn opens one; of the assistant's texts the last counts, those of workers are joined by lines. What comes before the first customer turn is turn 0."""
+    """(session, turn_no, part_no, customer, assistant, worker): a customer's turn opens one; of the assistant's texts the last counts, those of workers are joined by lines. What comes before the first customer turn is turn 0.
+
+    A turn that goes on through several blocks of time comes out as so many ordered parts, each with what is said in its block.
+    """
     opened = F.when(F.col("role") == "Customer", 1).otherwise(0)
     numbered = blocked_running_sum(turns, ["session"], "block", ["time", "id"], opened, "turn_no")
     place = F.struct("time", "id")
     workers = F.array_sort(F.collect_list(F.when(F.col("role") == "Worker", F.struct("time", "id", "text"))))
-    return numbered.groupBy("session", "turn_no").agg(
+    parts = numbered.groupBy("session", "block", "turn_no").agg(
         F.coalesce(F.max(F.when(F.col("role") == "Customer", F.col("text"))), F.lit("")).alias("customer"),
         F.coalesce(F.max_by("text", F.when(F.col("role") == "Assistant", place)), F.lit("")).alias("assistant"),
         F.array_join(F.transform(workers, lambda x: x["text"]), "\n").alias("worker"),
     )
+    return _in_parts(parts, numbered, "turn_no").select("session", "turn_no", "part_no", "customer", "assistant", "worker")
 
 
 def summary_points(turns: DataFrame, every: int = SUMMARY_EVERY) -> DataFrame:
@@ -55,10 +68,11 @@ def summary_points(turns: DataFrame, every: int = SUMMARY_EVERY) -> DataFrame:
     return counted.where((F.col("customer_turns") >= every) & (F.col("customer_turns") % every == 0)).select("session", "id", "customer_turns")
 
 
-def previous_sessions(summaries: DataFrame, user: str = "user_id", session: str = "session", at: str = "created_at") -> DataFrame:
-    """Adds previous_session: of the same user, the latest other session that began before. summaries has a row for each user and session. Null users have none."""
-    w = Window.partitionBy(user).orderBy(at, session)
-    return summaries.withColumn("previous_session", F.when(F.col(user).isNotNull(), F.lag(session).over(w)))
+def previous_sessions(summaries: DataFrame, user: str = "user_id", session: str = "session", at: str = "created_at", stretch: float = 4096.0) -> DataFrame:
+    """Adds previous_session: of the same user, the latest other session that began before. summaries has a row for each user and session. Null users have none. A busy user's sessions are ordered in stretches of at."""
+    known = summaries.where(F.col(user).isNotNull()).withColumn("__stretch", F.floor(F.col(at) / stretch))
+    seen = blocked_lag(known, [user], "__stretch", [at, session], F.col(session), "previous_session").drop("__stretch")
+    return seen.unionByName(summaries.where(F.col(user).isNull()).withColumn("previous_session", F.lit(None).cast("string")))
 
 
 def merge_partials(partials: Column) -> Column:

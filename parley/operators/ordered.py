@@ -44,3 +44,8 @@ def blocked_running_sum(df: DataFrame, keys: list[str], block: str, order: list[
         .select(*keys, block, "__carried")
     )
     return df.withColumn("__inner_sum", F.sum(amount).over(inner)).join(edges, [*keys, block]).withColumn(out, F.col("__inner_sum") + F.coalesce("__carried", F.lit(0))).drop("__inner_sum", "__carried")
+
+
+def made_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later steps may read, or filter by, any number of times: a generated row is made before them, where a mere projection would be written into every use."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__made")).select("*", *[F.col(f"__made.{n}") for n in columns]).drop("__made")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions.speakers import ASSISTANT_NAMES, CUSTOMER_NAMES, WORKER_NAMES, epoch_seconds, session_key, speaker_role, workflow_target
 from parley.functions.text import echo_words
 from parley.operators import conversation, signals, storage
-from parley.operators.ordered import blocked_lag
+from parley.operators.ordered import blocked_lag, blocked_running_sum
 from parley.session import table
 
 DAY = 86400.0
@@ -33,12 +33,12 @@ def recent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def speaker_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation.speaker_runs(_turns(spark, sf_dir)).select("session", "run_no", "role", "n_turns", "first_id", F.md5("text").alias("text_md5"))
+    return conversation.speaker_runs(_turns(spark, sf_dir)).select("session", "run_no", "part_no", "role", "n_turns", "first_id", F.md5("text").alias("text_md5"))
 
 
 def qa_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = conversation.question_turns(_turns(spark, sf_dir))
-    return made.select("session", "turn_no", F.md5("customer").alias("customer_md5"), F.md5("assistant").alias("assistant_md5"), F.md5("worker").alias("worker_md5"))
+    return made.select("session", "turn_no", "part_no", F.md5("customer").alias("customer_md5"), F.md5("assistant").alias("assistant_md5"), F.md5("worker").alias("worker_md5"))
 
 
 def summary_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def current_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every question whose id is divisible by 50, the latest earlier run of any user with the same question in the seven days of ids before."""
+    """For every question whose id is divisible by 50, the latest earlier run of any user with the very same question; similar ones of a session are found by similar_cache."""
     states = table(spark, sf_dir, "live_assist_state").select("state_id", F.lower(F.trim("question")).alias("q"), "route").where("q is not null")
     asked = states.where("state_id % 50 = 0").select(F.col("state_id").alias("query_id"), "q")
     stored = states.where("route = 'rag_answer'").select(F.col("state_id").alias("entry_id"), "q")
@@ -143,9 +143,12 @@ def event_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of each user: events less than six hours apart."""
-    e = _events(spark, sf_dir)
-    return e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("started_at"), "n")
+    """Sessions of each user: events less than six hours apart. A busy user's events are ordered by day."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.to_date("ts").alias("day"))
+    seen = blocked_lag(e, ["user_id"], "day", ["ts", "event_id"], F.col("ts"), "before")
+    apart = F.when(F.col("before").isNull() | (F.col("ts") >= F.col("before") + F.expr("INTERVAL 6 HOURS")), 1).otherwise(0)
+    numbered = blocked_running_sum(seen, ["user_id"], "day", ["ts", "event_id"], apart, "no")
+    return numbered.groupBy("user_id", "no").agg(F.min("ts").alias("started_at"), F.count(F.lit(1)).alias("n")).select("user_id", "started_at", "n")
 
 
 def event_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,10 +192,12 @@ SQL = {
     "recent_turns": f"WITH {_T} SELECT session, id, role, recency::INT AS recency FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY time DESC, id DESC) AS recency FROM t) WHERE recency <= 5",
     "speaker_runs": f"""WITH {_T}, l AS (SELECT *, lag(role) OVER w AS before FROM t WINDOW w AS (PARTITION BY session ORDER BY time, id)),
         n AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> role THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY time, id) AS run_no FROM l)
-        SELECT session, run_no::BIGINT AS run_no, role, count(*) AS n_turns, arg_min(id, (time, id)) AS first_id, md5(string_agg(text, ' ' ORDER BY time, id)) AS text_md5 FROM n GROUP BY session, run_no, role""",
+        SELECT session, run_no::BIGINT AS run_no, (row_number() OVER (PARTITION BY session, run_no ORDER BY block) - 1)::INT AS part_no, role, n_turns, first_id, text_md5
+        FROM (SELECT session, run_no, floor(time / 21600) AS block, role, count(*) AS n_turns, arg_min(id, (time, id)) AS first_id, md5(string_agg(text, ' ' ORDER BY time, id)) AS text_md5 FROM n GROUP BY 1, 2, 3, 4)""",
     "qa_turns": f"""WITH {_T}, n AS (SELECT *, sum(CASE WHEN role = 'Customer' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY time, id) AS turn_no FROM t)
-        SELECT session, turn_no::BIGINT AS turn_no, md5(coalesce(max(text) FILTER (role = 'Customer'), '')) AS customer_md5, md5(coalesce(arg_max(text, (time, id)) FILTER (role = 'Assistant'), '')) AS assistant_md5,
-               md5(coalesce(string_agg(text, chr(10) ORDER BY time, id) FILTER (role = 'Worker'), '')) AS worker_md5 FROM n GROUP BY session, turn_no""",
+        SELECT session, turn_no::BIGINT AS turn_no, (row_number() OVER (PARTITION BY session, turn_no ORDER BY block) - 1)::INT AS part_no, customer_md5, assistant_md5, worker_md5
+        FROM (SELECT session, turn_no, floor(time / 21600) AS block, md5(coalesce(max(text) FILTER (role = 'Customer'), '')) AS customer_md5, md5(coalesce(arg_max(text, (time, id)) FILTER (role = 'Assistant'), '')) AS assistant_md5,
+               md5(coalesce(string_agg(text, chr(10) ORDER BY time, id) FILTER (role = 'Worker'), '')) AS worker_md5 FROM n GROUP BY 1, 2, 3)""",
     "summary_points": f"""WITH {_T}, c AS (SELECT session, id, row_number() OVER (PARTITION BY session ORDER BY time, id) AS customer_turns FROM t WHERE role = 'Customer')
         SELECT * FROM c WHERE customer_turns >= 5 AND customer_turns % 5 = 0""",
     "running_products": f"""WITH f AS (SELECT {_SESSION} AS session, product, min(({_TIME}, id)) AS first_at FROM transcript_turns WHERE product IS NOT NULL AND trim(product) <> '' GROUP BY 1, 2)
