@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import keyword_tokens, normalized, penalized, section_label, size_estimate
+from parley.operators.ordered import made_once
 
 # Fixed values of fusion and of the context.
 RRF_K = 60
@@ -76,7 +77,7 @@ def budgeted_context(ranked: DataFrame, query_key: str = "query_id", budget: int
 
     def unlike(kept: Column, c: Column) -> Column:
         near = lambda x: (x["sig"] == c["sig"]) | (x["chunk_id"] == c["chunk_id"]) | (
-            (x["doc"] == c["doc"]) & (F.abs(x["page"] - c["page"]) <= 1) & (F.size(F.array_intersect(x["words"], c["words"])) > NEAR_DUPLICATE * F.size(F.array_union(x["words"], c["words"])))
+            (x["doc"] == c["doc"]) & (F.abs(x["page"] - c["page"]) <= 1) & (F.size(F.array_intersect(x["words"], c["words"])) > NEAR_DUPLICATE * (F.size(x["words"]) + F.size(c["words"]) - F.size(F.array_intersect(x["words"], c["words"]))))
         )
         return ~F.exists(kept, near)
 
@@ -91,4 +92,4 @@ def budgeted_context(ranked: DataFrame, query_key: str = "query_id", budget: int
         return F.when((F.size(acc) < most) & (same_doc < per_doc) & fits, F.concat(acc, F.array(capped))).otherwise(acc)
 
     chosen = F.aggregate("unique", F.array().cast(kept_type), pick)
-    return pool.withColumn("unique", unique).select(query_key, F.posexplode(chosen).alias("position", "c")).select(query_key, (F.col("position") + 1).alias("position"), "c.chunk_id", F.col("c.tokens").alias("context_tokens"), "c.score")
+    return made_once(made_once(pool, unique=unique), chosen=chosen).select(query_key, F.posexplode("chosen").alias("position", "c")).select(query_key, (F.col("position") + 1).alias("position"), "c.chunk_id", F.col("c.tokens").alias("context_tokens"), "c.score")

@@ -175,6 +175,7 @@ def _knn_sql(k: int, where: str = "") -> str:
     """
 
 
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, k)"
 _REFERENCE = r"""
     ((CASE WHEN len(list_filter(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '(?:19|20)\d{2}'))) >= 4 THEN 1 ELSE 0 END)
@@ -233,4 +234,20 @@ SQL = {
     "adjacent_similarity": """
         WITH n AS (SELECT label, vec_id, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nx FROM embeddings)
         SELECT label, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], nx::DOUBLE[]), 5) AS similarity FROM n WHERE nx IS NOT NULL""",
+    "context_budget": rf"""WITH RECURSIVE {_bm25_sql('bm25_docs', 'chunk_id', _Q)},
+        c AS (SELECT * FROM (SELECT query_id, k, round(score, 6) AS score, {_TOP} AS rank FROM scored) WHERE rank <= 20),
+        x AS (SELECT c.query_id, c.score, b.*, coalesce(nullif(doc_id, ''), source_filename, '') AS doc, coalesce(page_start, 0) AS page,
+                     '[Chunk 1 | prose score=0.000] file=' || coalesce(source_filename, doc_id, '') || ' pages=' || coalesce(page_start::VARCHAR, 'None') || '-' || coalesce(page_end::VARCHAR, 'None') || ' section='
+                     || coalesce(nullif(array_to_string(list_filter(section_path, lambda p: p IS NOT NULL AND p <> ''), ' > '), ''), 'Unknown') || chr(10) || {_NORMAL} AS block,
+                     list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}\p{{M}}_]+')) AS ws, left(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\p{{M}}_]+', ' ', 'g')), 400) AS sig
+              FROM c JOIN bm25_docs b ON b.chunk_id = c.k),
+        i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY -score, coalesce(source_filename, ''), page, chunk_id) AS r, len(regexp_extract_all(block, '[\p{{L}}\p{{N}}\p{{M}}_]+|[^\s\p{{L}}\p{{N}}\p{{M}}_]')) AS tokens FROM x),
+        e AS (SELECT b.query_id, b.r, list(a.r) AS near FROM i a JOIN i b ON a.query_id = b.query_id AND a.r < b.r AND (a.sig = b.sig OR (a.doc = b.doc AND abs(a.page - b.page) <= 1 AND len(list_intersect(a.ws, b.ws)) > 0.82 * len(list_distinct(list_concat(a.ws, b.ws))))) GROUP BY 1, 2),
+        j AS (SELECT i.query_id, i.r, coalesce(near, []) AS near FROM i LEFT JOIN e ON e.query_id = i.query_id AND e.r = i.r),
+        u AS (SELECT query_id, r, [r] AS kept FROM j WHERE r = 1 UNION ALL SELECT j.query_id, j.r, CASE WHEN len(list_intersect(kept, near)) = 0 THEN list_append(kept, j.r) ELSE kept END FROM u JOIN j ON j.query_id = u.query_id AND j.r = u.r + 1),
+        o AS (SELECT query_id, unnest(kept) AS r, generate_subscripts(kept, 1) AS pos FROM (SELECT query_id, arg_max(kept, r) AS kept FROM u GROUP BY 1)),
+        t AS (SELECT o.query_id, pos, chunk_id, tokens, score FROM o JOIN i ON i.query_id = o.query_id AND i.r = o.r),
+        p AS (SELECT query_id, pos, 1 AS n, true AS taken, least(tokens, 2800) AS own, least(tokens, 2800) AS used FROM t WHERE pos = 1 UNION ALL
+              SELECT t.query_id, t.pos, CASE WHEN n < 6 AND used + tokens <= 2800 THEN n + 1 ELSE n END, n < 6 AND used + tokens <= 2800, tokens, CASE WHEN n < 6 AND used + tokens <= 2800 THEN used + tokens ELSE used END FROM p JOIN t ON t.query_id = p.query_id AND t.pos = p.pos + 1)
+        SELECT p.query_id, n::INT AS position, chunk_id, own::INT AS context_tokens, score FROM p JOIN t ON t.query_id = p.query_id AND t.pos = p.pos WHERE taken""",
 }
