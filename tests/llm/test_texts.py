@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.llm import languages as L, pairs, personal as P, personal_examples as X, scanned as S
+from parley.session import cut
 
 NAMES = P.Gazetteer({"marta": "given", "june": "given", "will": "given", "rose": "given", "jamal": "given", "ingrid": "given", "anna": "given", "peter": "given", "luis": "given", "carla": "given", "rahul": "given", "sofia": "given", "henri": "given", "okafor": "family", "lindqvist": "family", "duarte": "family", "tomas": "given", "priya": "given", "veiltez": "family", "nevik": "family", "sharma": "family", "keller": "family", "moreau": "family"})
 
@@ -192,7 +193,7 @@ def test_defects_are_made_once(spark):
 
 
 def test_scanned(spark):
-    done = S.repair(scans(spark), lambda df: df.cache())
+    done = S.repair(scans(spark), cut)
     got = {(r.chunk_id, r.kind) for r in S.found(done).collect()}
     assert {("c0", "hyphen"), ("c0", "header"), ("c0", "page_number"), ("c1", "chars"), ("c5", "header"), ("c5", "page_number")} <= got
     assert not {("c1", "hyphen"), ("c1", "header"), ("c5", "chars"), ("c5", "hyphen")} & got
@@ -206,14 +207,14 @@ def test_misread_words_are_put_right_once_and_by_context(spark):
     """A form that what comes out for another word looks like is left alone; of two frequent forms of one skeleton the one that follows the word before is chosen."""
     rows = [(f"c{k}", "d", f"we met the clerk in the room and saw a modem device on page {k}.", 0, 0) for k in range(12)] + [(f"d{k}", "d", f"this is the modern house of number {k}.", 0, 0) for k in range(12)]
     rows += [("x", "d", "this is the m0dem house. we saw a m0dem device.", 0, 0), ("y", "d", None, 0, 0)]
-    done = S.repair(spark.createDataFrame(rows, "chunk_id string, doc_id string, text string, page_start int, page_end int"), lambda df: df.cache())
+    done = S.repair(spark.createDataFrame(rows, "chunk_id string, doc_id string, text string, page_start int, page_end int"), cut)
     fixed = {r.chunk_id: r.text for r in S.repaired_text(done).collect()}
     assert fixed["c3"] == "we met the clerk in the room and saw a modem device on page 3." and fixed["d4"] == "this is the modern house of number 4."
     assert fixed["x"].count("m0dem") == 0 and "y" not in fixed
 
 
 def test_scanned_empty(spark):
-    done = S.repair(scans(spark).limit(0))
+    done = S.repair(scans(spark).limit(0), cut)
     assert S.found(done).count() == 0 and S.repaired_text(done).count() == 0
 
 
@@ -221,5 +222,5 @@ def test_scanned_many_headers(spark):
     names = "Amber Birch Cedar Delta Ember Fjord Grove Heron".split()
     rows = [(f"c{k:02d}", "d", None, f"Chapter Of {names[k // 5]} Matters\n\nThe service centre number {k} is open.", k + 1, k + 1) for k in range(40)]
     rows += [(f"n{k}", None, "m" if k < 2 else f"m{k}", f"{'Minor Plan Notes' if k < 2 else 'Text'}\n\nThe offer number {k} ends.", k + 1, k + 1) for k in range(20)]
-    done = S.repair(spark.createDataFrame(rows, "chunk_id string, doc_id string, document_id string, text string, page_start int, page_end int"), lambda df: df.cache())
+    done = S.repair(spark.createDataFrame(rows, "chunk_id string, doc_id string, document_id string, text string, page_start int, page_end int"), cut)
     assert {r.chunk_id for r in S.found(done).where("kind = 'header'").collect()} == {f"c{k:02d}" for k in range(40)} | {"n0", "n1"}
