@@ -11,7 +11,7 @@ from parley.functions.speakers import session_key
 from parley.operators import chunking, conversation, filters, layout, lexical, signals, storage
 from parley.operators.ordered import blocked_lag
 from parley.plans.records import _ONCE, _chunks
-from parley.session import shared_folder, table
+from parley.session import scratch, table
 from parley.sources import readers, sinks
 
 #: Pages hold so many paragraphs of so many points, one below the other; the tables have no boxes.
@@ -162,7 +162,7 @@ def audio_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks written as tables by document and read again in the form that later steps share."""
-    folder = f"{shared_folder(spark)}/chunks-{abs(hash(sf_dir))}"
+    folder = scratch(spark, "chunks")
     sinks.write_partitioned(_chunks(spark, sf_dir).select("chunk_id", F.coalesce("doc_id", F.lit("(none)")).alias("doc"), "doc_id", "document_id", "text", "section_path", "page_start", "page_end", "ord"), folder, ["doc"], 4)
     read = readers.normalize_chunks(spark.read.parquet(folder))
     return read.select("chunk_id", "doc_id", F.md5("text").alias("text_md5"), F.md5("indexed_text").alias("indexed_md5"), F.size("section_path").alias("depth"), "page_start", "page_end")
@@ -170,7 +170,7 @@ def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keyword index written as tables and read again: postings and occurrences of each term."""
-    folder = f"{shared_folder(spark)}/index-{abs(hash(sf_dir))}"
+    folder = scratch(spark, "index")
     sinks.write_index(table(spark, sf_dir, "bm25_docs"), folder, "chunk_id", "text", 8)
     return spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
 
@@ -213,7 +213,7 @@ def similar_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of all turns, found by a stream that reads the table once and forgets nothing; late copies are dropped."""
-    folder = f"{shared_folder(spark)}/stream-{abs(hash(sf_dir))}-{spark.sparkContext.applicationId}"
+    folder = scratch(spark, "stream")
     source = spark.readStream.schema(table(spark, sf_dir, "transcript_turns").schema).option("pathGlobFilter", "transcript_turns.parquet").parquet(sf_dir)
     sessions = source.select(session_key(F.col("session_id")).alias("session")).dropDuplicates(["session"])
     sessions.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()

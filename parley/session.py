@@ -29,24 +29,31 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Only a session on one machine may do without, as in tests: it gets a folder of its own, once. A cluster without a shared folder is an error."""
+    """The cluster's ``spark.checkpoint.dir``, or the folder that the program has set. Only a session on one machine may do without, as in tests: it gets a folder of its own, once. A cluster without a shared folder is an error."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or _OWN.get(context.applicationId)
     if folder:
         return folder
+    if (given := context.getCheckpointDir()) is not None:
+        return given
     if not context.master.startswith("local"):
         raise RuntimeError("steps are written to a folder that all executors reach: set spark.checkpoint.dir")
     return _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table to the shared folder and reads it from there, which cuts the lineage, keeps columns apart and tells the planner how large the step is. The table is deleted when the application ends."""
-    spark = df.sparkSession
-    where = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    where = scratch(df.sparkSession, "step")
     df.write.parquet(where)
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

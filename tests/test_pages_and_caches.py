@@ -79,6 +79,9 @@ def test_steps_need_a_shared_folder_on_a_cluster(spark):
         def getConf(self):
             return {}
 
+        def getCheckpointDir(self):
+            return None
+
     class Session:
         sparkContext = Context()
 
