@@ -25,6 +25,8 @@ WORDS_PER_COLUMN = 48
 FAN, PAIRS_AT_ONCE = 8, 10_000
 #: A prefix group that may hold more records is cut into blocks, of which every two meet in a task of their own.
 BLOCK = 8192
+#: Keys of candidates that are broadcast, in bytes as written.
+KEY_BYTES = 8 << 20
 _WORD = re.compile(r"\w+")
 
 
@@ -322,8 +324,10 @@ def similar_pairs(docs: DataFrame, key: str = "chunk_id", text: str = "text", th
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     )
     ends = cut(named).select("a", "b", F.explode(F.array("a", "b")).alias("key"))
-    # the written keys have a known size in bytes, by which Spark decides whether they are sent to the texts or both sides meet by key
-    near = base.join(cut(ends.select("key").distinct()), "key", "left_semi")
+    # the written keys have a known size in bytes: few are sent to the texts, else both sides meet by key
+    keys = cut(ends.select("key").distinct())
+    few = int(keys._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= KEY_BYTES
+    near = base.join(F.broadcast(keys) if few else keys, "key", "left_semi")
     texts = ends.join(near, "key").groupBy("a", "b").agg(F.min("text").alias("x"), F.max("text").alias("y"))
 
     @F.pandas_udf("double")

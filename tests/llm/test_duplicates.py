@@ -71,14 +71,10 @@ def test_traversal_loses_no_pair_and_prunes():
     assert len(levels[-1].low) == 1 and [len(r) for r in roots] == [0, 1, 0, 1]
 
 
-def test_without_broadcast(spark):
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        rows = make(4, 100)
-        got = D.found(spark.createDataFrame(rows, "chunk_id string, text string")).collect()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+def test_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(D, "KEY_BYTES", 0)
+    rows = make(4, 100)
+    got = D.found(spark.createDataFrame(rows, "chunk_id string, text string")).collect()
     assert sorted((r.chunk_id_a, r.chunk_id_b) for r in got) == brute(rows)
 
 
