@@ -15,7 +15,7 @@ SPOKEN_BIT = 16
 def final_turns(turns: DataFrame) -> DataFrame:
     """Folds the rows of one record (session, trace_id) by arrival into its final turn: session, id, speaker, raw_text, ts, turn_id, event.
 
-    The lowest id creates the turn. A later row with the same text is a retry and changes nothing; one with another text is an edit, of which the last counts; one whose text
+    The lowest id creates the turn. Later rows that all have its text are retries and change nothing; with another text among them the record is edited, and the last text counts, be it the first one again; one whose text
     is blank after a spoken one is a delete, which leaves the record's turn number but no text. Rows without trace_id stand for themselves. The turn keeps the time
     of its creation. Records are small; rows of one session are spread over all tasks by their trace.
     """
@@ -26,10 +26,12 @@ def final_turns(turns: DataFrame) -> DataFrame:
         F.min_by(F.struct("id", "speaker", "ts", "turn_id", F.col("raw_text").alias("first_text")), "id").alias("created"),
         F.max_by(F.struct(F.col("raw_text").alias("text")), "id").alias("last"),
         F.count(F.lit(1)).alias("versions"),
+        F.min(F.coalesce("raw_text", F.lit(""))).alias("low"),
+        F.max(F.coalesce("raw_text", F.lit(""))).alias("high"),
     )
     text, first = F.col("last.text"), F.col("created.first_text")
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    event = F.when(F.col("versions") == 1, "create").when(text.eqNullSafe(first), "retry").when(blank(text) & ~blank(first), "delete").otherwise("edit")
+    event = F.when(F.col("versions") == 1, "create").when(F.col("low") == F.col("high"), "retry").when(blank(text) & ~blank(first), "delete").otherwise("edit")
     return folded.select("session", "created.id", "created.speaker", "created.ts", "created.turn_id", text.alias("raw_text"), event.alias("event"))
 
 

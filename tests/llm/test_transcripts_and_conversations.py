@@ -115,8 +115,9 @@ def meta(trace, turn=None):
 
 def test_events_fold(spark):
     rows = [(1, "s", "Customer", "a", 1.0, meta("t", 1)), (2, "s", "Customer", "b", 2.0, meta("t", 1)), (3, "s", "Worker", "x", 3.0, meta("u", 2)), (4, "s", "Worker", "x", 3.0, meta("u", 2)), (5, "s", "Worker", "y", 4.0, meta("v", 3)), (6, "s", "Worker", " ", 5.0, meta("v", 3)), (7, None, None, None, None, None)]
+    rows += [(8, "s", "Worker", "p", 6.0, meta("w", 4)), (9, "s", "Worker", "q", 7.0, meta("w", 4)), (10, "s", "Worker", "p", 8.0, meta("w", 4))]
     got = {(r.session, r.id): (r.raw_text, r.event) for r in conversations.final_turns(turns(spark, rows)).collect()}
-    assert got == {("s", 1): ("b", "edit"), ("s", 3): ("x", "retry"), ("s", 5): (" ", "delete"), ("", 7): (None, "create")}
+    assert got == {("s", 1): ("b", "edit"), ("s", 3): ("x", "retry"), ("s", 5): (" ", "delete"), ("", 7): (None, "create"), ("s", 8): ("p", "edit")}
 
 
 def test_defects(spark):
