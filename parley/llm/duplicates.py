@@ -326,7 +326,7 @@ def similar_pairs(docs: DataFrame, key: str = "chunk_id", text: str = "text", th
     ends = cut(named).select("a", "b", F.explode(F.array("a", "b")).alias("key"))
     # the written keys have a known size in bytes: few are sent to the texts, else both sides meet by key
     keys = cut(ends.select("key").distinct())
-    few = int(keys._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= KEY_BYTES
+    few = int(str(keys._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= KEY_BYTES
     near = base.join(F.broadcast(keys) if few else keys, "key", "left_semi")
     texts = ends.join(near, "key").groupBy("a", "b").agg(F.min("text").alias("x"), F.max("text").alias("y"))
 
