@@ -11,7 +11,7 @@ from parley.functions.speakers import session_key
 from parley.operators import chunking, conversation, filters, layout, lexical, signals, storage
 from parley.operators.ordered import blocked_lag
 from parley.plans.records import _ONCE, _chunks
-from parley.session import scratch, table
+from parley.session import scratch, table, table_stream
 from parley.sources import readers, sinks
 
 #: Pages hold so many paragraphs of so many points, one below the other; the tables have no boxes.
@@ -214,10 +214,10 @@ def similar_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of all turns, found by a stream that reads the table once and forgets nothing; late copies are dropped."""
     folder = scratch(spark, "stream")
-    source = spark.readStream.schema(table(spark, sf_dir, "transcript_turns").schema).option("pathGlobFilter", "transcript_turns.parquet").parquet(sf_dir)
+    source = table_stream(spark, sf_dir, "transcript_turns")
     sessions = source.select(session_key(F.col("session_id")).alias("session")).dropDuplicates(["session"])
     sessions.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.schema(sessions.schema).parquet(f"{folder}/out")
 
 
 QUERIES = {

@@ -59,3 +59,11 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one of the given parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Stream over one of the given parquet tables, a folder of parts or a single file. Streams read folders, so that a file is read as what a pattern matches."""
+    where = f"{sf_dir}/{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    parts = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(where if parts else f"{sf_dir}/{name}.parque[t]")

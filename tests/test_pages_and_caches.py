@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from parley import session
 from parley.operators import chunking, conversation, layout, nearest, signals, storage
 from parley.operators.ordered import made_once
+from parley.plans import pages
 
 
 def _row(spark, *columns):
@@ -88,3 +89,12 @@ def test_steps_need_a_shared_folder_on_a_cluster(spark):
     with pytest.raises(RuntimeError):
         session.shared_folder(Session())
     assert session.cut(spark.range(4)).count() == 4 and session.cut(spark.range(0)).count() == 0
+
+
+def test_streamed_sessions_of_parts_and_of_a_file(spark, small, tmp_path):
+    turns = session.table(spark, small, "transcript_turns")
+    turns.repartition(3).write.parquet(f"{tmp_path}/parts/transcript_turns.parquet")
+    turns.limit(0).write.parquet(f"{tmp_path}/none/transcript_turns.parquet")
+    one = sorted(r.session for r in pages.streamed_sessions(spark, small).collect())
+    assert one and sorted(r.session for r in pages.streamed_sessions(spark, f"{tmp_path}/parts").collect()) == one
+    assert pages.streamed_sessions(spark, f"{tmp_path}/none").count() == 0
