@@ -58,6 +58,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
         keep = (value > -2.0).ravel()
         return pd.DataFrame({query_key: np.repeat(ids, top.shape[1])[keep], key: keys[top].ravel()[keep], "similarity": value.ravel()[keep]})
 
-    found = against(vectors.select(key, vector, *extra), key, queries.select(query_key, vector, *extra), query_key, n_blocks, prepare, best, f"{query_key} {qkind}, {key} {kind}, similarity double")
+    found = against(vectors.select(key, vector, *extra), key, queries.select(query_key, vector, *extra), query_key, n_blocks, prepare, lambda block, frames: (best(block, frame) for frame in frames), f"{query_key} {qkind}, {key} {kind}, similarity double")
     w = Window.partitionBy(query_key).orderBy(F.col("similarity").desc(), F.col(key))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -202,3 +202,21 @@ def test_layout(spark):
     assert table == "| a | b\\|c |\n| --- | --- |\n| 1 |  |"
     found = spark.range(1).select(layout.markdown_table(F.lit("x\n```\n| a |\n| - |\n```\ny")).alias("x")).first().x
     assert found == "| a |\n| - |"
+
+
+def test_bm25_keeps_the_best_of_a_whole_task(spark, monkeypatch):
+    """What a task returns does not grow with its records, however many batches and tiles they come in; ties go by key."""
+    docs = spark.range(600, numPartitions=2).select((599 - F.col("id")).alias("doc_id"), F.expr("'common word x' || char(97 + id % 11)").alias("text"))
+    queries = spark.range(9).select(F.col("id").alias("query_id"), F.expr("'common x' || char(97 + id)").alias("query"))
+    seen, against = [], lexical.against
+    monkeypatch.setattr(lexical, "against", lambda *a, **k: seen.append(against(*a, **k)) or seen[-1])
+    made = lexical.index(docs, "doc_id", "text")
+    got = lexical.bm25_best(made, queries, 3)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        assert seen[0].count() <= made.terms.rdd.getNumPartitions() * 9 * 3
+        best = {q: [r.doc_id for r in got.where(f"query_id = {q}").orderBy("rank").collect()] for q in (0, 8)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert best == {q: sorted(599 - i for i in range(600) if i % 11 == q)[:3] for q in (0, 8)}
