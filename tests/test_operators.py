@@ -220,3 +220,14 @@ def test_bm25_keeps_the_best_of_a_whole_task(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     assert best == {q: sorted(599 - i for i in range(600) if i % 11 == q)[:3] for q in (0, 8)}
+
+
+def test_best_of_tiles_as_brute_force():
+    r = np.random.default_rng(3)
+    score, keys = r.integers(0, 6, (5, 400)).astype(float), np.array([f"k{n:03d}" for n in r.permutation(400)], dtype=object)
+    kept = lexical._Best(5, 4)
+    for low in range(0, 400, 16):
+        order = low + np.argsort(keys[low : low + 16])
+        kept.tile(score[:, order], keys[order], 6)
+    kept.settle()
+    assert list(zip(kept.q.tolist(), (-kept.score).tolist(), kept.keys)) == [(q, *x) for q in range(5) for x in sorted((-s, k) for s, k in zip(score[q], keys) if s > 0)[:4]]
