@@ -102,7 +102,7 @@ def _prefix_lengths(n: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]
 
 
 def prefix_rows(docs: DataFrame, text: str, counts: np.ndarray, columns: int, t: Fraction) -> DataFrame:
-    """(token, pair, h1, h2, meta, s0...): a row for each of the rarest words of each set of words; meta is twice the number of words, and one more where the word counts for the smaller member.
+    """(token, pair, h1, h2, meta, s0...): a row for each of the rarest words of each set of words; meta is twice the number of words, and one more where the word counts for the smaller member, and in its upper half the words that are rarer.
 
     A set comes once a task, however many records have it. A word's group that may outgrow BLOCK is cut into blocks by digest; its rows come once for every other block.
     """
@@ -137,29 +137,30 @@ def prefix_rows(docs: DataFrame, text: str, counts: np.ndarray, columns: int, t:
             mine = (h1.view(np.uint64)[who] % blocks.astype(np.uint64)).astype(np.int64)[copies]
             who, at, where = who[copies], at[copies], where[copies]
             yield pd.DataFrame(
-                {"token": codes[at].view(np.int64), "pair": np.minimum(mine, other) * (1 << 31) + np.maximum(mine, other), "h1": h1[who], "h2": h2[who], "meta": (size[who] * 2 + (where < index[who])).astype(np.int32)}
+                {"token": codes[at].view(np.int64), "pair": np.minimum(mine, other) * (1 << 31) + np.maximum(mine, other), "h1": h1[who], "h2": h2[who], "meta": (where << 32) + size[who] * 2 + (where < index[who])}
                 | {c: v[who] for c, v in zip(sig, signs)}
             )
 
-    return docs.where(F.col(text).isNotNull()).select(text).mapInPandas(rows, "token long, pair long, h1 long, h2 long, meta int, " + ", ".join(f"{c} long" for c in sig))
+    return docs.where(F.col(text).isNotNull()).select(text).mapInPandas(rows, "token long, pair long, h1 long, h2 long, meta long, " + ", ".join(f"{c} long" for c in sig))
 
 
 @dataclass
 class Level:
-    """Nodes of one level of the trees of many groups, group by group: the OR of the bitmaps below, the range of sizes, and the most words that a record below has beyond the bits of its bitmap. Level 0 holds the records."""
+    """Nodes of one level of the trees of many groups, group by group: the OR of the bitmaps below, the range of sizes, the most words that a record below has beyond the bits of its bitmap, and the most that it has from the word of the group on. Level 0 holds the records."""
 
     union: np.ndarray
     low: np.ndarray
     high: np.ndarray
     slack: np.ndarray
+    rest: np.ndarray
     first_child: np.ndarray
     children: np.ndarray
 
 
-def trees(group: np.ndarray, size: np.ndarray, sig: np.ndarray) -> tuple[list[Level], list[np.ndarray]]:
+def trees(group: np.ndarray, size: np.ndarray, sig: np.ndarray, rest: np.ndarray | None = None) -> tuple[list[Level], list[np.ndarray]]:
     """The levels from the records up, and for each level the nodes that are roots; rows are in the order of groups. Every FAN neighbours of a group have a parent until the group has one node, its root, which stands at the level where that comes about."""
     none = np.empty(0, np.int64)
-    levels, roots = [Level(sig, size, size, size - np.bitwise_count(sig).sum(axis=1, dtype=np.int64), none, none)], [none]
+    levels, roots = [Level(sig, size, size, size - np.bitwise_count(sig).sum(axis=1, dtype=np.int64), size if rest is None else rest, none, none)], [none]
     open_ = np.arange(len(group))  # nodes of the last level whose group has more than one
     while len(open_):
         below, group = levels[-1], group[open_]
@@ -169,8 +170,8 @@ def trees(group: np.ndarray, size: np.ndarray, sig: np.ndarray) -> tuple[list[Le
         starts = np.flatnonzero(place % FAN == 0)
         levels.append(
             Level(
-                np.bitwise_or.reduceat(below.union[open_], starts, axis=0), np.minimum.reduceat(below.low[open_], starts), np.maximum.reduceat(below.high[open_], starts), np.maximum.reduceat(below.slack[open_], starts), open_[starts],
-                np.diff(np.append(starts, len(group))),
+                np.bitwise_or.reduceat(below.union[open_], starts, axis=0), np.minimum.reduceat(below.low[open_], starts), np.maximum.reduceat(below.high[open_], starts), np.maximum.reduceat(below.slack[open_], starts), np.maximum.reduceat(below.rest[open_], starts),
+                open_[starts], np.diff(np.append(starts, len(group))),
             )
         )
         group = group[starts]
@@ -181,12 +182,16 @@ def trees(group: np.ndarray, size: np.ndarray, sig: np.ndarray) -> tuple[list[Le
 
 
 def _may_meet(level: Level, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
-    """Which pairs of nodes may hold a similar pair. The sizes must allow it, and the overlap that is possible at most must reach the one that is needed at least: words that two records share set bits of both bitmaps, so there are no more of them than common bits and words beyond the bits of the record."""
+    """Which pairs of nodes may hold a similar pair. The sizes must allow it, and the overlap that is possible at most must reach the one that is needed at least: words that two records share set bits of both bitmaps, so there are no more of them than common bits and words beyond the bits of the record. Nor are there more than words from that of the group on, where it is the rarest that both have; where it is not, they meet in another group."""
     keep = (level.high[i] > level.low[j] * t) & (level.high[j] > level.low[i] * t)
+    needed = (level.low[i] + level.low[j]) * (t / (1 + t))
+    keep &= np.minimum(level.rest[i], level.rest[j]) > needed
+    i, j, needed, at = i[keep], j[keep], needed[keep], np.flatnonzero(keep)
     possible = np.minimum(level.slack[i], level.slack[j])
     for w in range(level.union.shape[1]):
         possible += np.bitwise_count(level.union[i, w] & level.union[j, w])
-    return keep & (possible > (level.low[i] + level.low[j]) * (t / (1 + t)))
+    keep[at] = possible > needed
+    return keep
 
 
 def _children(level: Level, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,17 +233,19 @@ class _Records:
         return x[once], y[once]
 
 
-def tree_pairs(group: np.ndarray, size: np.ndarray, sig: np.ndarray, first: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(group: np.ndarray, size: np.ndarray, sig: np.ndarray, first: np.ndarray, t: float, rest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions (smaller, larger) of the pairs of rows of one group whose similarity may exceed t, by dual traversal of the signature trees of all groups at once.
 
     From each root paired with itself the traversal goes down to pairs of children, and leaves out every pair of nodes whose sizes or bitmaps rule a similar pair out. Of the records that are left, the bits in which two
-    differ must be few enough; the smaller one must show the word of the group among its rarest (first).
+    differ must be few enough; the smaller one must show the word of the group among its rarest (first). rest has each record's words from that of the group on, in the order that all records share; a pair comes out at least
+    in the group of the rarest word that both have.
     """
     size = size.astype(np.int64)
-    # records of one size that share their first bits are neighbours
-    order = np.lexsort((sig[:, 0], size, group))
-    size, sig, first = size[order], sig[order], first[order]
-    levels, roots = trees(group[order], size, sig)
+    rest = size if rest is None else rest.astype(np.int64)
+    # records of one size with as many words left are neighbours, then those that share their first bits
+    order = np.lexsort((sig[:, 0], rest, size, group))
+    size, sig, first, rest = size[order], sig[order], first[order], rest[order]
+    levels, roots = trees(group[order], size, sig, rest)
     # a root and itself always may meet
     todo = [(depth, r[at : at + PAIRS_AT_ONCE], r[at : at + PAIRS_AT_ONCE], True) for depth, r in enumerate(roots) for at in range(0, len(r), PAIRS_AT_ONCE)]
     out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -276,7 +283,8 @@ def candidate_pairs(rows: DataFrame, t: Fraction) -> DataFrame:
             cuts = np.flatnonzero((token[1:] != token[:-1]) | (pair[1:] != pair[:-1])) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(frame)]))
             meta = frame["meta"].to_numpy()
-            size, first = (meta // 2).astype(np.int64), meta % 2 == 1
+            size, first = (meta & 0xFFFFFFFF) // 2, meta % 2 == 1
+            left = size - (meta >> 32)
             h1, h2 = frame["h1"].to_numpy(), frame["h2"].to_numpy()
             sig = np.column_stack([frame[c].to_numpy().view(np.uint64) for c in sig_names])
             # a word of one set alone brings nobody together
@@ -284,7 +292,7 @@ def candidate_pairs(rows: DataFrame, t: Fraction) -> DataFrame:
             rows = np.flatnonzero(np.repeat(n > 1, n))
             if not len(rows):
                 return pd.DataFrame({"a1": h1[:0], "a2": h2[:0], "b1": h1[:0], "b2": h2[:0]})
-            i, j = tree_pairs(np.repeat(np.arange(len(n)), n)[rows], size[rows], sig[rows], first[rows], limit)
+            i, j = tree_pairs(np.repeat(np.arange(len(n)), n)[rows], size[rows], sig[rows], first[rows], limit, left[rows])
             i, j = rows[i], rows[j]
             other = (h1[i] != h1[j]) | (h2[i] != h2[j])
             i, j = i[other], j[other]

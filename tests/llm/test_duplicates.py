@@ -96,3 +96,16 @@ def test_versions_join_chains(spark):
 def test_empty(spark):
     assert D.found(spark.createDataFrame([], "chunk_id string, text string")).count() == 0
     assert D.versions(spark.createDataFrame([], "chunk_id string, text string")).count() == 0
+
+
+def test_pairs_meet_where_their_rarest_common_word_is():
+    """Words 0, 1, 2 are the rarest in this order; in the group of word 2 only records that share no rarer word are compared."""
+    n = 40
+    size, sig, first = np.full(4, n), np.full((4, 1), (1 << 40) - 1, dtype=np.uint64), np.ones(4, dtype=bool)
+    few = D._prefix_lengths(np.array([n]), D.Fraction("0.82"))[0][0]
+    rest = np.array([n, n, n - few, n - few - 1])
+    a, b = D.tree_pairs(np.zeros(4, dtype=np.int64), size, sig, first, 0.82, rest)
+    needed = 2 * n * 0.82 / 1.82
+    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())} >= {(0, 1)}
+    levels, roots = D.trees(np.zeros(4, dtype=np.int64), size, sig, rest[[3, 3, 3, 3]])
+    assert (levels[1].rest <= needed).all() and not D._may_meet(levels[1], np.array([0]), np.array([0]), 0.82).any()
