@@ -18,8 +18,9 @@ from parley.session import cut
 K1, B = 1.5, 0.75
 #: Terms of all queries together that one block holds, some 32 MB; tokens of a chunk of records that meets one of several blocks.
 QUERY_TERMS, CHUNK_TOKENS = 2_000_000, 4_000_000
-#: What one step holds: tokens of records, cells of a tile of queries and records, pairs of postings and queries, and cells of the matrix of queries and common terms.
-TOKENS_AT_ONCE, CELLS_AT_ONCE, PAIRS_AT_ONCE, COMMON_CELLS = 2_000_000, 2_000_000, 1_000_000, 6_000_000
+#: What one step holds: tokens of records, cells of a tile of queries and records, pairs of postings and queries, and cells of the matrix of queries and common terms. An executor's Python workers hold this beside a full heap,
+#: some ten arrays of each at a time; results do not depend on it.
+TOKENS_AT_ONCE, CELLS_AT_ONCE, PAIRS_AT_ONCE, COMMON_CELLS = 250_000, 1_000_000, 250_000, 6_000_000
 #: Terms are common from this share of all pairs of queries and records: adding up single pairs costs so much more than a product of matrices.
 COMMON = 0.005
 
@@ -66,7 +67,8 @@ def index(docs: DataFrame, key: str, text: str) -> Index:
 def weighted_terms(made: Index, queries: DataFrame, query_key: str, query: str) -> DataFrame:
     """(query_key, term, times, idf) of the query terms that the corpus holds. Frequencies are counted in each task first, so that a frequent term is no single task."""
     wanted = queries.select(query_key, F.explode(F.transform(keyword_tokens(F.col(query)), lambda t: F.xxhash64(t))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
-    df = made.terms.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # counts first: a join before them would send every token of every record to the task of its term; where the wanted terms are broadcast, the planner filters below the counts by itself
+    df = made.terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(wanted.select("term").distinct(), "term", "left_semi")
     return wanted.join(df, "term").select(query_key, "term", "times", idf(F.lit(made.n_docs), F.col("df")).alias("idf"))
 
 
@@ -142,7 +144,8 @@ def bm25_best(made: Index, queries: DataFrame, k: int, key: str = "doc_id", quer
         ids, q = np.unique(rows[query_key].to_numpy(), return_inverse=True)
         order = np.argsort(rows["term"].to_numpy(), kind="stable")
         term, first = np.unique(rows["term"].to_numpy()[order], return_index=True)
-        return ids, term, rows["idf"].to_numpy()[order][first], np.append(first, len(order)), q[order], rows["times"].to_numpy()[order].astype(np.float64)
+        # every worker has its own copy of what is broadcast; times are whole numbers, exact in single precision
+        return ids, term, rows["idf"].to_numpy()[order][first], np.append(first, len(order)), q[order].astype(np.int32), rows["times"].to_numpy()[order].astype(np.float32)
 
     def best(block: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, term, weight, at, q, times = block

@@ -231,3 +231,23 @@ def test_best_of_tiles_as_brute_force():
         kept.tile(score[:, order], keys[order], 6)
     kept.settle()
     assert list(zip(kept.q.tolist(), (-kept.score).tolist(), kept.keys)) == [(q, *x) for q in range(5) for x in sorted((-s, k) for s, k in zip(score[q], keys) if s > 0)[:4]]
+
+
+def test_frequencies_are_counted_before_tokens_are_shuffled(spark):
+    """What is sent for a term is one count of each task, not a row of each record that holds it."""
+    docs = spark.range(400, numPartitions=2).select(F.col("id").alias("doc_id"), F.expr("case when id % 4 = 0 then 'common common rare' when id % 4 = 1 then null else 'common' end").alias("text"))
+    queries = spark.createDataFrame([(1, "common common absent"), (2, "rare"), (3, None)], "query_id int, query string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        terms = lexical.weighted_terms(lexical.index(docs, "doc_id", "text"), queries, "query_id", "query")
+        plan = terms._jdf.queryExecution().executedPlan().toString().split("\n")
+        rows = sorted((x.query_id, x.times, round(x.idf, 9)) for x in terms.collect())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    exploded = next(n for n, line in enumerate(plan) if "Generate explode(array_distinct" in line)
+    above = next(line for line in reversed(plan[:exploded]) if "Exchange" in line or "HashAggregate" in line)
+    assert "HashAggregate" in above and "partial_count" in above
+    assert rows == [(q, n, round(math.log(1 + (400 - df + 0.5) / (df + 0.5)), 9)) for q, n, df in ((1, 2, 300), (2, 1, 100))]
