@@ -30,13 +30,14 @@ LABEL_BONUS = 5.0
 #: Share of a word's occurrences that may stand under another language by mistake.
 WRONG_LABELS = 0.04
 _WORD = re.compile(r"[^\W\d_][\wऀ-ॿ']*|[ऀ-ॿ]+")
-_DIGIT = re.compile(r"[1-8]")
 _BREAK = re.compile(r"[.!?।][\"'”»)\]]*\s+|\n+")
 #: Shortened words whose full stop ends no sentence.
 _SHORT = frozenset("mr mrs ms dr sr sra st no nr hr fr mme prof".split())
 #: A sentence less certain than this takes the language of its neighbours.
 SURE = 0.92
-_NOT_WORDS = re.compile(r"\S*@\S*|\S*\d\S*|\[\w+\]")
+_MAY_HOLD_OTHER = re.compile(r"[@\[0-9]")
+#: A run without blanks that holds a digit or @, from its begin, so that each is read once; names of notes; words in the group.
+_OTHER_OR_WORD = re.compile(rf"(?<!\S)[^\s@\d]*+[@\d]\S*|\[\w+\]|({_WORD.pattern})")
 
 
 @lru_cache(maxsize=2)
@@ -208,27 +209,32 @@ def latin(words: list[str]) -> bool:
     return words[0][0] < "\u0250"
 
 
-#: Which digits a text holds does not matter here; texts that differ in them alone are judged once.
-_SAME = str.maketrans("12345678", "99999999")
+_SAME = bytes.maketrans(b"12345678", b"99999999")
+
+
+def same_digits(text: str) -> str:
+    """Which digits a text holds does not matter here; texts that differ in them alone are judged once."""
+    return text.encode("utf-8", "surrogatepass").translate(_SAME).decode("utf-8", "surrogatepass")
 
 
 def words_of(sentence: str) -> list[str]:
     """Words of a sentence in lower case, without numbers, addresses and, where the rest tells enough, capitalised names inside it; none for hesitations alone."""
-    if "@" in sentence or "[" in sentence or "9" in sentence or "0" in sentence:
-        sentence = _NOT_WORDS.sub(" ", sentence)
-    words = _WORD.findall(sentence)
+    if _MAY_HOLD_OTHER.search(sentence):
+        words = [w for w in _OTHER_OR_WORD.findall(sentence) if w]
+    else:
+        words = _WORD.findall(sentence)
     if len(words) <= 4:
         words = [w for w in words if not _VOICED.fullmatch(w)]
     if not words:
         return []
-    plain = [words[0], *(w for w in words[1:] if w[0] == w[0].lower())]
-    return [w.lower() for w in (plain if len(plain) >= 4 else words)]
+    low = [w.lower() for w in words]
+    plain = [low[0], *[x for w, x in zip(words[1:], low[1:]) if w[0] == x[0]]]
+    return plain if len(plain) >= 4 else low
 
 
 def sentences(text: str) -> list[list[str]]:
     """Words of each sentence that has any."""
-    same = text.translate(_SAME)
-    return [w for w in (words_of(same[a:b]) for a, b in sentence_spans(same)) if w]
+    return [w for w in (words_of(text[a:b]) for a, b in sentence_spans(text)) if w]
 
 
 def normal_label(label: Column) -> Column:
@@ -258,20 +264,25 @@ def fit_model(turns: DataFrame, rows: int = SAMPLE_ROWS, path: str | None = None
 
 
 def segments(text: str | None, model: PieceModel, memo: dict | None = None) -> list[tuple[str, float, int]]:
-    """(language or OTHER, confidence, sentences) of each run of sentences in one language, in order; none for null and blank texts, hesitations and notes."""
+    """(language or OTHER, confidence, sentences) of each run of sentences in one language, in order; none for null and blank texts, hesitations and notes. memo keeps what was found for a sentence, and for the words of one, as sentences often differ in names and numbers alone."""
     if not text:
         return []
     scored = []
-    plain = _strip_marks(text)[0]
+    plain = _strip_marks(same_digits(text))[0]
     for a, b in sentence_spans(plain):
         part = plain[a:b]
-        if _DIGIT.search(part):
-            part = part.translate(_SAME)
         if memo is not None and part in memo:
             found = memo[part]
         else:
             words = words_of(part)
-            found = model.best(words) if len(words) > 1 or (words and len(words[0]) > 3) else None
+            # a key of words begins with a line feed, which no sentence does: it would have ended the one before
+            key = "\n" + " ".join(words)
+            if memo is not None and key in memo:
+                found = memo[key]
+            else:
+                found = model.best(words) if len(words) > 1 or (words and len(words[0]) > 3) else None
+                if memo is not None and len(memo) < 200_000:
+                    memo[key] = found
             if memo is not None and len(memo) < 200_000:
                 memo[part] = found
         if found is not None:
@@ -304,6 +315,7 @@ def with_languages(turns: DataFrame, model: PieceModel) -> DataFrame:
         for texts in batches:
             out = []
             for t in texts:
+                t = same_digits(t)
                 row = whole.get(t)
                 if row is None:
                     row = [{"lang": a, "confidence": round(b, 4), "sentences": n} for a, b, n in segments(t, model, memo)]

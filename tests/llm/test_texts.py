@@ -1,10 +1,12 @@
 import math
+import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parley.llm import languages as L, pairs, personal as P, personal_examples as X, scanned as S
+from parley.llm import languages as L, pairs, personal as P, personal_examples as X, scanned as S, transcripts
 from parley.session import cut
 
 NAMES = P.Gazetteer({"marta": "given", "june": "given", "will": "given", "rose": "given", "jamal": "given", "ingrid": "given", "anna": "given", "peter": "given", "luis": "given", "carla": "given", "rahul": "given", "sofia": "given", "henri": "given", "okafor": "family", "lindqvist": "family", "duarte": "family", "tomas": "given", "priya": "given", "veiltez": "family", "nevik": "family", "sharma": "family", "keller": "family", "moreau": "family"})
@@ -224,3 +226,25 @@ def test_scanned_many_headers(spark):
     rows += [(f"n{k}", None, "m" if k < 2 else f"m{k}", f"{'Minor Plan Notes' if k < 2 else 'Text'}\n\nThe offer number {k} ends.", k + 1, k + 1) for k in range(20)]
     done = S.repair(spark.createDataFrame(rows, "chunk_id string, doc_id string, document_id string, text string, page_start int, page_end int"), cut)
     assert {r.chunk_id for r in S.found(done).where("kind = 'header'").collect()} == {f"c{k:02d}" for k in range(40)} | {"n0", "n1"}
+
+
+def test_sentences_of_the_same_words_are_judged_once(language_model, monkeypatch):
+    """Names and numbers do not matter, so that the work does not grow with them."""
+    judged, best = [], L.PieceModel.best
+    monkeypatch.setattr(L.PieceModel, "best", lambda model, words: judged.append(words) or best(model, words))
+    memo = {}
+    texts = [f"Please move {n} euros from the {name} saver into something safer." for n, name in ((11, "Lugaula"), (2750, "Bera"), (90, "Trefor"))]
+    assert [L.segments(t, language_model, memo) for t in texts] == [L.segments(t, language_model) for t in texts]
+    assert len(judged) == 1 + len(texts)
+
+
+def test_words_and_labels_are_found_as_by_plain_patterns():
+    r = random.Random(4)
+    for _ in range(4000):
+        text = "".join(r.choice("aBé नि'_9३@[].,: -–(>\n" + "bot  ") for _ in range(r.randint(0, 24)))
+        plain = re.sub(r"\S*@\S*|\S*\d\S*|\[\w+\]", " ", text) if re.search("[@[0-9]", text) else text
+        found = [w for w in L._OTHER_OR_WORD.findall(text) if w] if L._MAY_HOLD_OTHER.search(text) else L._WORD.findall(text)
+        assert found == L._WORD.findall(plain), text
+        assert transcripts._LABEL_SIGN.search(text) or not transcripts._LABEL.search(text), text
+    for label in ("[Agent]:", "(customer)", "<v Ann>", "{agent}", "Agent: ", "agent:", "agent >>", "Ann Lee >>", "Agent - ", "</v>"):
+        assert transcripts._LABEL.search(label + "x" * label.endswith(" ")) and transcripts._LABEL_SIGN.search(label), label
